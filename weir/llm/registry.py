@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weir.llm.op3_substrings import op3_substring_dedup
 from weir.llm.op7_jaccard import op7_ngram_jaccard
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_ngram_jaccard": op7_ngram_jaccard}
+    return {
+        "op3_substring_dedup": op3_substring_dedup,
+        "op7_ngram_jaccard": op7_ngram_jaccard,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
