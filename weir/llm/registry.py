@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weir.llm import op9_licenses
 from weir.llm.op10_secrets import op10_secret_scan
 from weir.llm.op3_substrings import op3_substring_dedup
 from weir.llm.op7_jaccard import op7_ngram_jaccard
@@ -15,9 +16,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_substring_dedup": op3_substring_dedup,
         "op7_ngram_jaccard": op7_ngram_jaccard,
+        "op9_license_scan": op9_licenses.op9_license_scan,
         "op10_secret_scan": op10_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_license_scan": op9_licenses.SQL}
