@@ -10,12 +10,14 @@ from weir.llm import op9_licenses
 from weir.llm.op10_secrets import op10_secret_scan
 from weir.llm.op3_substrings import op3_substring_dedup
 from weir.llm.op7_jaccard import op7_ngram_jaccard
+from weir.llm.op8_packing import op8_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_substring_dedup": op3_substring_dedup,
         "op7_ngram_jaccard": op7_ngram_jaccard,
+        "op8_packing": op8_packing,
         "op9_license_scan": op9_licenses.op9_license_scan,
         "op10_secret_scan": op10_secret_scan,
     }
