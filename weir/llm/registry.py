@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import op9_licenses
+from weir.llm import op6_kdtree, op9_licenses
 from weir.llm.op10_secrets import op10_secret_scan
+from weir.llm.op2_html import op2_html_text
 from weir.llm.op3_substrings import op3_substring_dedup
+from weir.llm.op4_media import op4_media_columns
 from weir.llm.op7_jaccard import op7_ngram_jaccard
 from weir.llm.op8_packing import op8_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_html_text": op2_html_text,
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_media_columns": op4_media_columns,
+        "op6_exact_topk": op6_kdtree.op6_exact_topk,
         "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_packing": op8_packing,
         "op9_license_scan": op9_licenses.op9_license_scan,
@@ -24,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_license_scan": op9_licenses.SQL}
+    return {"op6_exact_topk": op6_kdtree.SQL, "op9_license_scan": op9_licenses.SQL}
