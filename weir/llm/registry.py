@@ -7,19 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weir.llm import op6_kdtree, op9_licenses
+from weir.llm.op1_mixing import op1_source_mixing
 from weir.llm.op10_secrets import op10_secret_scan
 from weir.llm.op2_html import op2_html_text
 from weir.llm.op3_substrings import op3_substring_dedup
 from weir.llm.op4_media import op4_media_columns
+from weir.llm.op5_quality import op5_quality
 from weir.llm.op7_jaccard import op7_ngram_jaccard
 from weir.llm.op8_packing import op8_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_source_mixing": op1_source_mixing,
         "op2_html_text": op2_html_text,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_media_columns": op4_media_columns,
+        "op5_quality": op5_quality,
         "op6_exact_topk": op6_kdtree.op6_exact_topk,
         "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_packing": op8_packing,
