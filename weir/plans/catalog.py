@@ -2,39 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from weir.session import table
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_ORACLE: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[name] = f
-        if sql is not None:
-            _ORACLE[name] = sql
-        return f
-
-    return add
-
-
-@query(
-    "group_sum",
-    "SELECT l_returnflag AS key, round(sum(l_quantity), 4) AS value FROM lineitem GROUP BY 1",
-)
-def _group_sum(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("key")).agg(F.round(F.sum("l_quantity"), 4).alias("value"))
+from weir.plans import learn, relational, reports, sequence, stats, text  # noqa: F401
+from weir.plans.registry import ORACLE, QUERIES, Query
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLE)
+    return dict(ORACLE)
