@@ -1 +1,203 @@
-"""Queries."""
+"""Queries: anomaly, graph, signal and population kernels by group."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from weir.functions import inference as I
+from weir.functions import kernels as K
+from weir.plans.registry import query
+from weir.plans.sequence import events
+from weir.session import table
+
+
+def by_group(df, by, kernel, schema):
+    """kernel(pandas frame of a group) for each group, whose rows must fit one task: the caller bounds them."""
+    return df.groupBy(*by).applyInPandas(kernel, schema)
+
+
+def _by_type(spark, sf, fields, kernel):
+    """kernel(values of an event type of a user, in order) -> a dict with the fields."""
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["us", "event_id"])
+        return pd.DataFrame([{"user_id": int(g.user_id.iloc[0]), **kernel(g.value.to_numpy(float))}])
+
+    return by_group(events(spark, sf), ["user_id"], run, f"user_id long, {fields}")
+
+
+@query("classify")
+def classify(spark, sf):
+    return _by_type(spark, sf, "cls string, runs long, inversion double, lis long, distinct double", K.classify)
+
+
+@query("randomness")
+def randomness(spark, sf):
+    return _by_type(spark, sf, "verdict string, k long, confidence double", lambda v: {k: x for k, x in K.randomness(v).items() if k in ("verdict", "k", "confidence")})
+
+
+@query("locate")
+def locate(spark, sf):
+    # Windows are cut before the kernel, so a long sequence is shared out.
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("us", "event_id")) - 1
+    cut = events(spark, sf).withColumn("n", n).withColumn("w", F.expr("n div 16"))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{"user_id": int(g.user_id.iloc[0]), "start": int(g.n.min()), "cls": K.classify(g.sort_values("n").value.to_numpy(float))["cls"]}])
+
+    return by_group(cut, ["user_id", "w"], run, "user_id long, start long, cls string")
+
+
+_Z = """WITH m AS (SELECT l_returnflag AS f, median(l_quantity) AS mq, median(l_tax) AS mt FROM lineitem GROUP BY 1),
+d AS (SELECT l_orderkey, l_linenumber, f, abs(l_quantity - mq) AS dq, abs(l_tax - mt) AS dt FROM lineitem JOIN m ON f = l_returnflag),
+s AS (SELECT f, median(dq) / 0.6745 AS sq, median(dt) / 0.6745 AS st FROM d GROUP BY 1)
+SELECT l_orderkey, l_linenumber, round(greatest(dq / sq, dt / st), 6) AS score FROM d JOIN s USING (f)"""
+
+
+@query("mad_score", _Z)
+def mad(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("f"), "l_quantity", "l_tax")
+    m = li.groupBy("f").agg(F.median("l_quantity").alias("mq"), F.median("l_tax").alias("mt"))
+    d = li.join(F.broadcast(m), "f").select("l_orderkey", "l_linenumber", "f", F.abs(F.col("l_quantity") - F.col("mq")).alias("dq"), F.abs(F.col("l_tax") - F.col("mt")).alias("dt"))
+    s = d.groupBy("f").agg((F.median("dq") / 0.6745).alias("sq"), (F.median("dt") / 0.6745).alias("st"))
+    return d.join(F.broadcast(s), "f").select("l_orderkey", "l_linenumber", F.round(F.greatest(F.col("dq") / F.col("sq"), F.col("dt") / F.col("st")), 6).alias("score"))
+
+
+def _features(spark, sf):
+    """A row of counts and values for each user."""
+    e = events(spark, sf)
+    return e.groupBy("user_id").agg(*(F.count_if(F.col("event_type") == t).cast("double").alias(t) for t in ("click", "error", "purchase", "view")), F.avg("value").alias("mean"), F.max("value").alias("peak")).withColumn("shard", F.lit(0))
+
+
+def _scores(name, kernel):
+    @query(name)
+    def run(spark, sf):
+        def one(g: pd.DataFrame) -> pd.DataFrame:
+            g = g.sort_values("user_id")
+            return pd.DataFrame({"user_id": g.user_id, **kernel(g[["click", "error", "purchase", "view", "mean", "peak"]].to_numpy(float))})
+
+        # One population of a few hundred rows, as a process table is.
+        fields = "score double, axis long" if name == "anomaly_fuse" else "score double"
+        return by_group(_features(spark, sf), ["shard"], one, f"user_id long, {fields}")
+
+
+_scores("mahalanobis", lambda x: {"score": K.mahalanobis(K.standardize(x))})
+_scores("half_space_trees", lambda x: {"score": K.half_space_trees(x)})
+_scores("anomaly_fuse", lambda x: dict(zip(("score", "axis"), K.anomaly_fuse(x))))
+
+
+@query("changepoint_ewma")
+def changepoint(spark, sf):
+    return _by_type(spark, sf, "score double", lambda v: {"score": K.changepoint(v[-64:])})
+
+
+@query("spectral_residual")
+def residual(spark, sf):
+    return _by_type(spark, sf, "peaks long, top double", lambda v: (lambda s, f: {"peaks": int(f.sum()), "top": float(s.max())})(*K.spectral_residual(v[: 1 << (len(v).bit_length() - 1)])) if len(v) >= 4 else {"peaks": 0, "top": 0.0})
+
+
+@query("matrix_profile")
+def profile(spark, sf):
+    return _by_type(spark, sf, "discord double, at long", lambda v: (lambda b: {"discord": float(b.max()), "at": int(b.argmax())})(K.matrix_profile(v, 8)[0]) if len(v) >= 24 else {"discord": 0.0, "at": -1})
+
+
+@query("dfa_hurst")
+def dfa(spark, sf):
+    return _by_type(spark, sf, "hurst double, se double, rs double", lambda v: {**dict(zip(("hurst", "se"), K.hurst_dfa(v))), "rs": K.hurst_rs(v)})
+
+
+def _nearest(spark, sf, n):
+    v = table(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    q = v.where("vec_id = 0").select(F.col("v").alias("q"))
+    d = F.expr("aggregate(zip_with(v, q, (a, b) -> (a - b) * (a - b)), 0D, (s, x) -> s + x)")
+    return v.join(F.broadcast(q)).withColumn("d", d).orderBy("d", "vec_id").limit(n).select("vec_id", "label", "v", "d")
+
+
+@query("similar_neighbors", "SELECT vec_id, round(sqrt(list_sum(list_transform(list_zip(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 0)), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2))), 5) AS distance FROM embeddings ORDER BY distance, vec_id LIMIT 20")
+def similar(spark, sf):
+    return _nearest(spark, sf, 20).select("vec_id", F.round(F.sqrt("d"), 5).alias("distance"))
+
+
+def _graph(name, fields, kernel):
+    @query(name)
+    def run(spark, sf):
+        def one(g: pd.DataFrame) -> pd.DataFrame:
+            g = g.sort_values(["d", "vec_id"])
+            return kernel(g, K.affinity(np.array(g.v.tolist()), 7))
+
+        # The nearest few only: graph kernels are cubic in the nodes.
+        return by_group(_nearest(spark, sf, 128).withColumn("shard", F.lit(0)), ["shard"], one, fields)
+
+
+_graph("effective_resistance", "vec_id long, resistance double", lambda g, w: pd.DataFrame({"vec_id": g.vec_id, "resistance": K.effective_resistance(w)[0]}))
+_graph("spectral_cluster", "vec_id long, cluster long", lambda g, w: pd.DataFrame({"vec_id": g.vec_id, "cluster": K.spectral_cluster(w, 3).astype("int64")}))
+_graph("fiedler", "connectivity double, parts long", lambda g, w: pd.DataFrame([dict(zip(("connectivity", "parts"), K.fiedler(w)))]))
+
+
+# -- populations ------------------------------------------------------------
+
+_CELLS = "(SELECT user_id % 10 AS cell, CASE WHEN epoch_us(ts) < epoch_us(TIMESTAMP '2024-01-16') THEN 'a' ELSE 'b' END AS axis, value FROM events WHERE event_type = 'error')"
+
+
+def _cells(spark, sf):
+    e = events(spark, sf).where("event_type = 'error'")
+    return e.select((F.col("user_id") % 10).alias("cell"), F.when(F.col("us") < 1705363200000000, "a").otherwise("b").alias("axis"), "value")
+
+
+@query("cliffs_delta", f"SELECT x.cell, round(avg(sign(x.value - y.value)), 6) AS delta FROM {_CELLS} x JOIN {_CELLS} y ON x.cell = y.cell AND x.axis = 'a' AND y.axis = 'b' GROUP BY 1")
+def cliffs(spark, sf):
+    # Ranks in place of pairs: linear in a cell's samples.
+    w = Window.partitionBy("cell").orderBy("value")
+    c = _cells(spark, sf).groupBy("cell", "value").agg(F.count_if(F.col("axis") == "a").alias("a"), F.count_if(F.col("axis") == "b").alias("b"))
+    c = c.withColumn("upto", F.sum("b").over(w)).withColumn("all", F.sum("b").over(Window.partitionBy("cell")))
+    d = F.sum(F.col("a") * (F.col("upto") - F.col("b") - (F.col("all") - F.col("upto")))) / (F.sum("a") * F.first("all"))
+    return c.groupBy("cell").agg(F.round(d, 6).alias("delta"))
+
+
+@query("hist_reconstruct", "SELECT o_orderstatus, le, n - coalesce(lag(n) OVER (PARTITION BY o_orderstatus ORDER BY le), 0) AS n FROM (SELECT o_orderstatus, le, count(*) FILTER (WHERE o_totalprice <= le) AS n FROM orders, (VALUES (50000), (100000), (200000), (1000000)) t(le) GROUP BY 1, 2)")
+def hist(spark, sf):
+    bounds = F.array(*(F.lit(x) for x in (50000, 100000, 200000, 1000000)))
+    o = table(spark, sf, "orders").select("o_orderstatus", "o_totalprice", F.explode(bounds).alias("le"))
+    c = o.groupBy("o_orderstatus", "le").agg(F.count_if(F.col("o_totalprice") <= F.col("le")).alias("n"))
+    w = Window.partitionBy("o_orderstatus").orderBy("le")
+    return c.select("o_orderstatus", "le", (F.col("n") - F.coalesce(F.lag("n").over(w), F.lit(0))).alias("n"))
+
+
+@query("l2_share_busy", "WITH s AS (SELECT CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS scrape, user_id % 8 AS cpu, sum(value) AS v FROM events GROUP BY 1, 2), b AS (SELECT scrape, sum(v) AS total FROM s GROUP BY 1), k AS (SELECT scrape FROM b WHERE total > 0.3 * (SELECT max(total) FROM b)) SELECT cpu, round(sum(v) / (SELECT sum(v) FROM s WHERE scrape IN (SELECT scrape FROM k)), 6) AS share FROM s WHERE scrape IN (SELECT scrape FROM k) GROUP BY 1")
+def l2_share(spark, sf):
+    s = events(spark, sf).groupBy(F.floor(F.col("us") / 3600000000).alias("scrape"), (F.col("user_id") % 8).alias("cpu")).agg(F.sum("value").alias("v"))
+    b = s.groupBy("scrape").agg(F.sum("v").alias("total"))
+    k = b.join(F.broadcast(b.agg(F.max("total").alias("peak")))).where("total > 0.3 * peak").select("scrape")
+    busy = s.join(k, "scrape")
+    c = busy.groupBy("cpu").agg(F.sum("v").alias("v"))
+    return c.join(F.broadcast(c.agg(F.sum("v").alias("all")))).select("cpu", F.round(F.col("v") / F.col("all"), 6).alias("share"))
+
+
+def _compare(name, fields, kernel):
+    @query(name)
+    def run(spark, sf):
+        def one(g: pd.DataFrame) -> pd.DataFrame:
+            cell = int(g.cell.iloc[0])
+            groups = {k: sorted(x.value.tolist()) for k, x in g.groupby("axis")}
+            return pd.DataFrame([{"cell": cell, **r} for r in kernel(groups, I.fnv1a(1, name, cell))])
+
+        return by_group(_cells(spark, sf), ["cell"], one, f"cell long, {fields}")
+
+
+_compare("perm_test", "p double", lambda g, s: [{"p": I.permutation_test(g["a"], g["b"], 500, s)}] if len(g) == 2 else [])
+_compare("welch_t", "t double, df double, p double", lambda g, s: [dict(zip(("t", "df", "p"), I.welch(g["a"], g["b"])))] if len(g) == 2 else [])
+_compare("games_howell", "a string, b string, p double", lambda g, s: [dict(zip("abp", r)) for r in I.games_howell(g)])
+_compare("mcb", "axis string, lo double, hi double", lambda g, s: [{"axis": k, "lo": float(a), "hi": float(b)} for k, (a, b) in I.compare_with_best(g, 300, s).items()])
+_compare("mc_power", "runs long", lambda g, s: [{"runs": I.power(g["a"], g["b"], rounds=40, most=6, seed=s)}] if len(g) == 2 else [])
+
+
+@query("trajectory")
+def trajectory(spark, sf):
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["us", "event_id"])
+        levels = [x.tolist() for x in np.array_split(g.value.to_numpy(float), 8)]
+        return pd.DataFrame([{"event_type": g.event_type.iloc[0], "changes": len(I.trajectory(levels, rounds=99, seed=3))}])
+
+    return by_group(events(spark, sf).withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy(F.xxhash64("event_id")))).where("r <= 400"), ["event_type"], one, "event_type string, changes long")
