@@ -60,11 +60,14 @@ def picks(e: DataFrame) -> DataFrame:
 def q_at(values: DataFrame, column: str, qs: dict[str, float]) -> DataFrame:
     """One row: quantiles by floor index, the number n and the greatest value (worst).
 
-    Equal values are counted together before they are ranked, so the window sees distinct values only.
+    Equal values are counted together; ranks come from totals of at most a few thousand logarithmic buckets, which
+    ascend with the value, and a window inside each bucket, so no task sorts all values.
     """
     c = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("k"))
-    total = c.agg(F.sum("k").alias("n"))
-    ranked = c.withColumn("upto", F.sum("k").over(Window.orderBy("v"))).join(F.broadcast(total))
+    c = c.withColumn("b", F.floor(F.signum("v") * F.log2(F.abs("v") + 1) * 64))
+    buckets = c.groupBy("b").agg(F.sum("k").alias("kb"))
+    below = buckets.select("b", (F.sum("kb").over(Window.orderBy("b")) - F.col("kb")).alias("below"), F.sum("kb").over(Window.partitionBy(F.lit(1))).alias("n"))
+    ranked = c.join(F.broadcast(below), "b").withColumn("upto", F.col("below") + F.sum("k").over(Window.partitionBy("b").orderBy("v")))
     at = lambda q: F.least(F.floor(F.lit(q) * F.col("n")), F.col("n") - 1)
     return ranked.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.max("v").alias("worst"), *(F.min(F.when(F.col("upto") > at(q), F.col("v"))).alias(name) for name, q in qs.items()))
 

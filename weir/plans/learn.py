@@ -195,9 +195,7 @@ _compare("mc_power", "runs long", lambda g, s: [{"runs": I.power(g["a"], g["b"],
 
 @query("trajectory")
 def trajectory(spark, sf):
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["us", "event_id"])
-        levels = [x.tolist() for x in np.array_split(g.value.to_numpy(float), 8)]
-        return pd.DataFrame([{"event_type": g.event_type.iloc[0], "changes": len(I.trajectory(levels, rounds=99, seed=3))}])
+    def changes(v: np.ndarray) -> dict:
+        return {"changes": len(I.trajectory([x.tolist() for x in np.array_split(v, 6)], rounds=99, seed=3))}
 
-    return by_group(events(spark, sf).withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy(F.xxhash64("event_id")))).where("r <= 400"), ["event_type"], one, "event_type string, changes long")
+    return _by_type(spark, sf, "changes long", changes)
