@@ -62,7 +62,7 @@ def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
     words = F.array(*(F.lit(w) for w in VOCABULARY))
 
     def pick(k: int) -> Column:
-        return F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(VOCABULARY))) + 1).cast("int"))
+        return F.element_at(words, ((F.col("id") * 7919 + F.col("id") * F.col("id") * (31 + 2 * k) + k * 104729) % len(VOCABULARY) + 1).cast("int"))
 
     a, b, c = pick(1), pick(2), pick(3)
     style = F.col("id") % 6
@@ -147,3 +147,37 @@ def redact(docs: DataFrame, ratios: list[float], mark: str = "[SECRET]") -> Data
     if "n_chars" in names:
         cols["n_chars"] = F.when(F.size("base") + F.size("more") > 0, F.length("new_text").cast("long")).otherwise(F.col("row.n_chars"))
     return out.select(*(cols.get(c, F.col(f"row.`{c}`")).alias(c) for c in names))
+
+
+def _sql_found(kind: str, pattern: str, fits: str = "true", group: int = 0) -> str:
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc_id, {KINDS.index(kind)} AS k, CAST(s AS BIGINT) AS s, CAST(s + length(m) AS BIGINT) AS e, v FROM (
+      SELECT doc_id, m, v, sum(length(g)) OVER w + coalesce(sum(length(m)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM (
+        SELECT doc_id, unnest(ms) AS m, unnest(vs) AS v, unnest(gs[1:len(ms)]) AS g, generate_subscripts(ms, 1) AS i FROM (
+          SELECT doc_id, regexp_extract_all(t, '{p}') AS ms, regexp_extract_all(t, '{p}', {group}) AS vs, regexp_split_to_array(t, '{p}') AS gs FROM d WHERE regexp_matches(t, '{p}')))
+      WINDOW w AS (PARTITION BY doc_id ORDER BY i)) x WHERE {fits}"""
+
+
+_SIZE = len(ALPHABET) + 1
+SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+vocab AS (SELECT [{", ".join(f"'{w}'" for w in VOCABULARY)}] AS w),
+ids AS (SELECT range AS id, sha256(CAST(range AS VARCHAR)) AS h, replace(to_base64(unhex(sha256(CAST(range AS VARCHAR)))), '=', '') AS c FROM range(4000)),
+picked AS (SELECT id, {", ".join(f"w[(id * 7919 + id * id * {31 + 2 * k} + {k} * 104729) % {len(VOCABULARY)} + 1] AS {n}" for k, n in ((1, "a"), (2, "b"), (3, "c")))} FROM ids, vocab),
+samples AS (
+  SELECT CASE id % 4 WHEN 0 THEN h[1:40] WHEN 1 THEN upper(regexp_replace(c, '[+/]', '', 'g'))[1:32] ELSE c END AS token, true AS random FROM ids
+  UNION ALL SELECT CASE id % 6 WHEN 0 THEN a || '_' || b || '_' || c WHEN 1 THEN a || upper(b[1:1]) || b[2:] || upper(c[1:1]) || c[2:] WHEN 2 THEN a || '-' || b || '-' || c
+    WHEN 3 THEN a || '/' || b || '/' || c || (id % 10) WHEN 4 THEN upper(a || '_' || b || '_' || c) ELSE a || b || c END, false FROM picked),
+steps AS (SELECT random, instr('{ALPHABET}', token[i:i]) AS a, instr('{ALPHABET}', token[i + 1:i + 1]) AS b FROM (SELECT random, token, unnest(range(1, length(token))) AS i FROM samples)),
+pairs AS (SELECT a, b, count(*) FILTER (WHERE random) AS r, count(*) FILTER (WHERE NOT random) AS o FROM steps GROUP BY a, b),
+firsts AS (SELECT a, count(*) FILTER (WHERE random) AS ra, count(*) FILTER (WHERE NOT random) AS oa FROM steps GROUP BY a),
+model AS (SELECT x.range AS a, y.range AS b, round(ln((coalesce(r, 0) + 1) / (coalesce(ra, 0) + {_SIZE})) - ln((coalesce(o, 0) + 1) / (coalesce(oa, 0) + {_SIZE})), 6) AS v
+  FROM range({_SIZE}) x CROSS JOIN range({_SIZE}) y LEFT JOIN pairs p ON p.a = x.range AND p.b = y.range LEFT JOIN firsts f ON f.a = x.range),
+base AS ({_sql_found("assign", ASSIGN, "length(v) >= 6", 2)} UNION ALL {_sql_found("access", ACCESS)} UNION ALL {_sql_found("hex", HEX)}),
+found AS ({_sql_found("markov", CANDIDATE, "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')")}),
+scored AS (SELECT doc_id, k, s, e, avg(model.v) AS mean FROM (SELECT *, unnest(range(1, length(v))) AS i FROM found) f JOIN model ON model.a = instr('{ALPHABET}', f.v[i:i]) AND model.b = instr('{ALPHABET}', f.v[i + 1:i + 1]) GROUP BY doc_id, k, s, e),
+more AS (SELECT doc_id, k, s, e FROM scored x WHERE mean >= {MARGIN} AND NOT EXISTS (SELECT 1 FROM base y WHERE y.doc_id = x.doc_id AND y.s < x.e AND x.s < y.e)),
+named AS (SELECT doc_id, s, k, ['assign', 'access', 'hex', 'markov'][k + 1] || ':' || s || ':' || e AS n FROM (SELECT doc_id, k, s, e FROM base UNION ALL SELECT * FROM more)),
+byd AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n0, count(*) FILTER (WHERE k = 1) AS n1, count(*) FILTER (WHERE k = 2) AS n2, string_agg(n, ',' ORDER BY s, k) FILTER (WHERE k < 3) AS base, string_agg(n, ',' ORDER BY s, k) AS spans FROM named GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n0, 0) AS BIGINT) AS n_assign, CAST(coalesce(n1, 0) AS BIGINT) AS n_access, CAST(coalesce(n2, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN byd USING (doc_id)
+"""
