@@ -138,7 +138,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch], width: int, bounds: np.ndarray)
             base = np.cumsum(reach) - reach
             at = base[inverse] + start[y]
             at = _narrow(at) if len(at) == 0 or at.max() < 1 << 24 else at.astype(np.int64).tobytes()
-            rows.append((b, W.pack(digest[y]), at, base.tobytes(), d[own].tobytes(), s[own].tobytes(), d[doc[again]].tobytes(), s[doc[again]].tobytes(), start[again].astype(np.uint32).tobytes()))
+            rows.append((b, W.pack(digest[y]), at, base.astype(np.uint32).tobytes(), d[own].tobytes(), s[own].astype(np.uint32).tobytes(), d[doc[again]].tobytes(), s[doc[again]].astype(np.uint32).tobytes(), start[again].astype(np.uint32).tobytes()))
         d_all.clear(), s_all.clear(), held.clear()
         state.update(docs=0, n=0)
         names = [x.split()[0] for x in _ENTRIES.split(", ")]
@@ -168,11 +168,12 @@ def _deep_nodes(t: pa.Table, buckets: int) -> pa.Table:
     """The leaves of a block's deep nodes without the earliest of each node, by bucket of texts."""
     digests, ds, ss, starts, ad, as_, aat = [], [], [], [], [], [], []
     for row in zip(*(t.column(c).to_pylist() for c in ("digests", "at", "doc_at", "d", "s", "again_d", "again_s", "again_at"))):
-        g, at, base, d, s = W.unpack(row[0]), row[1], *(np.frombuffer(x, np.int64) for x in row[2:5])
+        g, at, d = W.unpack(row[0]), row[1], np.frombuffer(row[3], np.int64)
+        base, s = (np.frombuffer(x, np.uint32).astype(np.int64) for x in (row[2], row[4]))
         at = np.frombuffer(at, np.int64) if len(at) == 8 * len(g) else _wide(at).astype(np.int64)
         doc = np.searchsorted(base, at, "right") - 1
         digests.append(g), ds.append(d[doc]), ss.append(s[doc]), starts.append(at - base[doc])
-        ad.append(np.frombuffer(row[5], np.int64)), as_.append(np.frombuffer(row[6], np.int64)), aat.append(np.frombuffer(row[7], np.uint32).astype(np.int64))
+        ad.append(np.frombuffer(row[5], np.int64)), as_.append(np.frombuffer(row[6], np.uint32).astype(np.int64)), aat.append(np.frombuffer(row[7], np.uint32).astype(np.int64))
     g, d, s, at = (np.concatenate(x) for x in (digests, ds, ss, starts))
     order = np.argsort(g, kind="stable")
     same = g[order][1:] == g[order][:-1]
@@ -256,7 +257,7 @@ def remove_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(text).alias("s"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(text).bitwiseAND((1 << 32) - 1).alias("s"))
     bounds, total = _block_bounds(docs.select("text"), width)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // GROUP))
     entries = docs.select("d", "s", "text").mapInArrow(partial(_suffixes, width=width, bounds=bounds), _ENTRIES)
