@@ -40,7 +40,7 @@ def sessions(spark, sf):
     return T.sessionize(events(spark, sf), BY, ORDER, "us", 12 * HOUR).groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi"))
 
 
-@query("runs_monotone", f"SELECT user_id, 1 + sum(CASE WHEN value < p THEN 1 ELSE 0 END) AS runs, bool_and(p IS NULL OR value >= p) AS is_sorted FROM (SELECT *, lag(value) OVER w AS p FROM {_E} {_W}) GROUP BY user_id")
+@query("runs_monotone", f"SELECT user_id, CAST(1 + sum(CASE WHEN value < p THEN 1 ELSE 0 END) AS BIGINT) AS runs, bool_and(p IS NULL OR value >= p) AS is_sorted FROM (SELECT *, lag(value) OVER w AS p FROM {_E} {_W}) GROUP BY user_id")
 def runs_monotone(spark, sf):
     e = events(spark, sf).withColumn("p", F.lag("value").over(by_user()))
     return e.groupBy("user_id").agg((F.lit(1) + F.count_if(F.col("value") < F.col("p"))).alias("runs"), F.bool_and(F.col("p").isNull() | (F.col("value") >= F.col("p"))).alias("is_sorted"))

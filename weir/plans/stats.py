@@ -143,7 +143,7 @@ def sort_keyed(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.row_number().over(Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), F.desc("o_custkey"), "o_orderkey")).cast("long").alias("place"))
 
 
-@query("sort_human", "SELECT p_partkey, p_size * CASE p_partkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 1024.0 ELSE 1048576.0 END AS v FROM part ORDER BY v DESC, p_partkey LIMIT 50")
+@query("sort_human", "SELECT p_partkey, CAST(p_size * CASE p_partkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 1024.0 ELSE 1048576.0 END AS DOUBLE) AS v FROM part ORDER BY v DESC, p_partkey LIMIT 50")
 def sort_human(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", F.concat(F.col("p_size").cast("string"), F.element_at(F.array(F.lit(""), F.lit("K"), F.lit("m")), (F.col("p_partkey") % 3 + 1).cast("int"))).alias("s"))
     return p.select("p_partkey", T.human_number(F.col("s")).alias("v")).orderBy(F.desc("v"), "p_partkey").limit(50)

@@ -133,12 +133,12 @@ def column_widths(spark, sf):
     return f.groupBy((F.col("p") + 1).cast("long").alias("pos")).agg(F.max(F.length("f")).cast("long").alias("width"))
 
 
-@query("count_words_bytes", "SELECT sum(len(string_split(text, chr(10)))) AS lines, sum(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+'))) AS words, sum(strlen(text) + 1) AS bytes FROM documents")
+@query("count_words_bytes", "SELECT CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS lines, CAST(sum(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+'))) AS BIGINT) AS words, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents")
 def count_words(spark, sf):
     return table(spark, sf, "documents").agg(F.sum(F.size(F.split("text", "\n"))).alias("lines"), F.sum(F.regexp_count("text", F.lit("[^ \\t\\n\\r\\f\\x0B]+"))).alias("words"), F.sum(F.octet_length("text") + 1).alias("bytes"))
 
 
-@query("dispersion_stats", """SELECT doc_id, count(*) AS n, round(avg(gap), 4) AS mean_gap, max(gap) AS max_gap FROM (
+@query("dispersion_stats", """SELECT doc_id, count(*) AS n, round(avg(gap), 4) AS mean_gap, CAST(max(gap) AS BIGINT) AS max_gap FROM (
   SELECT doc_id, pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS gap FROM (
     SELECT doc_id, i, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) + (i - 1) * 4 AS pos FROM (
       SELECT doc_id, unnest(string_split(text, ' the')) AS piece, generate_subscripts(string_split(text, ' the'), 1) AS i, len(string_split(text, ' the')) AS k FROM documents) WHERE i < k)) GROUP BY doc_id""")
