@@ -59,3 +59,12 @@ def test_edges(spark):
     got = sorted((r[0] or -1, r[1], r[2]) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(-1, 30, 30), (3, 30, 0), (3, 30, 0), (4, 35, 25), (9, 31, 30)]
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("doc_id", [None, 7, (1 << 63) - 1])
+def test_texts_of_one_doc_id_whose_hashes_agree_in_32_bits(spark, doc_id):
+    passage = " ".join(f"w{i}" for i in range(25))
+    rows = [(doc_id, f"x{i} {passage}") for i in (83182, 182600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert df.select(F.xxhash64("text").bitwiseAND((1 << 32) - 1)).distinct().count() == 1
+    assert sorted((r[1], r[2]) for r in remove_repeats(df).collect()) == [(26, 0), (26, 25)]

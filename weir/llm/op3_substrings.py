@@ -28,6 +28,8 @@ FLUSH, GROUP = 2_000_000, 1_000_000
 #: Bits of a prefix for each of its words, and most words of a prefix.
 BITS, DEEPEST = 8, 7
 _SPAN = BITS * DEEPEST
+#: Stands for a missing doc_id.
+LAST = (1 << 63) - 1
 
 
 def _windows(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -96,11 +98,33 @@ def _wide(b: bytes) -> np.ndarray:
     return out.reshape(-1).view(np.uint32)
 
 
+def _names(batch: pa.RecordBatch, repeated) -> tuple[np.ndarray, np.ndarray]:
+    """d and s of rows; of s all 64 bits where another row may have the same d, else 32."""
+    d, s = batch.column("d").to_numpy(), batch.column("s").to_numpy()
+    return d, np.where(repeated.value.has(d) | (d == LAST), s, s & ((1 << 32) - 1))
+
+
+def _halves(s: np.ndarray) -> bytes:
+    """The low halves of numbers, then, if any is not 0, which high halves are not 0 and those."""
+    high = (s >> 32).astype(np.int32)
+    low = (s & ((1 << 32) - 1)).astype(np.uint32).tobytes()
+    return low + np.packbits(high != 0).tobytes() + high[high != 0].tobytes() if high.any() else low
+
+
+def _whole(b: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(b, np.uint32, n).astype(np.int64)
+    if len(b) > 4 * n:
+        flags = -(-n // 8)
+        some = np.unpackbits(np.frombuffer(b, np.uint8, flags, 4 * n), count=n).astype(bool)
+        out[some] |= np.frombuffer(b, np.int32, offset=4 * n + flags).astype(np.int64) << 32
+    return out
+
+
 _ENTRIES = "block int, digests binary, at binary, doc_at binary, d binary, s binary, again_d binary, again_s binary, again_at binary"
 _AGAIN = "bucket long, d binary, s binary, at binary"
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch], width: int, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _suffixes(batches: Iterator[pa.RecordBatch], width: int, bounds: np.ndarray, repeated) -> Iterator[pa.RecordBatch]:
     d_all: list[np.ndarray] = []
     s_all: list[np.ndarray] = []
     held: list[tuple[np.ndarray, ...]] = []
@@ -138,14 +162,14 @@ def _suffixes(batches: Iterator[pa.RecordBatch], width: int, bounds: np.ndarray)
             base = np.cumsum(reach) - reach
             at = base[inverse] + start[y]
             at = _narrow(at) if len(at) == 0 or at.max() < 1 << 24 else at.astype(np.int64).tobytes()
-            rows.append((b, W.pack(digest[y]), at, base.astype(np.uint32).tobytes(), d[own].tobytes(), s[own].astype(np.uint32).tobytes(), d[doc[again]].tobytes(), s[doc[again]].astype(np.uint32).tobytes(), start[again].astype(np.uint32).tobytes()))
+            rows.append((b, W.pack(digest[y]), at, base.astype(np.uint32).tobytes(), d[own].tobytes(), _halves(s[own]), d[doc[again]].tobytes(), _halves(s[doc[again]]), start[again].astype(np.uint32).tobytes()))
         d_all.clear(), s_all.clear(), held.clear()
         state.update(docs=0, n=0)
         names = [x.split()[0] for x in _ENTRIES.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if k else pa.int32()) for k, x in enumerate(zip(*rows))], names)
 
     for batch in batches:
-        d, s = batch.column("d").to_numpy(), batch.column("s").to_numpy()
+        d, s = _names(batch, repeated)
         lo = 0
         for text, start, digest, code in _windows(batch, width):
             hi = int(text[-1]) + 1
@@ -169,11 +193,11 @@ def _deep_nodes(t: pa.Table, buckets: int) -> pa.Table:
     digests, ds, ss, starts, ad, as_, aat = [], [], [], [], [], [], []
     for row in zip(*(t.column(c).to_pylist() for c in ("digests", "at", "doc_at", "d", "s", "again_d", "again_s", "again_at"))):
         g, at, d = W.unpack(row[0]), row[1], np.frombuffer(row[3], np.int64)
-        base, s = (np.frombuffer(x, np.uint32).astype(np.int64) for x in (row[2], row[4]))
+        base, s = np.frombuffer(row[2], np.uint32).astype(np.int64), _whole(row[4], len(d))
         at = np.frombuffer(at, np.int64) if len(at) == 8 * len(g) else _wide(at).astype(np.int64)
         doc = np.searchsorted(base, at, "right") - 1
         digests.append(g), ds.append(d[doc]), ss.append(s[doc]), starts.append(at - base[doc])
-        ad.append(np.frombuffer(row[5], np.int64)), as_.append(np.frombuffer(row[6], np.uint32).astype(np.int64)), aat.append(np.frombuffer(row[7], np.uint32).astype(np.int64))
+        ad.append(np.frombuffer(row[5], np.int64)), as_.append(_whole(row[6], len(ad[-1]))), aat.append(np.frombuffer(row[7], np.uint32).astype(np.int64))
     g, d, s, at = (np.concatenate(x) for x in (digests, ds, ss, starts))
     order = np.argsort(g, kind="stable")
     same = g[order][1:] == g[order][:-1]
@@ -223,15 +247,18 @@ def _kept(ids: list, texts: list, starts: list[np.ndarray | None], width: int) -
     return {"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.string())}
 
 
-def _touched(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
-    """The rows that may lose words."""
+def _touched(batches: Iterator[pa.RecordBatch], known, repeated) -> Iterator[pa.RecordBatch]:
+    """The rows that may lose words, with s as in entries."""
     for batch in batches:
-        yield batch.filter(pa.array(known.value.has(batch.column("d").to_numpy() ^ batch.column("s").to_numpy())))
+        d, s = _names(batch, repeated)
+        batch = batch.set_column(batch.schema.get_field_index("s"), "s", pa.array(s))
+        yield batch.filter(pa.array(known.value.has(d ^ s)))
 
 
-def _untouched(batches: Iterator[pa.RecordBatch], known, width: int) -> Iterator[pa.RecordBatch]:
+def _untouched(batches: Iterator[pa.RecordBatch], known, repeated, width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        batch = batch.filter(pa.array(~known.value.has(batch.column("d").to_numpy() ^ batch.column("s").to_numpy())))
+        d, s = _names(batch, repeated)
+        batch = batch.filter(pa.array(~known.value.has(d ^ s)))
         yield pa.RecordBatch.from_pydict(_kept(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), [None] * batch.num_rows, width))
 
 
@@ -254,17 +281,22 @@ def remove_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
     wordless text has 0 words and an empty kept. Rows without a doc_id come after all others; rows that share a
     doc_id are ordered by a hash of their texts, and rows that agree in both are one document, all treated
     alike. An empty table gives an empty result; other columns are ignored.
+
+    A text is named by its doc_id and, where rows share one or have none, by 64 bits of its hash; among N different
+    texts of one doc_id two share a name with odds of about N * N / 2 ** 65.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(text).bitwiseAND((1 << 32) - 1).alias("s"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(text).alias("s"))
+    # A prefilter: a doc_id that it takes for a repeated one only gets a longer name.
+    repeated = spark.sparkContext.broadcast(bloom.of_column(docs.where("doc_id is not null").groupBy("d").agg(F.count("*").alias("n")).where("n > 1"), "d"))
     bounds, total = _block_bounds(docs.select("text"), width)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // GROUP))
-    entries = docs.select("d", "s", "text").mapInArrow(partial(_suffixes, width=width, bounds=bounds), _ENTRIES)
+    entries = docs.select("d", "s", "text").mapInArrow(partial(_suffixes, width=width, bounds=bounds, repeated=repeated), _ENTRIES)
     again = settle(entries.groupBy("block").applyInArrow(lambda t: _deep_nodes(t, buckets), _AGAIN), "again")
     known = spark.sparkContext.broadcast(bloom.gather(again.mapInArrow(_filter_bits, "w long, bits long")))
-    rest = docs.mapInArrow(partial(_untouched, known=known, width=width), _OUT)
-    some = docs.mapInArrow(partial(_touched, known=known), docs.schema)
+    rest = docs.mapInArrow(partial(_untouched, known=known, repeated=repeated, width=width), _OUT)
+    some = docs.mapInArrow(partial(_touched, known=known, repeated=repeated), docs.schema)
     some = some.withColumn("bucket", F.expr(f"pmod(d ^ shiftright(d, 17) ^ s, {buckets}L)"))
     return rest.union(some.groupBy("bucket").cogroup(again.groupBy("bucket")).applyInArrow(lambda a, b: _remove(a, b, width), _OUT))
 
