@@ -186,11 +186,11 @@ def _compare(name, fields, kernel):
         return by_group(_cells(spark, sf), ["cell"], one, f"cell long, {fields}")
 
 
-_compare("perm_test", "p double", lambda g, s: [{"p": I.permutation_test(g["a"], g["b"], 500, s)}] if len(g) == 2 else [])
+_compare("perm_test", "p double", lambda g, s: [{"p": I.permutation_test(g["a"], g["b"], seed=s)}] if len(g) == 2 else [])
 _compare("welch_t", "t double, df double, p double", lambda g, s: [dict(zip(("t", "df", "p"), I.welch(g["a"], g["b"])))] if len(g) == 2 else [])
 _compare("games_howell", "a string, b string, p double", lambda g, s: [dict(zip("abp", r)) for r in I.games_howell(g)])
-_compare("mcb", "axis string, lo double, hi double", lambda g, s: [{"axis": k, "lo": float(a), "hi": float(b)} for k, (a, b) in I.compare_with_best(g, 300, s).items()])
-_compare("mc_power", "runs long", lambda g, s: [{"runs": I.power(g["a"], g["b"], rounds=40, most=6, seed=s)}] if len(g) == 2 else [])
+_compare("mcb", "axis string, lo double, hi double", lambda g, s: [{"axis": k, "lo": float(a), "hi": float(b)} for k, (a, b) in I.compare_with_best(g, seed=s).items()])
+_compare("mc_power", "runs long", lambda g, s: [{"runs": I.power(g["a"], g["b"], seed=s)}] if len(g) == 2 else [])
 
 
 @query("trajectory")
