@@ -120,20 +120,33 @@ def similar(spark, sf):
     return _nearest(spark, sf, 20).select("vec_id", F.round(F.sqrt("d"), 5).alias("distance"))
 
 
-def _graph(name, fields, kernel):
+#: Distinct vectors of a graph at most, as in the reference: its kernels are cubic in the nodes.
+NODES = 512
+
+
+def _graph(name, fields, kernel, members=True):
+    """kernel(affinities of the distinct vectors nearest to that of vec_id 0, itself first), with members for each row of those vectors."""
     @query(name)
     def run(spark, sf):
         def one(g: pd.DataFrame) -> pd.DataFrame:
-            g = g.sort_values(["d", "vec_id"])
-            return kernel(g, K.affinity(np.array(g.v.tolist()), 7))
-
-        # The nearest few only: graph kernels are cubic in the nodes.
-        return by_group(_nearest(spark, sf, 128).withColumn("shard", F.lit(0)), ["shard"], one, fields)
-
-
-_graph("effective_resistance", "vec_id long, resistance double", lambda g, w: pd.DataFrame({"vec_id": g.vec_id, "resistance": K.effective_resistance(w)[0]}))
-_graph("spectral_cluster", "vec_id long, cluster long", lambda g, w: pd.DataFrame({"vec_id": g.vec_id, "cluster": K.spectral_cluster(w, 3).astype("int64")}))
-_graph("fiedler", "connectivity double, parts long", lambda g, w: pd.DataFrame([dict(zip(("connectivity", "parts"), K.fiedler(w)))]))
+            g = g.sort_values(["d", "first"])
+            out = kernel(K.affinity(np.array(g.v.tolist(), float), min(7, len(g) - 1)))
+            return out.assign(v=g.v.tolist()) if members else out
+
+        e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+        q = e.where("vec_id = 0").select(F.col("v").alias("q"))
+        d = F.expr("aggregate(zip_with(v, q, (a, b) -> (double(a) - double(b)) * (double(a) - double(b))), 0D, (s, x) -> s + x)")
+        nodes = e.groupBy("v").agg(F.min("vec_id").alias("first")).join(F.broadcast(q)).withColumn("d", d).orderBy("d", "first").limit(NODES)
+        nodes = nodes.select("first", "v", "d", F.lit(0).alias("shard"))
+        if not members:
+            return by_group(nodes, ["shard"], one, fields)
+        out = by_group(nodes, ["shard"], one, f"{fields}, v array<float>")
+        return e.join(F.broadcast(out), "v").select("vec_id", *out.drop("v").columns)
+
+
+_graph("effective_resistance", "resistance double", lambda w: pd.DataFrame({"resistance": K.effective_resistance(w)[0]}))
+_graph("spectral_cluster", "cluster long", lambda w: pd.DataFrame({"cluster": K.spectral_cluster(w, 3).astype("int64")}))
+_graph("fiedler", "connectivity double, parts long", lambda w: pd.DataFrame([dict(zip(("connectivity", "parts"), K.fiedler(w)))]), members=False)
 
 
 # -- populations ------------------------------------------------------------
