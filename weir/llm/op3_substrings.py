@@ -1,10 +1,10 @@
-"""Substring dedup: word-level suffix trees over groups of suffixes that share a variable-length prefix.
+"""Substring dedup: equal word windows in groups of suffixes that share a variable-length prefix.
 
 Suffixes are ordered by the hashes of their words. A prefix is one word long (as BITS bits of its hash); the
 suffixes below each prefix are counted over all texts, and a prefix with more than GROUP suffixes is extended
 by a word, until every group fits in memory. Runs of neighbouring prefixes form blocks. Only repeats of `width`
-words or more matter, so each subtree is cut at that depth: its deep internal nodes are classes of suffixes whose
-first `width` words agree (by a 64-bit digest of that path beside the prefix). All leaves of such a node but the
+words or more matter, so no suffix tree is built: in place of its nodes at that depth there are classes of suffixes
+whose first `width` words agree, by a 64-bit digest of these words beside the prefix. All leaves of such a node but the
 earliest are starts of repeats. A task resolves the leaves it holds itself and sends on one leaf a node, so a
 passage that a third of all texts holds costs one entry a task.
 """
