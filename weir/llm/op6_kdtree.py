@@ -3,7 +3,7 @@
 Rows are dealt to shards of bounded size by a hash of all they hold; queries to blocks of bounded size, each of
 which meets every shard (a stated query set against all rows). In a shard, median splits on the widest side give
 leaves with tight boxes; a query takes leaves by falling bound of its product with the box and stops below the
-kth best score, which it carries from shard part to shard part. Each shard returns k rows a query at most.
+kth best score in this shard: no bound passes from shard to shard. Each shard returns k rows a query at most.
 """
 
 from __future__ import annotations
