@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -26,11 +26,24 @@ def build_session(app: str = "weir", master: str | None = None, **conf: str) ->
     return b.getOrCreate()
 
 
+#: Bytes of an Arrow batch, where the session has Spark's default: long texts make batches of few rows.
+BATCH_BYTES, _DEFAULT_BYTES = "4m", 64 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound what a task holds of its rows at once, on both sides of an Arrow exchange; a value set by the user stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) == f"{_DEFAULT_BYTES}b":
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured."""
+    """The folder that driver and executors share. Only where both are one process may it be unset: then one is made."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + os.path.join(tempfile.gettempdir(), "weir-checkpoints")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="weir-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
@@ -42,7 +55,16 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weir/{uuid.uuid4().hex}-{tag}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables. Only for those that no plan still to be run reads, lost executors' work included."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.settled_at)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
