@@ -52,6 +52,22 @@ def test_shared_passages_and_deep_prefixes(spark, monkeypatch, group):
     assert got == brute(rows)
 
 
+def test_a_hot_deep_prefix_is_cut_by_the_rest_of_the_path(spark, monkeypatch):
+    monkeypatch.setattr(op, "GROUP", 40)
+    r = random.Random(8)
+    rows = [(i, " ".join(["same"] * 8 + [r.choice("abcdef") for _ in range(r.randrange(10, 16))])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert op._blocks(df.select("text"), 20)[0].cuts.max() > 3
+    assert sorted(tuple(x) for x in remove_repeats(df).select("doc_id", "n_words", "n_removed", "kept").collect()) == brute(rows)
+
+
+def test_maximal_repeats(spark):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(words)), (2, " ".join(["x", *words[10:45], "y", *words[50:75]])), (3, " ".join(words[:19]))]
+    got = sorted(tuple(x) for x in op.maximal_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(2, 1, 35), (2, 37, 25)]
+
+
 def test_edges(spark):
     t = " ".join(f"w{i}" for i in range(30))
     u = " ".join(f"w{i}" for i in range(5, 40))

@@ -1,12 +1,17 @@
-"""Substring dedup: equal word windows in groups of suffixes that share a variable-length prefix.
-
-Suffixes are ordered by the hashes of their words. A prefix is one word long (as BITS bits of its hash); the
-suffixes below each prefix are counted over all texts, and a prefix with more than GROUP suffixes is extended
-by a word, until every group fits in memory. Runs of neighbouring prefixes form blocks. Only repeats of `width`
-words or more matter, so no suffix tree is built: in place of its nodes at that depth there are classes of suffixes
-whose first `width` words agree, by a 64-bit digest of these words beside the prefix. All leaves of such a node but the
-earliest are starts of repeats. A task resolves the leaves it holds itself and sends on one leaf a node, so a
-passage that a third of all texts holds costs one entry a task.
+"""Substring dedup: suffixes grouped by variable-length prefixes, and the deep nodes of each group's subtree.
+
+A suffix's path begins with the hashes of its words. A prefix is FIRST words long at first (BITS bits of each word's
+hash); the suffixes below each prefix are counted over all texts, and a prefix with more than GROUP suffixes is extended
+by a word, until every group fits in memory; one that is still too large at DEEPEST words is cut by the rest of the
+path. Runs of neighbouring prefixes form blocks, each the leaves of one subtree. Only repeats of `width` words or more
+matter, so a subtree is cut at that depth: in place of the edges from the prefix down to it, a leaf carries a 64-bit
+digest of its first `width` words, and leaves of one digest are those of one deep node. All leaves of such a node but
+the earliest are starts of repeats, and runs of such starts are the maximal repeats (see maximal_repeats). A task
+resolves the leaves it holds itself and sends on one leaf a node, so a passage that a third of all texts holds costs
+one entry a task.
+
+Digests are compared within a block only, whose leaves agree in their prefix. Of N windows in blocks of G, two different
+ones are taken for one with odds of about N * G / 2 ** 65: 1e-4 at 30 GB, one window in all at 200 TB.
 """
 
 from __future__ import annotations
@@ -21,12 +26,12 @@ from pyspark.sql import functions as F
 
 from weir.llm import bloom
 from weir.llm import wordhash as W
-from weir.session import settle, table
+from weir.session import bound_batches, settle, table
 
 #: Suffixes that a task holds before it deals them out; suffixes that a block should hold at most.
 FLUSH, GROUP = 2_000_000, 1_000_000
-#: Bits of a prefix for each of its words, and most words of a prefix.
-BITS, DEEPEST = 8, 7
+#: Bits of a prefix for each of its words, and least and most words of a prefix.
+BITS, FIRST, DEEPEST = 8, 2, 7
 _SPAN = BITS * DEEPEST
 #: Stands for a missing doc_id.
 LAST = (1 << 63) - 1
@@ -57,18 +62,38 @@ def _count_prefixes(batches: Iterator[pa.RecordBatch], width: int, length: int,
     for batch in batches:
         for _, _, _, code in _windows(batch, width):
             p = code >> np.uint64(_SPAN - BITS * length)
-            if length > 1:
+            if length > FIRST:
                 p = p[np.isin(p >> np.uint64(BITS), heavy)]
             for k, c in zip(*(x.tolist() for x in np.unique(p, return_counts=True))):
                 found[k] = found.get(k, 0) + c
     yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["prefix", "n"])
 
 
-def _block_bounds(docs: DataFrame, width: int) -> tuple[np.ndarray, int]:
-    """Where blocks begin in the order of suffixes, and the number of suffixes. The driver gets a row for each prefix, which is one for a fixed share of GROUP suffixes."""
+class Blocks:
+    """Blocks of suffixes: where each run of prefixes begins, and into how many blocks its digests are cut."""
+
+    def __init__(self, leaves: list[tuple[int, int]]):
+        first, cuts, held = [0], [1], 0
+        for code, n in sorted(leaves):
+            if held and held + n > GROUP:
+                first.append(code), cuts.append(1)
+                held = 0
+            held += n
+            cuts[-1] = max(cuts[-1], -(-held // GROUP))
+        self.first, self.cuts = np.array(first, np.uint64), np.array(cuts, np.uint64)
+        self.number = np.cumsum(self.cuts) - self.cuts
+        self.total = int(self.cuts.sum())
+
+    def of(self, code: np.ndarray, digest: np.ndarray) -> np.ndarray:
+        run = np.searchsorted(self.first, code, "right") - 1
+        return (self.number[run] + (((digest >> np.uint64(32)) * self.cuts[run]) >> np.uint64(32))).astype(np.int64)
+
+
+def _blocks(docs: DataFrame, width: int) -> tuple[Blocks, int]:
+    """Blocks, and the number of suffixes. The driver gets a row for each prefix: 2 ** (FIRST * BITS) and 2 ** BITS for each heavy one, of which there is one for GROUP suffixes at most."""
     leaves: list[tuple[int, int]] = []
     heavy, total = np.zeros(0, np.uint64), 0
-    for length in range(1, DEEPEST + 1):
+    for length in range(FIRST, DEEPEST + 1):
         counted = docs.mapInArrow(partial(_count_prefixes, width=width, length=length, heavy=heavy), "prefix long, n long")
         t = counted.groupBy("prefix").agg(F.sum("n").alias("n")).toArrow()
         p, n = t.column("prefix").to_numpy().astype(np.uint64), t.column("n").to_numpy()
@@ -78,13 +103,7 @@ def _block_bounds(docs: DataFrame, width: int) -> tuple[np.ndarray, int]:
         heavy = p[big]
         if not len(heavy):
             break
-    bounds, held = [0], 0
-    for first, n in sorted(leaves):
-        if held and held + n > GROUP:
-            bounds.append(first)
-            held = 0
-        held += n
-    return np.array(bounds, np.uint64), total
+    return Blocks(leaves), total
 
 
 def _narrow(a: np.ndarray) -> bytes:
@@ -120,11 +139,11 @@ def _whole(b: bytes, n: int) -> np.ndarray:
     return out
 
 
-_ENTRIES = "block int, digests binary, at binary, doc_at binary, d binary, s binary, again_d binary, again_s binary, again_at binary"
-_AGAIN = "bucket long, d binary, s binary, at binary"
+_ENTRIES = "block long, digests binary, at binary, doc_at binary, d binary, s binary, again_d binary, again_s binary, again_at binary"
+_AGAIN = "bucket long, texts long, d binary, s binary, at binary"
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch], width: int, bounds: np.ndarray, repeated) -> Iterator[pa.RecordBatch]:
+def _suffixes(batches: Iterator[pa.RecordBatch], width: int, blocks: Blocks, repeated) -> Iterator[pa.RecordBatch]:
     d_all: list[np.ndarray] = []
     s_all: list[np.ndarray] = []
     held: list[tuple[np.ndarray, ...]] = []
@@ -139,14 +158,12 @@ def _suffixes(batches: Iterator[pa.RecordBatch], width: int, bounds: np.ndarray,
         fresh = np.append(True, (d[1:] != d[:-1]) | (s[1:] != s[:-1]))
         rank[order] = np.cumsum(fresh) - 1  # rows that agree in both are one text
         d, s, doc = d[fresh], s[fresh], rank[doc]
-        block = (np.searchsorted(bounds, code, "right") - 1).astype(np.uint16 if len(bounds) < 65536 else np.int64)
+        block = blocks.of(code, digest).astype(np.uint16 if blocks.total < 65536 else np.int64)
         order = np.argsort(block, kind="stable")
-        cut = np.searchsorted(block[order], np.arange(len(bounds) + 1))
+        cut = np.flatnonzero(np.append(True, np.diff(block[order]) != 0))
         rows = []
-        for b in range(len(bounds)):
-            x = order[cut[b] : cut[b + 1]]
-            if not len(x):
-                continue
+        for b, lo, hi in zip(block[order][cut].tolist(), cut, np.append(cut[1:], len(order))):
+            x = order[lo:hi]
             x = x[np.argsort(digest[x], kind="stable")]
             same = digest[x][1:] == digest[x][:-1]
             first = np.append(True, ~same)
@@ -166,7 +183,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch], width: int, bounds: np.ndarray,
         d_all.clear(), s_all.clear(), held.clear()
         state.update(docs=0, n=0)
         names = [x.split()[0] for x in _ENTRIES.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if k else pa.int32()) for k, x in enumerate(zip(*rows))], names)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if k else pa.int64()) for k, x in enumerate(zip(*rows))], names)
 
     for batch in batches:
         d, s = _names(batch, repeated)
@@ -216,14 +233,14 @@ def _deep_nodes(t: pa.Table, buckets: int) -> pa.Table:
     name, first = np.unique(bucket, return_index=True)
     ends = np.append(first[1:], len(bucket))
     cols = [[x[a:b].tobytes() for a, b in zip(first, ends)] for x in (d, s, at)]
-    return pa.table({"bucket": name.astype(np.int64), **{k: pa.array(v, pa.binary()) for k, v in zip(("d", "s", "at"), cols)}})
+    fresh = np.append(0, np.cumsum(np.append(True, (d[1:] != d[:-1]) | (s[1:] != s[:-1])) if len(d) else []))
+    return pa.table({"bucket": name.astype(np.int64), "texts": (fresh[ends] - fresh[first]).astype(np.int64), **{k: pa.array(v, pa.binary()) for k, v in zip(("d", "s", "at"), cols)}})
 
 
-def _filter_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         d, s = (np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in batch.column(c).to_pylist())]) for c in ("d", "s"))
-        w, bits = bloom.set_bits(np.unique(d ^ s))
-        yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(W.signed(bits))], ["w", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(d ^ s))], ["key"])
 
 
 _OUT = "doc_id long, n_words long, n_removed long, kept string"
@@ -273,6 +290,22 @@ def _remove(docs: pa.Table, again: pa.Table, width: int) -> pa.Table:
     return pa.table(_kept(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), starts, width))
 
 
+def _repeats(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, int, object]:
+    """docs with names (doc_id, text, d, s), starts of repeats by bucket of texts, the number of buckets, and which d several rows share."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(text).alias("s"))
+    # A prefilter: a doc_id that it takes for a repeated one only gets a longer name.
+    shared = settle(docs.where("doc_id is not null").groupBy("d").agg(F.count("*").alias("n")).where("n > 1").select("d"), "shared")
+    repeated = spark.sparkContext.broadcast(bloom.of_keys(shared, shared.count()))
+    blocks, total = _blocks(docs.select("text"), width)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // GROUP))
+    entries = docs.select("d", "s", "text").mapInArrow(partial(_suffixes, width=width, blocks=blocks, repeated=repeated), _ENTRIES)
+    again = settle(entries.groupBy("block").applyInArrow(lambda t: _deep_nodes(t, buckets), _AGAIN), "again")
+    return docs, again, buckets, repeated
+
+
 def remove_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of each row of docs (doc_id, text), kept being the words that stay, joined by one space.
 
@@ -285,22 +318,31 @@ def remove_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
     A text is named by its doc_id and, where rows share one or have none, by 64 bits of its hash; among N different
     texts of one doc_id two share a name with odds of about N * N / 2 ** 65.
     """
-    spark = docs.sparkSession
-    text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(text).alias("s"))
-    # A prefilter: a doc_id that it takes for a repeated one only gets a longer name.
-    repeated = spark.sparkContext.broadcast(bloom.of_column(docs.where("doc_id is not null").groupBy("d").agg(F.count("*").alias("n")).where("n > 1"), "d"))
-    bounds, total = _block_bounds(docs.select("text"), width)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // GROUP))
-    entries = docs.select("d", "s", "text").mapInArrow(partial(_suffixes, width=width, bounds=bounds, repeated=repeated), _ENTRIES)
-    again = settle(entries.groupBy("block").applyInArrow(lambda t: _deep_nodes(t, buckets), _AGAIN), "again")
-    known = spark.sparkContext.broadcast(bloom.gather(again.mapInArrow(_filter_bits, "w long, bits long")))
+    docs, again, buckets, repeated = _repeats(docs, width)
+    keys = again.agg(F.coalesce(F.sum("texts"), F.lit(0))).first()[0]
+    known = docs.sparkSession.sparkContext.broadcast(bloom.of_keys(again.select("d", "s").mapInArrow(_keys, "key long"), keys))
     rest = docs.mapInArrow(partial(_untouched, known=known, repeated=repeated, width=width), _OUT)
     some = docs.mapInArrow(partial(_touched, known=known, repeated=repeated), docs.schema)
     some = some.withColumn("bucket", F.expr(f"pmod(d ^ shiftright(d, 17) ^ s, {buckets}L)"))
     return rest.union(some.groupBy("bucket").cogroup(again.groupBy("bucket")).applyInArrow(lambda a, b: _remove(a, b, width), _OUT))
 
 
+def _runs(t: pa.Table, width: int) -> pa.Table:
+    d, s = (np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in t.column(c).to_pylist())]) for c in ("d", "s"))
+    at = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(x, np.uint32) for x in t.column("at").to_pylist())]).astype(np.int64)
+    order = np.lexsort((at, s, d))
+    d, s, at = d[order], s[order], at[order]
+    first = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (s[1:] != s[:-1]) | (at[1:] > at[:-1] + 1))) if len(d) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(d)) - 1 if len(first) else first
+    return pa.table({"doc_id": pa.array(d[first], mask=d[first] == LAST), "start": at[first], "length": at[last] - at[first] + width})
+
+
+def maximal_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
+    """(doc_id, start, length), in words, of each longest stretch of a text (one row a text and stretch) all of whose windows of width words also start earlier, as in remove_repeats."""
+    _, again, _, _ = _repeats(docs, width)
+    return again.groupBy("bucket").applyInArrow(lambda t: _runs(t, width), "doc_id long, start long, length long")
+
+
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
