@@ -35,6 +35,33 @@ def test_page_furniture():
     assert op2_html.main_text(None) == op2_html.main_text("") == op2_html.main_text("<") .replace("<", "") == ""
 
 
+def test_names_of_furniture_inside_an_article():
+    page = "<article class='post no-sidebar'><h1>Title of it</h1><p>" + "word " * 30 + "</p><section id='search-algorithms'><p>" + "algo " * 20 + "</p></section><div class='alert-level-history'><p>" + "hist " * 15
+    page += "</p></div><p>Sign up for our newsletter!</p><h3>Related articles</h3><ul><li><a href=x>Some other story</a><li><a href=y>And another one</a></ul><div class='main-nav'><p>" + "menu " * 12 + "</p></div></article>"
+    assert op2_html.main_text(page).split("\n") == ["Title of it", *(" ".join([w] * n) for w, n in (("word", 30), ("algo", 20), ("hist", 15)))]
+    yes, no = ("sidebar-left", "cookie-notice", "ad", "ad-slot-3", "footerLinks", "comment-list", "relatedStories"), ("no-sidebar", "search-algorithms", "download", "header-less-text", "shadow", "has-menu", "commentary")
+    assert all(map(op2_html._is_furniture, yes)) and not any(map(op2_html._is_furniture, no))
+
+
+def test_blocks_and_their_neighbours_decide():
+    x, y = op2_html.labelled_rows()
+    assert all(op2_html.decide(op2_html.tree(), tuple(a)) == b for a, b in zip(x, y)) and len(y) > 100
+    text, links = "<p>" + "word " * 30 + "</p>", "<p><a>one two three</a></p>"
+    assert "one" in op2_html.main_text(f"<main>{text}{links}{text}</main>")  # a linked line between paragraphs stays
+    assert "one" not in op2_html.main_text(f"<main>{text}{links * 3}</main>")  # a list of links goes
+
+
+@pytest.mark.parametrize("junk", ['<a "x', "<a b ", "<div>", "<div></p></section>", "<", "<a b='", "<!-- ", "<select>", "<script>", "<a \"<b '", "&", "<p><a>x"])
+def test_broken_markup_is_read_once(junk):
+    import time
+
+    page = "<p>" + "word " * 30 + "</p>" + junk * (1_000_000 // len(junk))
+    op2_html.tree()
+    began = time.time()
+    op2_html.main_text(page)
+    assert time.time() - began < 10  # a minute and more where time grows with the square
+
+
 def test_pages_edges(spark):
     df = spark.createDataFrame([(1, "u", None), (None, None, "<p>a"), (2, "u", ""), (2, "u", "")], "page_id long, url string, html string").withColumn("text", F.lit(1))
     assert op2_html.extract_text(df).count() == 4 and op2_html.extract_text(df.limit(0)).count() == 0

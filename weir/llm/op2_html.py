@@ -1,9 +1,10 @@
 """HTML extraction: flat text blocks, classified by a decision tree over their own and their neighbours' features.
 
-A page is split into blocks at block-level tags. A block's features are where it stands (inside the element that
-names the main content, inside one that names page furniture), its words and link density, and those of the
-blocks before and after it. A small tree, grown by Gini impurity on LABELLED below, decides. Pages are independent
-rows: no shuffle, memory for one page at a time.
+A page is split into blocks at block-level tags by a scanner that reads it once. A block's features are its words, its
+link density and its share of stock phrases, words and link density of the blocks before and after it, and what it
+stands in (the element that names the main content, a furniture element, one whose class or id names furniture). A
+small tree, grown by Gini impurity on the hand-labelled blocks of LABELLED, decides. Pages are independent rows: no
+shuffle, memory for one batch of pages at a time.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,86 +20,303 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.session import table
+from weir.session import bound_batches, table
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|canvas|select|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)",
-    re.S | re.I,
-)
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _HOLDS = _BLOCK - {"p", "hr", "li", "dt", "dd", "td", "th", "tr"} | {"button", "label"}
 _FURNITURE_TAGS = frozenset("nav footer aside form header head menu dialog button fieldset".split())
-_NAMED = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_FURNITURE = re.compile(r"(?<![a-z])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?\w*|consent|cookies?|disclaimer|footer|header|menu\w*|modal|nav\w*|newsletter|notices?|pagination|popup|promo\w*|related|replies|reply|share|sharing|sidebar\w*|skip|social\w*|sponsor\w*|subscribe|toolbar|widget\w*|alert|complementary|contentinfo|navigation|search)(?![a-z])", re.I)
-_MAIN = re.compile(r"(?<![a-z])(?:article(?:-?body)?|entry-content|main(?:-?content)?|post-?(?:body|content))(?![a-z])", re.I)
+#: Elements without text of the page: those of the first line swallow all up to their end tag (or the page's end), the others only if they have one.
+_RAW = frozenset("script style title textarea".split())
+_HIDDEN = frozenset("noscript template svg iframe object canvas select".split())
+_TAG = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
+_PLAIN = re.compile(r"[^>\"']*")
+_NAMED = re.compile(r"""(?<![\w-])(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+#: A name is furniture if its last part is, parts that only say which or where left aside; one with a word of denial before it isn't.
+_FURNITURE = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disclaimer footer header masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promotion recommendations related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar tooltip widget widgets alert".split())
+_WHICH = frozenset("area bar block body bottom box button buttons card cell col column container content first form group holder icon icons inner item items last left level link links list main outer panel primary right row secondary section slot small stories title top unit wrap wrapper".split())
+_DENIAL = frozenset("no non not without has with hide hidden".split())
+_MAIN = re.compile(r"(?<![a-z])(?:article(?:-?body)?|entry-content|main(?:-?content)?|post-?(?:body|content))(?![a-z-])", re.I)
+#: Stock phrases that ask the reader for something; legal lines are not among them, as an article may end with its own.
+_STOCK = re.compile(r"(?<!\w)(?:sign up|subscribe|newsletter|cookies?|consent|advertisements?|sponsored|share (?:this|on)|tweet|related (?:articles?|posts?|stories|links)|you (?:may|might) also like|read (?:more|also|next)|leave a (?:comment|reply)|comments?|reply|log in|sign in|privacy policy|terms of (?:use|service)|follow us|skip to content|back to top|print this|most popular)(?!\w)", re.I)
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, int, int]]:
-    """(text, place, furniture, words, linked words) of each non-empty block; place: 2 in the main element, 1 if the page has none, 0 outside it."""
+def _is_furniture(name: str) -> bool:
+    """Whether one class, id or role names page furniture."""
+    parts = [x.lower() for x in _PART.findall(name[:200])]
+    while len(parts) > 1 and (parts[-1] in _WHICH or parts[-1].isdigit()):
+        parts.pop()
+    return bool(parts) and parts[-1] in _FURNITURE and not _DENIAL & set(parts[:-1])
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """("", text, "") and (tag, attributes, "/" for an end tag) in page order. Every character is passed a bounded number of times, however broken the markup."""
+    at, n, last = 0, len(page), page.rfind(">")
+    quotes = {'"': True, "'": True}
+    missing: set[str] = set()
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0 or lt > last and not page.startswith("<!--", lt):  # no tag ends any more
+            yield "", page[at:], ""
+            return
+        if lt > at:
+            yield "", page[at:lt], ""
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 2)
+            at = n if end < 0 else end + 3
+            continue
+        m = _TAG.match(page, lt + 1)
+        if not m:
+            if page[lt + 1 : lt + 2] in ("!", "?"):
+                at = page.find(">", lt) + 1
+            else:
+                yield "", "<", ""
+                at = lt + 1
+            continue
+        end = m.end()
+        while True:
+            end = _PLAIN.match(page, end).end()
+            if end >= n:  # a quote swallowed the rest: from here on quotes are not looked at
+                quotes = dict.fromkeys(quotes, False)
+                end = page.find(">", m.end())
+                break
+            if page[end] == ">":
+                break
+            close = page.find(page[end], end + 1) if quotes[page[end]] else -1
+            if close < 0:
+                quotes[page[end]] = False
+            end = max(close, end) + 1
+        tag, close = m[1].lower(), "/" if page[lt + 1] == "/" else ""
+        attrs, at = page[m.end() : end], end + 1
+        if not close and (tag in _RAW or tag in _HIDDEN) and not attrs.endswith("/") and tag not in missing:
+            stop = _closing(tag).search(page, at)
+            if stop:
+                at = stop.end()
+                continue
+            missing.add(tag)
+            if tag in _RAW:
+                return
+        yield tag, attrs, close
+
+
+@functools.lru_cache(32)
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I)
+
+
+def blocks(page: str) -> list[tuple[str, int, int, int, int, int, int]]:
+    """(text, place, boxed, named, words, linked words, words of stock phrases) of each non-empty block.
+
+    place: 2 in the main element, 1 if the page has none, 0 outside it. boxed and named: whether it stands in a
+    furniture element, or in one whose name says so; in a main element only what is inside it counts.
+    """
     out: list[list] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]  # tag, in main, boxed, named
+    open_: Counter[str] = Counter()
     parts: list[str] = []
     linked: list[str] = []
-    link = 0
-    has_main = False
+    link = has_main = False
 
     def end() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            inside = any(m for _, m, _ in stack)
-            # What a main element holds is judged by what stands inside it; a header there is the article's own.
-            last = max((k for k, x in enumerate(stack) if x[1]), default=-1)
-            out.append([text, inside, any(f for t, _, f in stack[last + 1 :] if not (inside and t == "header")), len(text.split()), len(html.unescape("".join(linked)).split())])
+            _, inside, boxed, named = stack[-1]
+            stock = sum(len(x.split()) for x in _STOCK.findall(text))
+            out.append([text, inside, int(boxed), int(named), len(text.split()), len(html.unescape("".join(linked)).split()), stock])
         parts.clear(), linked.clear()
 
-    for m in _TOKEN.finditer(page):
-        raw, close, tag, attrs, text = m.groups()
-        if text is not None:
-            parts.append(text)
+    for tag, body, close in tokens(page):
+        if not tag:
+            parts.append(body)
             if link:
-                linked.append(text)
+                linked.append(body)
             continue
-        if raw or tag is None:
-            continue
-        tag = tag.lower()
         if tag == "br":
             parts.append(" ")
         elif tag == "a":
-            link = 0 if close else 1
+            link = not close
         if tag in _BLOCK or tag in _HOLDS:
             end()
-            link = 0
+            link = False
         if tag in _HOLDS:
             if close:
-                if any(t == tag for t, _, _ in stack):
-                    while stack.pop()[0] != tag:
-                        pass
-            elif not attrs.endswith("/"):
-                names = " ".join(x or y or z for x, y, z in _NAMED.findall(attrs))
-                furniture = tag in _FURNITURE_TAGS or (tag not in ("html", "body") and bool(_FURNITURE.search(names)))
-                main = not furniture and not any(f for _, _, f in stack) and (tag in ("article", "main") or bool(_MAIN.search(names)))
-                has_main |= main
-                stack.append((tag, main, furniture))
+                if open_[tag]:
+                    while (top := stack.pop()[0]) != tag:
+                        open_[top] -= 1
+                    open_[tag] -= 1
+            elif not body.endswith("/"):
+                _, inside, boxed, named = stack[-1]
+                names = [x for found in _NAMED.findall(body) for y in found for x in y.split()] if tag not in ("html", "body") else []
+                box = tag in _FURNITURE_TAGS and not (inside and tag == "header")
+                name = any(map(_is_furniture, names))
+                if not (box or name or boxed or named) and (tag in ("article", "main") or any(map(_MAIN.search, names))):
+                    has_main = True
+                    stack.append((tag, True, False, False))
+                else:
+                    stack.append((tag, inside, boxed or box, named or name))
+                open_[tag] += 1
     end()
-    return [(t, 2 if i else 0 if has_main else 1, f, w, k) for t, i, f, w, k in out]
+    return [(t, 2 if i else 0 if has_main else 1, *rest) for t, i, *rest in out]
+
+
+#: Blocks of a dozen pages, labelled by hand, a line each: place (m in the main element, n on a page without one, o
+#: outside it), holder (b furniture element, f furniture by name, . neither), words, linked words, words of stock
+#: phrases, + for main text. A blank line ends a page; neighbours are the lines before and after.
+LABELLED = """
+o b 4 4 0 - site name and links
+o b 9 9 0 - menu
+m . 11 0 0 + headline
+m . 6 1 0 + author and date
+m . 64 2 0 + paragraph
+m . 3 0 0 + subheading
+m . 120 6 0 + paragraph
+m . 18 0 0 + quotation
+m . 44 44 0 + paragraph that is one link, in a text of links
+m . 38 1 0 + paragraph
+o b 14 3 2 - footer
+
+o . 3 3 2 - skip to content
+o f 12 2 4 - cookie notice
+m . 7 0 0 + headline
+m . 90 0 0 + paragraph
+m b 22 0 0 - form inside the article
+m . 71 3 1 + paragraph that mentions a newsletter
+m f 40 0 0 - advert inside the article
+m . 55 0 0 + paragraph
+m . 5 0 3 - sign up for our newsletter
+m . 2 0 2 - related articles
+m . 8 8 0 - related link
+m . 6 6 0 - related link
+m . 9 9 0 - related link
+o f 60 0 1 - reader comment
+o b 20 8 4 - footer
+
+m . 1 0 0 + one-word heading
+m . 2 0 0 + short line
+m . 1 0 0 + short line
+m . 4 4 0 + linked source between lines of text
+m . 1 0 0 + short line
+m . 3 0 0 + all rights reserved
+m . 12 0 0 + line
+o b 6 0 0 - footer
+
+o f 5 5 0 - breadcrumbs
+m . 9 0 0 + headline
+m . 3 3 0 - share links
+m . 2 2 0 - share links
+m . 33 0 0 + paragraph
+m . 14 14 0 + linked list entry that stands alone
+m . 41 2 0 + paragraph
+m . 4 4 2 - read more, linked
+m . 5 5 0 - more links
+m f 30 30 0 - related stories box
+o b 90 80 0 - site map
+
+o . 40 0 0 - advert beside the article
+m . 8 0 0 + headline
+m . 150 20 0 + paragraph
+m b 60 5 0 - aside
+m . 200 10 2 + paragraph
+m . 10 0 0 + caption
+m b 8 0 2 - comment form
+m f 120 0 0 - comment
+o . 35 4 6 - legal notice
+
+n . 2 2 0 - menu
+n . 1 1 0 - menu
+n . 3 3 0 - menu
+n . 8 0 0 + headline
+n . 45 0 0 + paragraph
+n . 80 4 0 + paragraph
+n . 4 0 0 + subheading
+n . 60 2 0 + paragraph
+n . 3 0 0 + short line
+n . 30 1 0 + paragraph
+n . 5 5 0 - links
+n . 6 6 0 - links
+n . 9 1 0 - copyright
+
+n b 5 5 0 - header
+n f 20 18 0 - menu
+n . 16 0 0 + opening line
+n . 33 3 0 + paragraph
+n . 22 14 0 - teaser with links
+n . 4 3 0 - link
+n . 60 45 0 - tag cloud
+n . 6 0 2 - all rights reserved, sign in
+n b 12 4 4 - footer
+
+n . 4 0 0 - tagline
+n . 2 2 0 - menu
+n . 6 6 0 - menu
+n . 5 0 0 - label between links
+n . 7 7 0 - link
+n . 3 0 0 - label between links
+n . 12 12 0 - teaser title
+n . 6 4 2 - read more
+
+n . 25 0 0 + paragraph
+n . 1 0 0 + initial between paragraphs
+n . 35 0 0 + paragraph
+n . 9 0 0 + line between paragraphs
+n . 28 0 0 + paragraph
+n f 50 0 0 - sidebar text
+n b 45 0 0 - aside text
+n . 100 0 3 + paragraph about cookies
+n . 10 0 4 - subscribe to our newsletter
+n . 8 8 0 - link
+
+m . 6 0 0 + headline
+m . 40 0 0 + paragraph
+m . 1 0 0 + last word of an article that ends the page
+
+m . 9 0 0 + the only line of an article
+
+n . 50 0 0 + paragraph
+n . 20 0 0 + paragraph
+n . 7 0 0 + last line of a page
+
+n . 3 0 0 + the only line of a page
+
+n . 33 2 0 + paragraph
+n . 12 0 0 + last line of a page
+
+m . 30 0 0 + paragraph
+m . 22 1 0 + last paragraph
+
+o . 8 0 0 - slogan
+o b 30 30 0 - menu
+m . 14 0 0 + headline
+m . 20 20 0 + linked paragraph
+m . 25 0 0 + paragraph
+m . 70 70 0 + paragraph that is one link
+m . 30 3 0 + paragraph
+m . 6 0 2 - leave a comment below
+m b 3 0 0 - button
+o . 120 10 0 - text of another column
+o f 3 3 0 - back to top
+"""
+_NONE = (0, 0.0)
+
+
+def _row(found: list[tuple], i: int) -> tuple:
+    """The features of the ith of a page's blocks (text, place, boxed, named, words, linked, stock)."""
+    _, place, boxed, named, words, linked, stock = found[i]
+    before, after = (((x := found[j])[4], x[5] / x[4]) if 0 <= j < len(found) else _NONE for j in (i - 1, i + 1))
+    return (place, boxed, named, words, linked / words, stock / words, *before, *after)
 
 
-#: place, furniture, words, link density, words and link density before, the same after; 1 for main text.
-_AROUND = ((0, 0.0, 40, 0.0), (8, 1.0, 3, 0.0), (50, 0.0, 6, 1.0), (2, 1.0, 2, 1.0), (0, 0.0, 2, 1.0), (30, 0.1, 0, 0.0), (40, 0.0, 40, 0.0))
-LABELLED = [
-    *((2, 0, w, d, *n, 1) for w, d in ((1, 0.0), (6, 0.0), (30, 0.0), (120, 0.1), (12, 1.0)) for n in _AROUND),
-    *((2, 1, w, d, *n, 0) for w, d in ((2, 1.0), (9, 0.0), (60, 0.0), (15, 0.5)) for n in _AROUND),
-    *((0, f, w, d, *n, 0) for f in (0, 1) for w, d in ((1, 1.0), (8, 0.0), (40, 0.0), (200, 0.3)) for n in _AROUND),
-    *((1, 1, w, d, *n, 0) for w, d in ((1, 1.0), (8, 0.0), (45, 0.0), (150, 0.1)) for n in _AROUND),
-    *((1, 0, w, d, *n, 1) for w, d in ((14, 0.0), (30, 0.1), (90, 0.0), (160, 0.2)) for n in _AROUND),
-    *((1, 0, w, d, *n, 0) for w, d in ((1, 1.0), (3, 0.9), (20, 0.8), (60, 0.7)) for n in _AROUND),
-    *((1, 0, w, 0.0, *n, 1) for w in (1, 5, 9) for n in ((40, 0.0, 35, 0.0), (20, 0.0, 60, 0.1), (25, 0.0, 20, 0.0), (40, 0.0, 30, 0.0))),
-    *((1, 0, w, 0.0, *n, 0) for w in (1, 4, 8) for n in ((2, 1.0, 3, 1.0), (0, 0.0, 2, 1.0), (6, 0.5, 0, 0.0), (4, 0.0, 3, 0.0))),
-]
+def labelled_rows(text: str = LABELLED) -> tuple[np.ndarray, np.ndarray]:
+    x, y = [], []
+    for page in text.strip().split("\n\n"):
+        lines = [line.split()[:6] for line in page.split("\n")]
+        found = [("", "onm".index(p), int(h == "b"), int(h == "f"), int(w), int(k), int(c)) for p, h, w, k, c, _ in lines]
+        x += [_row(found, i) for i in range(len(found))]
+        y += [line[5] == "+" for line in lines]
+    return np.array(x, float), np.array(y, float)
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple | int:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> tuple | int:
     """(feature, threshold, tree at most, tree above) or a class."""
     share = y.mean()
     if depth == 0 or share in (0.0, 1.0):
@@ -120,8 +339,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple | int:
 
 @functools.lru_cache(1)
 def tree() -> tuple | int:
-    rows = np.array(LABELLED, float)
-    return grow(rows[:, :-1], rows[:, -1])
+    return grow(*labelled_rows())
 
 
 def decide(node: tuple | int, row: tuple) -> int:
@@ -132,9 +350,7 @@ def decide(node: tuple | int, row: tuple) -> int:
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    size = [(0, 0.0), *((w, k / w) for _, _, _, w, k in found), (0, 0.0)]
-    keep = [t for i, (t, place, furniture, _, _) in enumerate(found) if decide(tree(), (place, int(furniture), *size[i + 1], *size[i], *size[i + 2]))]
-    return "\n".join(keep)
+    return "\n".join(x[0] for i, x in enumerate(found) if decide(tree(), _row(found, i)))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,6 +365,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     A null or blank page, or one without main text, has an empty text; null ids and urls are kept, repeated rows
     are extracted each; other columns are ignored; an empty table gives an empty result.
     """
+    bound_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
     return pages.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
