@@ -77,6 +77,19 @@ def test_redaction_keeps_columns(spark):
             assert (out[doc].text or "") == want + (text or "")[at:]
 
 
+def test_many_matches_and_long_candidates(spark):
+    ratios = train_markov(labelled_samples(spark, 2000))
+    digests = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(20000)]
+    coded = "Zk3Tq9XvB7LmPw2RdY8sHc4N"
+    rows = [(1, "é" + " token=".join(digests)), (2, coded * 3000), (3, " ".join(f"{d} {coded}" for d in digests[:3000]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in scan_secrets(df, ratios).collect()}
+    assert sorted((x.s, x.k, x.e) for x in out[1].base) == base(rows[0][1])
+    assert [(x.s, x.e) for x in out[2].more] == [(0, 72000)] and len(out[3].more) == 3000
+    clean = {r.doc_id: r.text for r in redact(df, ratios).collect()}
+    assert clean[2] == "[SECRET]" and clean[3] == " ".join(["[SECRET]"] * 6000) and clean[1] == "é[SECRET] " + " ".join(["[SECRET]"] * 19999)
+
+
 def test_samples_are_told_apart(spark):
     held = labelled_samples(spark, 3000)
     ratios = train_markov(held.where("pmod(xxhash64(token), 5) <> 0"))

@@ -88,15 +88,31 @@ def train_markov(samples: DataFrame) -> list[float]:
     return [x[0] for x in grid.select(F.round(ratio, 6).alias("x"), "a", "b").orderBy("a", "b").select("x").collect()]
 
 
+#: Entries of an array that are summed one after the other; code points of a piece of text that is cut.
+RUN, PIECE = 256, 4096
+
+
+def _running(array: str, step: str) -> str:
+    """SQL of the running results of step (sum or greatest of x and y) over an array of numbers that are 0 or more, in runs, as appending copies an array."""
+    both = {"sum": "({} + {})", "greatest": "greatest({}, {})"}[step].format
+    runs = f"transform(sequence(0, (size(whole) - 1) div {RUN}), c -> slice(whole, c * {RUN} + 1, {RUN}))"
+    totals = f"transform(runs, p -> aggregate(p, 0, (x, y) -> {both('x', 'y')}))"
+
+    def one_by_one(start: str, array: str, value: str) -> str:
+        """Results before (a.at) or with (the step) each entry of a short array."""
+        return f"aggregate({array}, named_struct('at', {start}, 'out', cast(array() as array<int>)), (a, y) -> named_struct('at', {both('a.at', 'y')}, 'out', array_append(a.out, {value})), a -> a.out)"
+
+    each = f"zip_with(runs, {one_by_one('0', totals, 'a.at')}, (p, v) -> {one_by_one('v', 'p', both('a.at', 'y'))})"
+    return f"transform(array({array}), whole -> transform(array({runs}), runs -> flatten({each}))[0])[0]"
+
+
 def _found(kind: str, pattern: str, fits: str = "true", group: int = 0) -> str:
-    """SQL of an array of (start, end, kind, of) for the matches of pattern in t; `of` is the group's text and may be tested in fits."""
+    """SQL of an array of (start, kind, end, v) for the matches of pattern in t; v is the group's text and may be tested in fits."""
     p = pattern.replace("\\", "\\\\").replace("'", "\\'")
     k = KINDS.index(kind)
-    empty = "cast(array() as array<struct<s:int,k:int,e:int,v:string>>)"
-    walk = f"""aggregate(sequence(1, size(m.all)), named_struct('at', 0, 'out', {empty}), (acc, i) -> named_struct(
-        'at', acc.at + length(m.gaps[i - 1]) + length(m.all[i - 1]),
-        'out', array_append(acc.out, named_struct('s', acc.at + length(m.gaps[i - 1]), 'k', {k}, 'e', acc.at + length(m.gaps[i - 1]) + length(m.all[i - 1]), 'v', m.vals[i - 1]))), acc -> acc.out)"""
-    return f"""case when t rlike '{p}' then filter(transform(array(named_struct('all', regexp_extract_all(t, '{p}', 0), 'vals', regexp_extract_all(t, '{p}', {group}), 'gaps', split(t, '{p}', -1))), m -> {walk})[0], x -> {fits}) else {empty} end"""
+    ends = _running("transform(sequence(0, size(m.all) - 1), i -> length(m.gaps[i]) + length(m.all[i]))", "sum")
+    spans = f"transform(array({ends}), ends -> transform(sequence(0, size(m.all) - 1), i -> named_struct('s', ends[i] - length(m.all[i]), 'k', {k}, 'e', ends[i], 'v', m.vals[i])))[0]"
+    return f"""case when t rlike '{p}' then filter(transform(array(named_struct('all', regexp_extract_all(t, '{p}', 0), 'vals', regexp_extract_all(t, '{p}', {group}), 'gaps', split(t, '{p}', -1))), m -> {spans})[0], x -> {fits}) else cast(array() as array<struct<s:int,k:int,e:int,v:string>>) end"""
 
 
 def _joined(spans: str) -> str:
@@ -119,11 +135,19 @@ def scan_secrets(docs: DataFrame, ratios: list[float]) -> DataFrame:
     out = out.withColumn("n_assign", F.size("b1").cast("long")).withColumn("n_access", F.size("b2").cast("long")).withColumn("n_hex", F.size("b3").cast("long"))
     mixed = "x.v rlike '[0-9]' and x.v rlike '[A-Za-z]'"
     out = out.withColumn("c", F.expr(_found("markov", CANDIDATE, mixed)))
-    mean = f"""aggregate(sequence(1, length(x.v) - 1), 0D, (acc, i) -> acc + model[instr('{ALPHABET}', substring(x.v, i, 1)) * {size} + instr('{ALPHABET}', substring(x.v, i + 1, 1))]) / (length(x.v) - 1)"""
-    apart = "not exists(base, y -> y.s < x.e and x.s < y.e)"
+    # Pieces of a long candidate overlap by a character, so that each step is in one of them.
+    pieces = f"regexp_extract_all(x.v, '(?=(.{{1,{RUN + 1}}})).{{1,{RUN}}}', 1)"
+    steps = f"""aggregate(sequence(1, length(p) - 1), 0D, (acc, i) -> acc + model[instr('{ALPHABET}', substring(p, i, 1)) * {size} + instr('{ALPHABET}', substring(p, i + 1, 1))])"""
+    mean = f"aggregate(filter({pieces}, p -> length(p) > 1), 0D, (acc, p) -> acc + {steps}) / (length(x.v) - 1)"
+    # Spans of the base that begin before a candidate ends are counted by halving; the furthest end of these must not lie behind its start.
+    mid = "shiftright(a.lo + a.hi, 1)"
+    half = f"case when a.lo >= a.hi then a when b[{mid}].s < x.e then named_struct('lo', {mid} + 1, 'hi', a.hi) else named_struct('lo', a.lo, 'hi', {mid}) end"
+    begun = f"aggregate(sequence(1, cast(ceil(log2(size(b) + 1)) as int) + 1), named_struct('lo', 0, 'hi', size(b)), (a, i) -> {half}, a -> a.lo)"
+    apart = f"transform(array({begun}), n -> case when n = 0 then true else far[n - 1] <= x.s end)[0]"
+    alone = f"transform(array(array_sort(base)), b -> transform(array({_running('transform(b, y -> y.e)', 'greatest')}), far -> filter(c, x -> {apart})))[0][0]"
     # The model is a constant of a small projection: only rows with candidates touch it.
     out = out.withColumn("model", model)
-    return out.withColumn("more", F.expr(f"case when size(c) > 0 then filter(c, x -> {apart} and {mean} >= {MARGIN}) else c end")).drop("b1", "b2", "b3", "c", "model")
+    return out.withColumn("more", F.expr(f"case when size(c) > 0 then filter(case when size(base) > 0 then {alone} else c end, x -> {mean} >= {MARGIN}) else c end")).drop("b1", "b2", "b3", "c", "model")
 
 
 def op10_secret_scan(spark, sf_dir: str) -> DataFrame:
@@ -134,14 +158,20 @@ def op10_secret_scan(spark, sf_dir: str) -> DataFrame:
 def redact(docs: DataFrame, ratios: list[float], mark: str = "[SECRET]") -> DataFrame:
     """docs with every span replaced by mark in text (spans that overlap are replaced as one); n_chars follows where docs has it."""
     names = docs.columns
-    merged = """aggregate(array_sort(concat(base, more)), cast(array() as array<struct<s:int,e:int>>), (acc, x) ->
-        case when size(acc) > 0 and x.s < acc[size(acc) - 1].e
-        then array_append(slice(acc, 1, size(acc) - 1), named_struct('s', acc[size(acc) - 1].s, 'e', greatest(x.e, acc[size(acc) - 1].e)))
-        else array_append(acc, named_struct('s', x.s, 'e', x.e)) end)"""
-    clean = f"""aggregate(r.cut, named_struct('at', 0, 'out', ''), (acc, x) -> named_struct('at', x.e, 'out', concat(acc.out, substring(t, acc.at + 1, x.s - acc.at), '{mark}')), acc -> concat(acc.out, substring(t, acc.at + 1)))"""
+    far = _running("transform(a, x -> x.e)", "greatest")
+    heads = "filter(sequence(0, size(a) - 1), i -> case when i = 0 then true else a[i].s >= m[i - 1] end)"
+    spans = "transform(sequence(0, size(h) - 1), j -> named_struct('s', a[h[j]].s, 'e', m[case when j + 1 < size(h) then h[j + 1] - 1 else size(a) - 1 end]))"
+    merged = f"transform(array(array_sort(concat(base, more))), a -> transform(array({far}), m -> transform(array({heads}), h -> {spans})[0])[0])[0]"
+
+    def part(lo: str, hi: str) -> str:
+        cut = f"substring(pieces[c], greatest({lo} - c * {PIECE}, 0) + 1, least({hi} - c * {PIECE}, {PIECE}) - greatest({lo} - c * {PIECE}, 0))"
+        return f"case when {lo} < {hi} then array_join(transform(sequence({lo} div {PIECE}, ({hi} - 1) div {PIECE}), c -> {cut}), '') else '' end"
+
+    before = part("(case when j = 0 then 0 else r[j - 1].e end)", "r[j].s")
+    clean = f"transform(array(regexp_extract_all(t, '(?s).{{1,{PIECE}}}', 0)), pieces -> concat(array_join(transform(sequence(0, size(r) - 1), j -> concat({before}, '{mark}')), ''), {part('r[size(r) - 1].e', 'length(t)')}))[0]"
     inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("text").alias("text"))
     out = scan_secrets(inner, ratios)
-    text = F.expr(f"case when size(base) + size(more) > 0 then transform(array(named_struct('cut', {merged})), r -> {clean})[0] else text end")
+    text = F.expr(f"case when size(base) + size(more) > 0 then transform(array({merged}), r -> {clean})[0] else text end")
     out = out.withColumn("new_text", text)
     cols = {"text": F.col("new_text")}
     if "n_chars" in names:
