@@ -100,8 +100,9 @@ def test_topk_whole_table(spark):
 
 
 def test_topk_edges(spark, monkeypatch):
-    monkeypatch.setattr(op6_kdtree, "SHARD", 30)
-    monkeypatch.setattr(op6_kdtree, "QUERIES", 2)
+    monkeypatch.setattr(op6_kdtree, "SHARD", 120)
+    monkeypatch.setattr(op6_kdtree, "LEAF", 4)
+    monkeypatch.setattr(op6_kdtree, "WAVE", 2)
     r = np.random.default_rng(2)
     rows = [(i, [float(x) for x in r.integers(-2, 3, 4) / 4]) for i in range(200)]
     bad = [(300, None), (350, [1.0, None, 0.0, 0.0]), (400, [float("nan")] * 4), (450, [float("inf")] * 4), (None, [0.0] * 4), (500, [])]
@@ -110,3 +111,30 @@ def test_topk_edges(spark, monkeypatch):
     want = [(q, n + 1, i, s) for q in range(0, 200, 50) for n, (s, i) in enumerate([(-a, b) for a, b in sorted((-int(x[q] @ x[i]), i) for i in x if i != q)[:5]])]
     assert sorted(tuple(t) for t in op6_kdtree.top_k(df).select("query_id", "rank", "vec_id", "score").collect()) == want
     assert op6_kdtree.top_k(df.limit(0)).count() == 0 and op6_kdtree.top_k(df.where("vec_id = 0").limit(1)).count() == 0
+
+
+def test_topk_large_components_and_mixed_lengths(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in r.normal(0, 10.0 ** (i % 9), 3 + i % 2)]) for i in range(120)] + [(1000, [1e150] * 3), (1050, [-3e15, 1e15, 7.0]), (1100, [1e307] * 3)]
+    v = {i: [int(np.floor(256 * np.array(c))) if abs(c) < 1e15 else int(256 * c) for c in x] for i, x in rows if i != 1100}
+    want = []
+    for q in (i for i in v if i % 50 == 0):
+        scored = sorted((-sum(a * b for a, b in zip(v[q], v[i])), i) for i in v if i != q and len(v[i]) == len(v[q]))[:5]
+        want += [(q, n + 1, i, min(max(-s, -(2**63)), 2**63 - 1)) for n, (s, i) in enumerate(scored)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(t) for t in op6_kdtree.top_k(df).select("query_id", "rank", "vec_id", "score").collect()) == sorted(want)
+
+
+def test_topk_carries_the_kth_score_on():
+    r = np.random.default_rng(1)
+    x = r.integers(-9, 10, (2000, 4)).astype(float)
+    trees = [op6_kdtree.Tree.load(*op6_kdtree.Tree(np.arange(a, a + 1000), x[a : a + 1000]).stored()).exact(9) for a in (0, 1000)]
+    best, q = [], np.array([9, 9, 9, 9])
+    for t in trees:
+        t.top(q, -1, 5, best)
+    assert sorted(best, reverse=True) == sorted(((int(s), -i) for i, s in enumerate((x @ q).astype(int))), reverse=True)[:5]
+    looked = []
+    t = trees[1]
+    t.x = type("Seen", (), {"__getitem__": lambda _, s: looked.append(s) or x[s.start + 1000 : s.stop + 1000].astype(int)})()
+    t.top(q, -1, 5, [(10**6, 0)] * 5)
+    assert not looked  # nothing in this shard can beat what the query brings along
