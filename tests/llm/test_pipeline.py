@@ -65,7 +65,7 @@ def test_mixing_against_plain_fitting(spark):
 def test_mixing_edges(spark):
     rows = [(i, None if i % 7 == 0 else "text " * i, None if i % 5 == 0 else "en", None if i % 3 == 0 else f"s{i % 2}") for i in range(60)] + [(None, "x", "en", "s1")]
     df = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, lang string, source string").withColumn("p", F.lit("z")).withColumn("weight", F.lit("z"))
-    out = op1_mixing.mix(df, df.columns, budget=0.9, targets={"lang": {"en": 3.0, "(none)": 1.0}}).select("row.*")
+    out = op1_mixing.mix(df, df.columns, budget=0.9, targets={"lang": {"en": 3.0, None: 1.0}}).select("row.*")
     assert out.columns == df.columns and 0 < out.count() <= 64
     assert op1_mixing.mix(df.limit(0), ["doc_id"]).count() == 0
 

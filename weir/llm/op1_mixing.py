@@ -15,42 +15,48 @@ from pyspark.sql import Window
 
 from weir.session import settle, table
 
-#: Topics by the first of these that a text holds; strings are cheaper to find than patterns, and patterns begin with what is rare.
-TOPICS = (("license", ("icensed under", "MIT License", "opyright")), ("contact", "@[A-Za-z0-9-]+[.][A-Za-z]"), ("table", (" | ",)), ("numbers", "[0-9]{4}"))
+#: Topics by the first of these that a text holds: words in any case, else a pattern (with a string that each of its matches holds, which is cheaper to find).
+TOPICS = (("license", ("licensed", "licenced", "copyright"), None), ("contact", ("@",), "[A-Za-z0-9._-]@[A-Za-z0-9-]+[.][A-Za-z]"), ("table", (" | ",), None), ("numbers", (), "[0-9]{4}"))
 DIMS = ("source", "lang", "topic")
 #: A target marginal is the token share to this power, rescaled; explicit shares can replace it.
 POWER = {"source": 0.5, "lang": 0.7, "topic": 0.7}
-BUDGET, ROUNDS, CLOSE = 0.5, 30, 1e-6
-_NONE = "(none)"
+#: Share of tokens drawn; fits of all dimensions at most, and before the cells are written; greatest gap that ends fitting.
+BUDGET, ROUNDS, SWEEPS, CLOSE = 0.5, 32, 4, 1e-6
 
 
 def topic() -> Column:
     t = F.coalesce(F.col("text"), F.lit(""))
+    low = F.lower(t)
     out = F.when(F.length(F.trim(t)) == 0, "empty")
-    for name, sign in TOPICS:
-        hit = F.lit(False)
-        for s in (sign,) if isinstance(sign, str) else sign:
-            hit = hit | (t.rlike(s) if isinstance(sign, str) else F.contains(t, F.lit(s)))
-        out = out.when(hit, name)
+    for name, words, pattern in TOPICS:
+        hit = F.lit(not words)
+        for w in words:
+            hit = hit | F.contains(low, F.lit(w))
+        out = out.when(hit if pattern is None else hit & t.rlike(pattern), name)
     return out.otherwise("prose")
 
 
+def named(value: str | None) -> str:
+    """The name of a source or language in the table of cells: null is a value of its own, apart from every string."""
+    return "" if value is None else f"={value}"
+
+
 def tokens() -> Column:
     """About four bytes a token, one at least."""
     return F.greatest(F.ceil(F.octet_length(F.coalesce(F.col("text"), F.lit(""))) / 4), F.lit(1)).cast("long")
 
 
 def _described(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """row (the columns, as a struct) beside id, source, lang, topic and tokens, null names made one value."""
+    """row (the columns, as a struct) beside id, source, lang (see named), topic and tokens."""
     row = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")
-    name = [F.coalesce(F.col(c).cast("string"), F.lit(_NONE)).alias(c) for c in ("source", "lang")]
+    name = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(c) for c in ("source", "lang")]
     return docs.select(row, F.col("doc_id").cast("long").alias("id"), *name, topic().alias("topic"), tokens().alias("tokens"))
 
 
 def fit_cells(described: DataFrame, budget: float = BUDGET, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """(source, lang, topic, n, tokens, weight, p) of each cell: fitted share of tokens, probability of its rows.
 
-    targets: shares by dimension and value; values that it leaves out get none. A dimension without targets gets
+    source and lang are written as by named. targets: shares by dimension and value (None for null); values that it leaves out get none. A dimension without targets gets
     the token shares to its POWER. Where targets contradict each other or an empty cell, fitting stops after ROUNDS.
     """
     spark = described.sparkSession
@@ -61,23 +67,24 @@ def fit_cells(described: DataFrame, budget: float = BUDGET, targets: dict[str, d
         return cells.withColumn("weight", F.lit(0.0)).withColumn("p", F.lit(0.0))
     for d in DIMS:
         if targets and d in targets:
-            pairs = [x for v, s in targets[d].items() for x in (F.lit(v), F.lit(float(s) / sum(targets[d].values())))]
+            pairs = [x for v, s in targets[d].items() for x in (F.lit(v if d == "topic" else named(v)), F.lit(float(s) / sum(targets[d].values())))]
             cells = cells.withColumn(f"want_{d}", F.coalesce(F.create_map(*pairs)[F.col(d)], F.lit(0.0)))
         else:
             margin = cells.groupBy(d).agg((F.sum("tokens") / total).alias("share")).withColumn("power", F.pow("share", F.lit(POWER[d])))
             scale = margin.agg(F.sum("power")).first()[0]
             cells = cells.join(margin.select(d, (F.col("power") / scale).alias(f"want_{d}")), d)
     cells = settle(cells.withColumn("weight", F.col("tokens") / total), "wanted")
-    for _ in range(ROUNDS):
-        for d in DIMS:
-            got = F.sum("weight").over(Window.partitionBy(d))
-            cells = cells.withColumn("weight", F.when(got > 0, F.col("weight") * F.col(f"want_{d}") / got).otherwise(0.0))
-        cells = settle(cells, "raked")
-        off = None
-        for d in DIMS[:-1]:  # the last one was fitted last
-            gap = cells.groupBy(d).agg(F.abs(F.sum("weight") - F.first(f"want_{d}")).alias("gap")).agg(F.max("gap").alias("gap"))
-            off = gap if off is None else off.union(gap)
-        if off.agg(F.max("gap")).first()[0] < CLOSE:
+    for _ in range(0, ROUNDS, SWEEPS):
+        for _ in range(SWEEPS):
+            for d in DIMS:
+                got = F.sum("weight").over(Window.partitionBy(d))
+                cells = cells.withColumn("weight", F.when(got > 0, F.col("weight") * F.col(f"want_{d}") / got).otherwise(0.0))
+        # The gap of the dimensions fitted before the last one goes with the cells.
+        gaps = [F.abs(F.sum("weight").over(Window.partitionBy(d)) - F.col(f"want_{d}")) for d in DIMS[:-1]]
+        cells = settle(cells.withColumn("gap", F.greatest(*gaps)), "raked")
+        off = cells.agg(F.max("gap")).first()[0]
+        cells = cells.drop("gap")
+        if off < CLOSE:
             break
     rate = F.col("weight") / F.col("tokens")
     factor = budget * total
