@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.session import table
+from weir.session import bound_batches, table
 
-#: Samples of a row, which padding completes; side of a tile.
-WIDTH, TILE = 64, 32
+#: Samples of a row, which padding completes; side of a tile; rows of an image that are summed at once.
+WIDTH, TILE, BAND = 64, 32, 4096
 _PNM = re.compile(rb"P([56])(?:\s+|#[^\n]*\n)+(\d+)(?:\s+|#[^\n]*\n)+(\d+)(?:\s+|#[^\n]*\n)+(\d+)\s")
 
 
@@ -68,18 +68,31 @@ def decode(b: bytes) -> np.ndarray:
     raise ValueError("unknown image")
 
 
-def area_resize(a: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean of the area that each target cell covers, from the integral image, parts of samples included."""
-    total = np.zeros((a.shape[0] + 1, a.shape[1] + 1))
-    np.cumsum(np.cumsum(a, axis=0, dtype=np.float64), axis=1, out=total[1:, 1:])
+def _between(n: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The borders of n samples cut into equal parts: the sample that each lies in, and how far."""
+    at = np.linspace(0, n, parts + 1)
+    low = np.minimum(at.astype(int), n - 1)
+    return low, (at - low).reshape(-1, 1)
+
 
-    def along(t: np.ndarray, n: int) -> np.ndarray:
-        at = np.linspace(0, t.shape[0] - 1, n + 1)
-        low = np.minimum(at.astype(int), t.shape[0] - 2)
-        part = (at - low).reshape(-1, 1)
-        return t[low] * (1 - part) + t[low + 1] * part
+def _integral_rows(a: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """These rows of the integral image (rows ascend), summed in bands: no more than BAND rows are held as numbers at once."""
+    out = np.zeros((len(rows), a.shape[1] + 1))
+    above = np.zeros(a.shape[1])
+    for lo in range(0, a.shape[0], BAND):
+        band = np.cumsum(a[lo : lo + BAND], axis=0, dtype=np.float64) + above
+        here = np.flatnonzero((rows > lo) & (rows <= lo + len(band)))
+        out[here, 1:] = band[rows[here] - lo - 1]
+        above = band[-1]
+    return np.cumsum(out, axis=1)
 
-    edge = along(along(total, height).T, width).T
+
+def area_resize(a: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Mean of the area that each target cell covers, from the integral image, parts of samples included."""
+    low, part = _between(a.shape[0], height)
+    total = _integral_rows(a, low) * (1 - part) + _integral_rows(a, low + 1) * part
+    low, part = _between(a.shape[1], width)
+    edge = (total.T[low] * (1 - part) + total.T[low + 1] * part).T
     return np.diff(np.diff(edge, axis=0), axis=1) * (height * width / (a.shape[0] * a.shape[1]))
 
 
@@ -107,8 +120,8 @@ def _store(batches: Iterator[pa.RecordBatch], form: str) -> Iterator[pa.RecordBa
     names = [x.split()[0] for x in _OUT.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()]
     for batch in batches:
-        for lo in range(0, batch.num_rows, 500):
-            part = batch.slice(lo, 500)
+        for lo in range(0, batch.num_rows, 200):
+            part = batch.slice(lo, 200)
             rows = []
             for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text")):
                 raw = (text.as_py() or "").encode()
@@ -126,6 +139,7 @@ def media_columns(docs: DataFrame, form: str = "pgm") -> DataFrame:
     least), so a null or empty text is a row of zeros. Repeated rows give equal rows, a null doc_id is kept;
     other columns are ignored; an empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_store, form=form), _OUT)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weir.llm import wordhash as W
-from weir.session import table
+from weir.session import bound_batches, table
 
 #: Labelled rows that training takes at most (a documented bound), pairs for each good one, penalty, and the score of the threshold.
 SAMPLE, PAIRS, PENALTY, CUT = 20_000, 8, 1e-3, 0.7
@@ -141,15 +141,18 @@ def held_out(column: str = "doc_id"):
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = features(batch.column("text"))
-        yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(list(x), pa.list_(pa.float64()))], ["quality", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), batch.column("s"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "quality", "s", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Ranker:
-    """A ranker from the rows of docs that labels marks, held-out folds left out; at most SAMPLE rows, those of smallest hash."""
+    """A ranker from the rows of docs that labels marks, held-out folds left out; at most SAMPLE doc_ids, those of smallest hash, with one text each."""
     marked = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("quality").alias("hi"))
     marked = marked.where("quality = hi").where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("doc_id", "quality")
-    rows = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("doc_id", "quality", "text")
-    t = rows.mapInArrow(_labelled, "quality int, x array<double>").toArrow()
+    bound_batches(docs.sparkSession)
+    rows = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "quality", F.xxhash64("text").alias("s"), "text")
+    rows = rows.mapInArrow(_labelled, "doc_id long, quality int, s long, x array<double>")
+    # Of texts that share a doc_id one counts, so that no more than SAMPLE rows reach the driver.
+    t = rows.groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min_by("x", "s").alias("x")).toArrow()
     x = np.array(t.column("x").to_pylist(), float).reshape(-1, FEATURES)
     y = t.column("quality").to_numpy()
     order = np.lexsort((*x.T[::-1], y))  # the same pairs however rows are dealt
@@ -169,6 +172,7 @@ def score_quality(docs: DataFrame, ranker: Ranker, keep: list[str]) -> DataFrame
     A null text counts as empty and gets an empty text's score. Rows are scored each for itself; an empty table
     gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(ranker)
     rows = docs.select(*(F.col(f"`{c}`") for c in keep))
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", `score` double"

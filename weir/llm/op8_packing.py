@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from weir.session import settle, table
+from weir.session import bound_batches, settle, table
 
 GRAIN = 8
 #: Pieces of a class that are ranked in one task, about.
@@ -55,19 +55,21 @@ def _encoder(name: str):
     return encode
 
 
-_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], name: str, capacity: int) -> Iterator[pa.RecordBatch]:
     encode = _encoder(name)
+    turn = 0  # tells repeated rows apart
     for batch in batches:
         rows: list[tuple] = []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
             ids = np.append(encode(text.as_py() or ""), np.uint32(END_ID)).astype("<u4")
             for a in range(0, len(ids), capacity):
                 part = ids[a : a + capacity]
-                rows.append((doc, a, len(part), zlib.crc32(part.tobytes()), len(ids)))
-        cols = zip(*rows) if rows else [[]] * 5
+                rows.append((doc, a, len(part), zlib.crc32(part.tobytes()), len(ids), turn))
+                turn += 1
+        cols = zip(*rows) if rows else [[]] * 6
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], [x.split()[0] for x in _PIECES.split(", ")])
 
 
@@ -165,12 +167,13 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str = "byte
     gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = settle(docs.mapInArrow(partial(_pieces, name=tokenizer, capacity=capacity), _PIECES), "pieces")
     pieces = pieces.withColumn("class", F.ceil(F.col("length") / GRAIN).cast("int"))
     rows = pieces.count()
     buckets = max(1, -(-rows // BUCKET))
-    pieces = pieces.withColumn("bucket", F.expr(f"pmod(xxhash64(doc_id, start, ids_crc32), {buckets})"))
+    pieces = pieces.withColumn("bucket", F.expr(f"pmod(xxhash64(doc_id, start, ids_crc32, salt), {buckets})"))
     counts = pieces.groupBy("class", "bucket").agg(F.count("*").alias("n"))
     first = counts.select("class", "bucket", (F.sum("n").over(Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("first"))
     demand = {r["class"]: r["n"] for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect()}
@@ -185,7 +188,7 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str = "byte
     # At most a few hundred classes by a few hundred patterns.
     schema = "class int, lo long, hi long, k long, base long, slot long"
     plan = F.broadcast(spark.createDataFrame(runs or [(0, 0, 0, 1, 0, 0)], schema))
-    ranked = pieces.join(first, ["class", "bucket"]).withColumn("rank", F.col("first") + F.row_number().over(Window.partitionBy("class", "bucket").orderBy("doc_id", "start", "ids_crc32")) - 1)
+    ranked = pieces.join(first, ["class", "bucket"]).withColumn("rank", F.col("first") + F.row_number().over(Window.partitionBy("class", "bucket").orderBy("doc_id", "start", "ids_crc32", "salt")) - 1)
     placed = ranked.join(plan, (ranked["class"] == plan["class"]) & (ranked["rank"] >= plan["lo"]) & (ranked["rank"] < plan["hi"])).drop(plan["class"])
     placed = placed.withColumn("sequence_id", F.expr("base + (rank - lo) div k")).withColumn("slot", F.expr("slot + (rank - lo) % k"))
     before = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
