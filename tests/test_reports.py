@@ -37,7 +37,7 @@ def log():
 WANT = {
     "summary": "EVENTS", "waits": "CONCENTRATED", "spins": "LIVELOCK", "pairing": "STUCK-SIGNALED", "doublefree": "LOGIC", "abortpm": "ABORT", "signals": "TEARDOWN-ONLY", "endstate": "STALLED", "iowait": "IOWAIT-PARKED",
     "heapstk": "HEAPSTACK", "futex": "FUTEX-PARKED", "keyedevt": "WEDGED", "sched": "FAST", "work-conservation": "CONSERVING", "placement-race": "PLACEMENT-MISS", "dispatch-stall": "PREEMPT-STARVED", "kick-latency": "UNANSWERED",
-    "kstrand": "STRAND-HELD", "slice": "EVEN", "storm": "IDLE-REENQUEUE-CHURN", "service": "SKEWED", "wakers": "NO-HOT-WAKERS", "locality": "CACHE-LOCAL", "classmix": "CLASS-MIX", "field-persist": "LATCHED", "iolat": "IO", "seat": "SEATED",
+    "kstrand": "STRAND-HELD", "slice": "EVEN", "storm": "IDLE-REENQUEUE-CHURN", "service": "SKEWED", "wakers": "NO-HOT-WAKERS", "locality": "CACHE-LOCAL", "classmix": "CLASS-MIX", "field-persist": "LATCHED", "iolat": "IO", "seat": "NONE",
 }
 EMPTY = {"summary": "EMPTY", "waits": "NO-WAITS", "spins": "NONE", "sched": "NO-WAKE2RUN", "fractal": "NO-SCHED", "matrix-profile": "NO-PROFILE", "locality": "NO-TOPOLOGY", "placement-race": "NO-IDLE-STREAM", "endstate": "NO-THREADS"}
 
@@ -78,3 +78,159 @@ def test_renderings_and_golden(events):
     r = R.run_reports(events, ["iolat", "storm"])
     assert any('weir_iolat_worst_ms{report="iolat"} 3.0' == x.line for x in R.to_prometheus(r).collect()) and R.to_json(r).count() == 2
     assert all(x.ok for x in R.compare_golden(r, r).collect())
+
+
+def delay(i):
+    return 18 * MS if i % 1000 == 999 else 4 * MS if i % 100 == 99 else 2000 + i % 100 * 300
+
+
+def known_log(idle=True):
+    """The log whose classes and gauges FIXTURES.md (F2) lists; its numbers are fixed values."""
+    out = [T.header("synthetic", 10**9, 0)] + [pack(T.NAME, pid=p, comm=c) for p, c in ((1000, "a"), (1001, "b"), (1002, "c"), (7, "d"))]
+    put = lambda kind, **f: out.append(pack(kind, **f))
+
+    def task(op, cpu, pid, ts, waker=-1, last=-1, **f):
+        put(T.SCHED, op=op, cpu=cpu, pid=pid, secondary=waker, last_cpu=last, ts=ts, **f)
+
+    t = 10**9
+    for i in range(2000):
+        t += 50_000
+        cpu, pid, lat = i % 4, 1001 if i & 1 else 1002, delay(i)
+        task(R.WAKEUP, cpu, pid, t, waker=1000)
+        task(R.WAKE2RUN, cpu, pid, t + lat, sub=int(i % 3 == 0), runtime=lat)
+        task(R.SWITCH_IN, cpu, pid, t + lat + 1000)
+        if i % 7 == 0 and idle:
+            task(R.CPU_IDLE, cpu, 0, t + lat + 2000, sub=1)
+        task(R.PREEMPT_TICK, cpu, pid, t + 3000, runtime=9 * MS if i % 37 == 0 else 800_000 + i % 50 * 60_000, budget=MS)
+    t += 100_000
+    task(R.WAKE2RUN, 0, 7, t + 5 * MS, runtime=5 * MS)
+    t += 100_000
+    for k, (tid, cpu, ms) in enumerate(((801, 0, 60), (801, 0, 95), (802, 2, 140)), 1):
+        put(T.KSTRAND, tid=tid, cpu=cpu, allowed=1, runtime=ms * MS, ts=t + k * MS)
+    t += 100_000
+    tiers = ((0, 0, 0), (0, 0, 0), (1, 0, 0), (1, 1, 1))
+    put(T.PROVIDER, ts=t, name="cache_topology", payload="".join(f'cpu_topology{{cpu="{c}",l2="{a}",l3="{b}",socket="{d}"}} 1\n' for c, (a, b, d) in enumerate(tiers)))
+    t += 10_000
+    path = (0, 1, 2, 3, 2, 1)
+    for i in range(1, 36):
+        t += 40_000 + i % 5 * 7000
+        task(R.WAKE2RUN, path[i % 6], 1002, t, last=path[(i - 1) % 6], runtime=12_000)
+    t += 100_000
+    for i in range(12):
+        t += 50_000
+        task(R.KICK, i % 4, -1, t)
+        if i % 5 != 4:
+            task(R.RESCHED, i % 4, -1, t + 3000 + i % 4 * 1500)
+    t += 100_000
+    for _ in range(20):
+        for pid, weight in ((1000, 32), (1001, 8), (1002, 8), (1003, 4), (1004, 1)):
+            t += 1000
+            task(R.ENQUEUE, 0, pid, t, score=weight << 48)
+    t += 100_000
+
+    def sync(op, fd, obj, result, tid, ts, waits=0):
+        put(T.NTSYNC, pid=1000, tid=tid, op=op, fd=fd, obj=obj, result=result, ts=ts, wait_count=waits, fds=[fd] * waits, objs=[obj] * waits)
+
+    for k, (op, fd, obj) in enumerate(((6, 10, 0xE0000), (R.CREATE_SEM, 11, 0x50000), (R.CREATE_MUTEX, 12, 0xA0000))):
+        sync(op, fd, obj, 0, 1001, t + k * 1000)
+    for i in range(64):
+        sync(R.EVENT_SET, 10, 0xE0000, 0, 1001, t + 10_000 + i * 5000)
+        sync(R.EVENT_RESET, 10, 0xE0000, 0, 1001, t + 11_000 + i * 5000)
+        if i % 4 == 0:
+            sync(R.SEM_RELEASE, 11, 0x50000, 1, 1001, t + 12_000 + i * 5000)
+    sync(R.WAIT_ANY, 10, 0xE0000, -999, 1002, t + 500_000, 1)
+    for i in range(24):
+        sync(R.WAIT_ANY, 11, 0x50000, 0, 1001, t + 520_000 + i * 40_000, 1)
+    for i in range(1200):
+        sync(R.WAIT_ANY, 12, 0xA0000, 0, 1003, t + 560_000 + i * 5000, 1)
+    io = lambda nr, fd, result, count, tid, ts: put(T.IO, pid=1000, tid=tid, nr=nr, fd=fd, result=result, count=count, ts=ts)
+    for i in range(12):
+        io(202, 0, 0, 0xF00000, 1004, t + 600_000 + i * 30_000)
+    io(202, 0, -999, 0xF00000, 1005, t + 980_000)
+    t += 600_000
+    for i in range(32):
+        io(0, 5, 4096, 4096, 1001, t + i * 2000)
+        io(1, 6, 256, 256, 1001, t + i * 2000 + 500)
+    io(271, 9, -999, 0, 1002, t + 100_000)
+    t += 50_000
+    heap = lambda op, addr, size, tid, ts: put(T.HEAP, pid=1000, tid=tid, op=op, addr=addr, size=size, ts=ts)
+    end = lambda op, nr, tid, ts, code=0: put(T.SIGNAL, pid=1000, tid=tid, op=op, signal=nr, exit_code=code, ts=ts)
+    end(0, 11, 1006, t)
+    end(1, 11, 1006, t + 1000, 139)
+    heap(R.MALLOC, 0xABC000, 4096, 1007, t + 2000)
+    heap(R.MALLOC, 0xABD000, 8192, 1007, t + 3000)
+    end(0, 6, 1007, t + 4000)
+    end(1, 6, 1007, t + 5000, 134)
+    put(T.ABORT, pid=1000, tid=1007, line=42, ts=t + 4500, msg="m", loc="l")
+    t += 200_000
+    for k, (op, addr, size) in enumerate(((R.MALLOC, 0xAAAA00, 128), (R.FREE, 0xAAAA00, 0), (R.MALLOC, 0xBBBB00, 256), (R.FREE, 0xBBBB00, 0), (R.FREE, 0xBBBB00, 0))):
+        heap(op, addr, size, 1001, t + k * 1000)
+    return b"".join(out)
+
+
+#: The classes and gauges of that log.
+KNOWN = {
+    "locality": ("CACHE-LOCAL", {"locality_tier_moves_0": 23, "locality_tier_moves_1": 12, "locality_tier_moves_2": 0, "locality_tier_moves_3": 0, "locality_local_pct": 100, "locality_migration_rate_hz": 296.73338928877246, "locality_intermigration_us_p50": 54, "locality_intermigration_us_p99": 68}),
+    "summary": ("EVENTS", {"events_total": 9914, "dispatches_per_sec": 0, "preempts_per_sec": 16956.193673644142, 'events_total{type="6",subtype="wait_any"}': 1224, 'events_total{type="6",subtype="wait_any.enter"}': 1, 'events_total{type="7",subtype="WAKE2RUN"}': 2036, 'events_total{type="7",subtype="CPU_IDLE"}': 286, 'events_total{type="5",subtype="nr=202"}': 13, 'events_total{type="5",subtype="ppoll"}': 1, 'events_total{type="8",subtype="free"}': 3}),
+    "sched": ("FAST", {"wake2run_us_p50": 16.7, "wake2run_us_p99": 4000, "wake2run_us_p999": 5000, "wake2run_us_worst": 18000, "wake2run_fast_pct": 98.96856581532417, "wake2run_mid_pct": 0, "wake2run_tickfloor_pct": 1.031434184675835, "wake2run_crossdomain_pct": 32.76031434184676}),
+    "work-conservation": ("CONSERVING", {}), "placement-race": ("PLACEMENT-MISS", {"floored_wakes": 21, "placement_miss_pct": 100, "saturated_pct": 0, "avg_idle_at_miss": 3}),
+    "dispatch-stall": ("PREEMPT-STARVED", {"dispatch_preempt_pct": 100, "dispatch_order_pct": 0, "dispatch_avg_passovers": 0, "dispatch_passover_p99": 0, "dispatch_concentration_ratio": 0}),
+    "kick-latency": ("UNANSWERED", {"kicks_total": 12, "kicks_unanswered": 2, "kicks_tickless_raced": 0, "kick_unanswered_pct": 16.666666666666668, "kick_resched_us_p50": 6}),
+    "kstrand": ("STRAND-HELD", {"kstrand_events_total": 3, "kstrand_worst_held_ms": 140}), "slice": ("EVEN", {"slice_us_p50": 201.2, "slice_us_p99": 201.2, "slice_us_worst": 372.4}), "storm": ("NONE", {"storm_captured": 0}),
+    "service": ("SKEWED", {"service_top1_pct": 50.025205830915475, "service_pids": 2}), "wakers": ("NO-HOT-WAKERS", {"waker_pids": 1, "waker_hot_pids": 0, "waker_wakes_total": 2000, "waker_hot_threshold": 16000, "waker_messenger_wake2run_us_p99": 0, "waker_worker_wake2run_us_p50": 16.7, "waker_worker_wake2run_us_p99": 4000, "waker_worker_wake2run_us_p999": 5000}),
+    "waits": ("CONCENTRATED", {"waits_total": 1237}), "spins": ("LIVELOCK", {"spin_runs_total": 1, "spin_peak_rate_per_s": 200166.80567139282}), "pairing": ("STUCK-SIGNALED", {"pairing_waits": 1224, "pairing_signals": 144, "unsignaled_flag": 1}), "abortpm": ("ABORT", {"aborts_total": 1, "victim_bytes": 8192}),
+    "signals": ("TEARDOWN-ONLY", {"signal_exits_total": 2, "signal_delivers_total": 2, "midtrace_signal_deaths_total": 0}), "endstate": ("STALLED", {"endstate_blocked_threads": 1, "endstate_stalled_threads": 1}), "iowait": ("IOWAIT-PARKED", {}), "futex": ("FUTEX-PARKED", {"futex_blocked_threads": 2, "futex_idle_parked": 1, "futex_spinning": 0}),
+    "doublefree": ("LOGIC", {"doublefree_total": 1, "doublefree_cross_thread_total": 0, "frees_total": 3}), "fractal": ("UNCORRELATED", {}), "seat": ("SEATED", {"seat_floored_wake_ratio": 0.9896856581532416, "seat_self_preempting": 0}), "matrix-profile": ("DISCORD", {"matrix_profile_discord_score": 2.514803421750856, "matrix_profile_mean": 1.2110706012456653, "matrix_profile_discord_ms": 93.99220312499999}),
+    "classmix": ("CLASS-MIX", {"pids": 5}), "iolat": ("NO-IO", {}), "field-persist": ("NO-FIELD-GATE", {}), "keyedevt": ("NO-KEYED-EVENTS", {"keyedevt_wedged_threads": 0}), "heapstk": ("NO-HEAPSTACK", {}),
+}
+
+
+def test_known_log(spark, tmp_path):
+    (tmp_path / "a.mtk").write_bytes(known_log())
+    T.read_traces(spark, str(tmp_path / "a.mtk")).write.parquet(str(tmp_path / "e"))
+    e = spark.read.parquet(str(tmp_path / "e"))
+    got = {r["report"]: r for r in R.run_reports(e).collect()}
+    assert {k: got[k]["class"] for k in KNOWN} == {k: c for k, (c, _) in KNOWN.items()} and len(KNOWN) == 29
+    wrong = {(k, g): (got[k]["gauges"].get(g), v) for k, (_, gauges) in KNOWN.items() for g, v in gauges.items() if got[k]["gauges"].get(g) is None or abs(got[k]["gauges"][g] - v) > 1e-9 * max(1, abs(v))}
+    assert not wrong
+    off = {(r.kind, r.id): (r.value, r.sev) for r in R.offenders(e).collect()}
+    assert off["spin", "tid=1003"][1] == 2 and off["unsignaled", "fd=12"] == (1200, 2) and off["double-free", f"addr={0xBBBB00}"][0] == 256 and off["kthread-strand", "tid=802"] == (140, 2)
+    lines = [r.line for r in R.to_prometheus(R.run_reports(e, ["summary", "storm"])).collect()]
+    assert 'weir_events_total{type="7",subtype="WAKE2RUN",report="summary"} 2036.0' in lines and "# TYPE weir_events_total gauge" in lines
+    assert R.to_text(R.run_reports(e, ["storm"])).first().line == "VERDICT: storm is NONE: storm_captured 0.000"
+
+
+def test_known_log_without_idle_stream(spark, tmp_path):
+    (tmp_path / "a.mtk").write_bytes(known_log(idle=False))
+    assert R.REPORTS["placement-race"](T.read_traces(spark, str(tmp_path / "a.mtk"))).first()["class"] == "NO-IDLE-STREAM"
+
+
+def made(spark, *rows):
+    fields = [dict(zip(("type", "op", "ts", "pid", "tid", "cpu"), r[:6])) | r[6] for r in rows]
+    return spark.createDataFrame([tuple(({"seq": i, "file": "f"} | f).get(c) for c in T.COLUMNS) for i, f in enumerate(fields)], T.SCHEMA)
+
+
+def test_classes_that_depend_on_one_rule(spark):
+    cls = lambda name, *rows: R.REPORTS[name](made(spark, *rows)).first()["class"]
+    s = lambda op, ts=0, pid=1, cpu=0, **f: (T.SCHED, op, ts, pid, None, cpu, f)
+    assert cls("seat", *[s(R.SWITCH_IN)] * 20, *[s(R.WAKE2RUN, runtime=5)] * 8) == "SELF-PREEMPTING"
+    topo = (T.PROVIDER, None, 0, None, None, None, {"name": "cache_topology", "payload": "\n".join(f'x{{cpu="{c}",l2="{c // 2}",l3="{c // 4}",socket="{c // 8}"}} 1' for c in range(16))})
+    move = lambda a, b: s(R.WAKE2RUN, cpu=b, last_cpu=a, runtime=5)
+    assert cls("locality", topo, *[move(0, 1)] * 5, *[move(0, 2)] * 10) == "SCATTERED" and cls("locality", topo, *[move(0, 1)] * 10, *[move(0, 2)] * 5) == "CACHE-LOCAL"
+    assert cls("dispatch-stall", s(R.WAKEUP)) == "NO-FLOORED"
+    strand = lambda ts: (T.KSTRAND, None, ts, None, 9, 0, {"runtime": 60 * MS})
+    idle = (s(R.CPU_IDLE, 1000 * MS, sub=1), s(R.CPU_IDLE, 1100 * MS, sub=0))
+    assert cls("kstrand", *idle, strand(1090 * MS), strand(500 * MS), strand(600 * MS)) == "STRAND-HELD" and cls("kstrand", *idle, strand(1090 * MS), strand(500 * MS)) == "STRAND-DARK"
+    fx = lambda cmd, ts, tid, addr: (T.IO, None, ts, 1, tid, None, {"nr": 202, "fd": cmd, "count": addr, "result": 0})
+    spin = [fx(6, i * MS, 5, 64) for i in range(60)]
+    assert cls("futex", *spin) == "FUTEX-SPIN" and cls("futex", *spin, fx(0, 60 * MS, 6, 128), fx(0, 60 * MS, 7, 128)) == "FUTEX-PARKED"
+    assert cls("futex", *spin[:30], fx(6, 29 * MS, 5, 99), *spin[30:50]) == "FUTEX-PARKED"  # tries on one address in a row
+    wait = lambda ts, tid: (T.NTSYNC, R.WAIT_ANY, ts, 1, tid, None, {"result": -999, "fd": 1, "wait_count": 1, "objs": [5], "fds": [1]})
+    act = lambda ts, tid: (T.HEAP, R.MALLOC, ts, 1, tid, None, {"addr": 4096, "size": 1})
+    dead = lambda ts, tid: (T.SIGNAL, 1, ts, 1, tid, None, {"signal": 9})
+    assert cls("endstate", wait(0, 1), act(5 * MS, 1)) == "LOST-COMPLETION" and cls("endstate", wait(0, 1), act(5 * MS, 1), wait(0, 2)) == "STALLED"
+    assert cls("endstate", wait(0, 1), dead(5 * MS, 1)) == "NO-PARKED" and cls("endstate", wait(0, 1), dead(5 * MS, 1), act(3000 * MS, 2)) == "STALLED"
+    hit = lambda reenq, preempt, ms=100: (T.STORM, None, 0, None, None, None, {"interval_ms": ms, "kicks": 50, "preempt_kicks": preempt, "reenq": reenq})
+    assert cls("storm", hit(9000, 4500), hit(100, 0)) == "IDLE-REENQUEUE-CHURN" and cls("storm", hit(9000, 4000), hit(100, 600)) == "REAL-IPI-STORM"
+    g = R.REPORTS["storm"](made(spark, hit(9000, 4500), hit(100, 0, 300))).first()["gauges"]
+    assert g["storm_captured"] == 1 and g["storm_kick_per_s"] == 250 and g["storm_reenq_per_s_peak"] == 90000

@@ -21,18 +21,24 @@ CREATE_SEM, SEM_RELEASE, CREATE_MUTEX, MUTEX_UNLOCK, EVENT_SET, EVENT_RESET, WAI
 FUTEX, ENTRY, BLOCKING = 202, -999, (7, 271, 232, 281, 47, 45, 23, 270, 16)
 FLOOR, FAST, SLICE_MOST, STRAND, SPIN_GAP, SPIN_ITERS = 900_000, 100_000, 10_000_000, 50_000_000, 1_000_000, 1000
 MALLOC, FREE, REALLOC, CALLOC = 0, 1, 2, 3
+FUTEX_WAITS, FUTEX_WAKES = (0, 6, 9, 11), (1, 7, 10)
+#: Time that a parked thread may act after its wait, time that an ended thread must have been parked, and reenqueues a second of a storm.
+PARKED, KILLED, STORM_RATE = 1_000_000, 2_000_000_000, 50_000
 
 Report = Callable[[DataFrame], DataFrame]
 REPORTS: dict[str, Report] = {}
 
 
 def report(name: str) -> Callable[[Report], Report]:
+    """Register a report: a column `labelled` holds gauges that carry labels, the others are gauges of their own name."""
+
     def add(f: Callable[[DataFrame], DataFrame]) -> Report:
         def run(events: DataFrame) -> DataFrame:
             out = f(events)
-            gauges = [c for c in out.columns if c != "class"]
+            gauges = [c for c in out.columns if c not in ("class", "labelled")]
             pairs = [x for c in gauges for x in (F.lit(c), F.col(c).cast("double"))]
-            return out.select(F.lit(name).alias("report"), "class", (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,double>")).alias("gauges"))
+            own = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,double>")
+            return out.select(F.lit(name).alias("report"), "class", (F.map_concat(own, "labelled") if "labelled" in out.columns else own).alias("gauges"))
 
         REPORTS[name] = run
         return run
@@ -73,18 +79,42 @@ def q_at(values: DataFrame, column: str, qs: dict[str, float]) -> DataFrame:
 
 
 def waits_of(e: DataFrame) -> DataFrame:
-    """Completed waits (tid, obj, result, ts, seq) of either kind."""
+    """Waits (tid, obj, result, ts, seq) of either kind: those on objects when they end, those on futexes as traced."""
     nt = e.where((F.col("type") == NTSYNC) & F.col("op").isin(WAIT_ANY, WAIT_ALL) & (F.col("result") != ENTRY)).select("tid", "fd", F.coalesce("fd", F.lit(-1)).cast("long").alias("obj"), "result", "ts", "seq")
-    fx = e.where((F.col("type") == IO) & (F.col("nr") == FUTEX) & (F.col("fd").bitwiseAND(127).isin(0, 9)) & (F.col("result") != ENTRY)).select("tid", "fd", F.col("count").alias("obj"), "result", "ts", "seq")
+    fx = e.where((F.col("type") == IO) & (F.col("nr") == FUTEX) & (F.col("fd").bitwiseAND(127).isin(0, 9))).select("tid", "fd", F.col("count").alias("obj"), "result", "ts", "seq")
     return nt.union(fx)
 
 
+#: Names of operations by record type.
+SUBTYPES = {
+    SCHED: {1: "ENQUEUE", 2: "PICK", 3: "PICK_EMPTY", 4: "PREEMPT_TICK", 5: "PREEMPT_WAKEUP", 6: "WAKEUP", 7: "WAKE2RUN", 8: "CPU_IDLE", 9: "SWITCH_IN", 10: "FIELD_GATE", 11: "KICK_ISSUE", 12: "RESCHED", 13: "TICK_STOP"},
+    NTSYNC: {0: "create_sem", 1: "sem_release", 3: "create_mutex", 4: "mutex_unlock", 7: "event_set", 8: "event_reset", 12: "wait_any", 13: "wait_all"},
+    HEAP: {0: "malloc", 1: "free", 2: "realloc", 3: "calloc"},
+    SIGNAL: {0: "deliver", 1: "exit_abnormal"},
+    IO: {0: "read", 1: "write", 7: "poll", 271: "ppoll"},
+}
+
+
+def typed_counts(e: DataFrame) -> DataFrame:
+    """(type, subtype, n): records by type and operation; waits that only begin are counted apart."""
+    op = F.when(F.col("type") == IO, F.col("nr")).otherwise(F.col("op"))
+    sub = F.concat(F.lit("op="), op.cast("string"))
+    for kind, names in SUBTYPES.items():
+        name = F.coalesce(F.create_map(*(x for k, v in names.items() for x in (F.lit(k), F.lit(v))))[op], F.concat(F.lit("nr=" if kind == IO else "op="), op.cast("string")))
+        sub = F.when(F.col("type") == kind, name).otherwise(sub)
+    sub = F.when((F.col("type") == NTSYNC) & F.col("op").isin(WAIT_ANY, WAIT_ALL) & (F.col("result") == ENTRY), F.concat(sub, F.lit(".enter"))).otherwise(sub)
+    sub = F.when(F.col("type") == PROVIDER, F.col("name")).when(F.col("type") == KSTRAND, "pcpu_kthread").when(F.col("type") == ABORT, "abort").otherwise(sub)
+    return e.groupBy("type", F.coalesce(sub, F.lit("")).alias("subtype")).agg(F.count("*").alias("n"))
+
+
 @report("summary")
 def summary(e):
     span = F.greatest((F.max(F.when(F.col("ts") > 0, F.col("ts"))) - F.min(F.when(F.col("ts") > 0, F.col("ts")))) / 1e9, F.lit(0.0))
-    n = F.count("*")
     s = F.col("type") == SCHED
-    return e.agg(n.alias("events_total"), span.alias("span_s"), (F.count_if(s & (F.col("op") == PICK)) / F.nullif(span, F.lit(0.0))).alias("dispatches_per_sec"), (F.count_if(s & (F.col("op") == PREEMPT_TICK)) / F.nullif(span, F.lit(0.0))).alias("preempts_per_sec")).select("*", _cls((F.col("events_total") == 0, "EMPTY"), other="EVENTS"))
+    a = e.agg(F.count("*").alias("events_total"), span.alias("span_s"), (F.count_if(s & (F.col("op") == PICK)) / F.nullif(span, F.lit(0.0))).alias("dispatches_per_sec"), (F.count_if(s & (F.col("op") == PREEMPT_TICK)) / F.nullif(span, F.lit(0.0))).alias("preempts_per_sec"))
+    key = F.format_string('events_total{type="%d",subtype="%s"}', "type", "subtype")
+    by = typed_counts(e).agg(F.coalesce(F.map_from_entries(F.collect_list(F.struct(key, F.col("n").cast("double")))), F.create_map().cast("map<string,double>")).alias("labelled"))
+    return a.join(by).select("*", _cls((F.col("events_total") == 0, "EMPTY"), other="EVENTS"))
 
 
 def type_counts(e: DataFrame) -> DataFrame:
@@ -100,24 +130,33 @@ def waits(e):
     return top.join(q).select("waits_total", (F.col("p50") / 1e6).alias("wait_gap_ms_p50"), (F.col("p99") / 1e6).alias("wait_gap_ms_p99"), _cls((F.col("waits_total") == 0, "NO-WAITS"), (F.col("top") * 2 >= F.col("waits_total"), "CONCENTRATED"), other="SPREAD"))
 
 
-@report("spins")
-def spins(e):
+def spin_runs(e: DataFrame) -> DataFrame:
+    """(tid, obj, n, rate, verdict) of runs of SPIN_ITERS completed waits or more on one object, each less than SPIN_GAP after the last."""
     w = Window.partitionBy("tid", "obj").orderBy("seq")
     runs = waits_of(e).withColumn("new", F.coalesce((F.col("ts") - F.lag("ts").over(w) >= SPIN_GAP).cast("int"), F.lit(0))).withColumn("run", F.sum("new").over(w))
     each = runs.groupBy("tid", "obj", "run").agg(F.count("*").alias("n"), (F.max("ts") - F.min("ts")).alias("span"), F.count_if(F.col("result") >= 0).alias("won"), F.count_if(F.col("result") == -110).alias("late")).where(F.col("n") >= SPIN_ITERS)
-    rate = F.col("n") * 1e9 / F.greatest("span", F.lit(1))
-    a = each.agg(F.count("*").alias("spin_runs_total"), F.max(rate).alias("spin_peak_rate_per_s"), F.max_by(F.when((F.col("won") >= F.col("late")) & (F.col("won") * 2 >= F.col("n")), "LIVELOCK").when(F.col("late") * 2 >= F.col("n"), "STARVED-WAITER").otherwise("ERROR-SPIN"), "n").alias("c"))
+    kind = F.when((F.col("won") >= F.col("late")) & (F.col("won") * 2 >= F.col("n")), "LIVELOCK").when(F.col("late") * 2 >= F.col("n"), "STARVED-WAITER").otherwise("ERROR-SPIN")
+    return each.select("tid", "obj", "n", (F.col("n") * 1e9 / F.greatest("span", F.lit(1))).alias("rate"), kind.alias("verdict"))
+
+
+@report("spins")
+def spins(e):
+    a = spin_runs(e).agg(F.count("*").alias("spin_runs_total"), F.max("rate").alias("spin_peak_rate_per_s"), F.max_by("verdict", F.struct("n", "tid", "obj")).alias("c"))
     return a.select("spin_runs_total", "spin_peak_rate_per_s", F.coalesce("c", F.lit("NONE")).alias("class"))
 
 
-@report("pairing")
-def pairing(e):
+def paired(e: DataFrame) -> DataFrame:
+    """(fd, waits, signals): completed waits for each object, by its descriptor, and its signals."""
     nt = e.where(F.col("type") == NTSYNC)
     # Entries announce a wait; completions are counted.
     wait = nt.where(F.col("op").isin(WAIT_ANY, WAIT_ALL) & (F.col("result") != ENTRY)).select(F.explode(F.expr("slice(fds, 1, least(greatest(wait_count, 0), 8))")).alias("fd")).groupBy("fd").agg(F.count("*").alias("waits"))
     sig = nt.where(F.col("op").isin(EVENT_SET, EVENT_RESET, SEM_RELEASE, MUTEX_UNLOCK)).groupBy(F.col("fd").cast("long").alias("fd")).agg(F.count("*").alias("signals"))
-    both = wait.join(sig, "fd", "full").na.fill(0, ["waits", "signals"])
-    a = both.agg(F.coalesce(F.sum("waits"), F.lit(0)).alias("pairing_waits"), F.coalesce(F.sum("signals"), F.lit(0)).alias("pairing_signals"), F.count_if((F.col("waits") >= 1000) & (F.col("waits") > 100 * F.col("signals"))).alias("unsignaled_flag"))
+    return wait.join(sig, "fd", "full").na.fill(0, ["waits", "signals"])
+
+
+@report("pairing")
+def pairing(e):
+    a = paired(e).agg(F.coalesce(F.sum("waits"), F.lit(0)).alias("pairing_waits"), F.coalesce(F.sum("signals"), F.lit(0)).alias("pairing_signals"), F.count_if((F.col("waits") >= 1000) & (F.col("waits") > 100 * F.col("signals"))).alias("unsignaled_flag"))
     return a.select("*", _cls((F.col("pairing_waits") + F.col("pairing_signals") == 0, "NONE"), (F.col("unsignaled_flag") > 0, "STUCK-SIGNALED"), other="PAIRED"))
 
 
@@ -164,13 +203,17 @@ def signals(e):
 
 @report("endstate")
 def endstate(e):
-    nt = e.where(F.col("type") == NTSYNC)
-    open_ = nt.where(F.col("op").isin(WAIT_ANY, WAIT_ALL)).groupBy("tid").agg(F.max_by(F.struct("result", "ts", "objs", "wait_count", "obj"), "seq").alias("l")).where(F.col("l.result") == ENTRY)
-    on = open_.select("tid", "l.ts", F.explode(F.expr("case when l.wait_count > 0 then slice(l.objs, 1, least(l.wait_count, 8)) else array(l.obj) end")).alias("obj"))
-    sig = nt.where(F.col("op").isin(EVENT_SET, SEM_RELEASE, MUTEX_UNLOCK)).groupBy("obj").agg(F.max("ts").alias("signalled"))
-    lost = on.join(sig, "obj", "left").groupBy("tid").agg(F.max((F.col("signalled") > F.col("ts") + 1_000_000).cast("int")).alias("lost"))
-    a = e.where("tid is not null").agg(F.count("*").alias("n")).join(lost.agg(F.count("*").alias("endstate_blocked_threads"), F.coalesce(F.sum("lost"), F.lit(0)).alias("lost_completions")))
-    return a.select("endstate_blocked_threads", "lost_completions", _cls((F.col("n") == 0, "NO-THREADS"), (F.col("endstate_blocked_threads") == 0, "NO-PARKED"), (F.col("lost_completions") > 0, "LOST-COMPLETION"), other="STALLED"))
+    """Threads whose last wait never completed: parked at the end, or gone while parked for KILLED; one that acted more than PARKED after its wait woke, its completion being lost."""
+    from weir.sources.trace import RAWSTACK, WAITSTACK
+
+    seen = e.where(F.col("type").isin(NTSYNC, HEAP, IO, SIGNAL, WAITSTACK, RAWSTACK))
+    end = seen.agg(F.max("ts").alias("end"), F.count("*").alias("n"))
+    threads = seen.groupBy("tid").agg(F.max("ts").alias("last"), F.max(((F.col("type") == SIGNAL) & (F.col("op") == 1)).cast("int")).alias("exited"))
+    wait = e.where((F.col("type") == NTSYNC) & F.col("op").isin(WAIT_ANY, WAIT_ALL)).groupBy("tid").agg(F.max_by(F.struct("result", "ts"), "seq").alias("l")).where(F.col("l.result") == ENTRY)
+    v = wait.join(threads, "tid").join(F.broadcast(end)).where((F.col("exited") == 0) | (F.col("end") - F.col("l.ts") >= KILLED))
+    genuine = (F.col("exited") == 1) | (F.col("last") <= F.col("l.ts") + PARKED)
+    a = v.agg(F.count("*").alias("endstate_blocked_threads"), F.count_if(genuine).alias("endstate_stalled_threads"), F.max((F.col("end") - F.col("l.ts")) / 1e9).alias("endstate_longest_s"))
+    return end.select("n").join(a).select("endstate_blocked_threads", "endstate_stalled_threads", "endstate_longest_s", _cls((F.col("n") == 0, "NO-THREADS"), (F.col("endstate_blocked_threads") == 0, "NO-PARKED"), (F.col("endstate_stalled_threads") > 0, "STALLED"), other="LOST-COMPLETION"))
 
 
 @report("iowait")
@@ -187,13 +230,21 @@ def heapstk(e):
 
 @report("futex")
 def futex(e):
-    last = e.where(F.col("type").isin(IO, NTSYNC, HEAP, MMAP, SIGNAL)).groupBy("tid").agg(F.max("ts").alias("last"))
-    f = e.where((F.col("type") == IO) & (F.col("nr") == FUTEX))
-    wait = f.where(F.col("fd").bitwiseAND(127).isin(0, 9)).groupBy("tid").agg(F.max("ts").alias("ts"), F.max_by("count", "seq").alias("uaddr"), F.min("ts").alias("first"), F.count("*").alias("tries"))
-    wake = f.where(F.col("fd").bitwiseAND(127).isin(1, 10)).groupBy(F.col("count").alias("uaddr")).agg(F.count("*").alias("wakes"))
-    b = wait.join(last, "tid").where("ts + 1000000 >= last").join(wake, "uaddr", "left").na.fill(0, ["wakes"])
-    spin = (F.col("tries") >= 50) & ((F.col("ts") - F.col("first")) / F.col("tries") < 100_000_000)
-    return b.agg(F.count("*").alias("futex_blocked_threads"), F.count_if(spin).alias("spinning")).select("*", _cls((F.col("futex_blocked_threads") == 0, "NO-FUTEX-BLOCKED"), (F.col("spinning") > 0, "FUTEX-SPIN"), other="FUTEX-PARKED"))
+    """Threads whose last act is a futex wait: parked (one try on an address that nobody woke), spinning (50 tries or more, one in less than a tenth of a second), or waiting."""
+    seen = e.where(F.col("type").isin(IO, NTSYNC, HEAP, MMAP, SIGNAL))
+    end = seen.agg(F.max("ts").alias("end"))
+    last = seen.groupBy("tid").agg(F.max("ts").alias("last"))
+    f = e.where((F.col("type") == IO) & (F.col("nr") == FUTEX)).withColumn("cmd", F.col("fd").bitwiseAND(127))
+    w = Window.partitionBy("tid").orderBy("seq")
+    moved = F.coalesce((F.col("count") != F.lag("count").over(w)).cast("int"), F.lit(0))
+    runs = f.where(F.col("cmd").isin(*FUTEX_WAITS)).withColumn("moved", moved).withColumn("run", F.sum("moved").over(w)).groupBy("tid", "run").agg(F.count("*").alias("tries"), F.max_by("ts", "seq").alias("ts"), F.max("count").alias("uaddr"))
+    wait = runs.groupBy("tid").agg(F.max_by(F.struct("tries", "ts", "uaddr"), "run").alias("l")).select("tid", "l.*")
+    wake = f.where(F.col("cmd").isin(*FUTEX_WAKES)).groupBy(F.col("count").alias("uaddr")).agg(F.count("*").alias("wakes"))
+    b = wait.join(last, "tid").where(F.col("last") <= F.col("ts") + PARKED).join(wake, "uaddr", "left").na.fill(0, ["wakes"]).join(F.broadcast(end))
+    idle = (F.col("tries") <= 1) & (F.col("wakes") == 0)
+    spin = ~idle & (F.col("tries") >= 50) & ((F.col("end") - F.col("ts")) / 1e9 / F.col("tries") < 0.1)
+    a = b.agg(F.count("*").alias("futex_blocked_threads"), F.count_if(idle).alias("futex_idle_parked"), F.count_if(spin).alias("futex_spinning"), F.max((F.col("end") - F.col("ts")) / 1e9).alias("futex_longest_s"))
+    return a.select("*", _cls((F.col("futex_blocked_threads") == 0, "NO-FUTEX-BLOCKED"), (F.col("futex_spinning") > F.col("futex_idle_parked"), "FUTEX-SPIN"), other="FUTEX-PARKED"))
 
 
 @report("keyedevt")
@@ -213,8 +264,9 @@ def sched_report(e):
     idle = sched(e, CPU_IDLE).where("sub = 1").select("cpu", "ts", F.col("ts").alias("idle_at"))
     cold = asof(sched(e, WAKEUP).select("cpu", "ts", "seq"), idle, ["cpu"], "ts", "idle_at").agg(F.count_if(F.col("ts") - F.col("asof_idle_at") >= 20_000_000).alias("coldwake_count"))
     pct = lambda c: 100.0 * F.col(c) / F.nullif(F.col("n"), F.lit(0))
+    mid = 100.0 * (F.col("n") - F.col("fast") - F.col("floored")) / F.nullif(F.col("n"), F.lit(0))
     return share.join(q).join(cold).select(
-        "n", *((F.col(c) / 1e3).alias(f"wake2run_us_{c}") for c in ("p50", "p99", "p999", "worst")), pct("fast").alias("wake2run_fast_pct"), pct("floored").alias("wake2run_tickfloor_pct"), pct("cross").alias("wake2run_crossdomain_pct"), "wake2run_distinct", "coldwake_count",
+        "n", *((F.col(c) / 1e3).alias(f"wake2run_us_{c}") for c in ("p50", "p99", "p999", "worst")), pct("fast").alias("wake2run_fast_pct"), mid.alias("wake2run_mid_pct"), pct("floored").alias("wake2run_tickfloor_pct"), pct("cross").alias("wake2run_crossdomain_pct"), "wake2run_distinct", "coldwake_count",
         _cls((F.col("n") == 0, "NO-WAKE2RUN"), (F.col("floored") * 2 >= F.col("n"), "TICK-FLOORED"), (F.col("fast") * 10 >= F.col("n") * 9, "FAST"), other="MIXED"),
     )
 
@@ -249,11 +301,13 @@ def dispatch_stall(e):
     from weir.operators.temporal import point_in_interval
 
     wakes = floored_wakes(e)
-    between = point_in_interval(picks(e).select("cpu", "pid", "ts"), wakes, ["cpu"], "ts", "lo", "hi", 1 << 27).where("pid <> wakee").groupBy("id").agg(F.count("*").alias("passed"))
-    w = wakes.join(between, "id", "left").na.fill(0, ["passed"])
-    a = w.agg(F.count("*").alias("stalled"), F.count_if(F.col("passed") == 0).alias("preempt"), F.avg("passed").alias("dispatch_avg_passovers"))
+    between = point_in_interval(picks(e).select("cpu", "pid", "ts"), wakes, ["cpu"], "ts", "lo", "hi", 1 << 27).where("pid <> wakee").groupBy("id").agg(F.count("*").alias("passed"), F.count_distinct("pid").alias("others"))
+    w = wakes.join(between, "id", "left").na.fill(0, ["passed", "others"])
+    a = w.agg(F.count("*").alias("stalled"), F.count_if(F.col("passed") == 0).alias("preempt"), F.avg("passed").alias("dispatch_avg_passovers"), (F.sum("others") / F.nullif(F.sum("passed"), F.lit(0))).alias("concentration"))
     pct = 100.0 * F.col("preempt") / F.nullif(F.col("stalled"), F.lit(0))
-    return a.select("stalled", pct.alias("dispatch_preempt_pct"), (100.0 - pct).alias("dispatch_order_pct"), "dispatch_avg_passovers", _cls((F.col("stalled") == 0, "NONE"), (F.col("preempt") * 2 >= F.col("stalled"), "PREEMPT-STARVED"), other="ORDER-STARVED"))
+    q = q_at(w, "passed", {"dispatch_passover_p99": 0.99}).select("dispatch_passover_p99")
+    concentration = F.when(F.col("stalled") > 0, F.coalesce("concentration", F.lit(0.0))).alias("dispatch_concentration_ratio")
+    return a.join(q).select("stalled", pct.alias("dispatch_preempt_pct"), (100.0 - pct).alias("dispatch_order_pct"), "dispatch_avg_passovers", "dispatch_passover_p99", concentration, _cls((F.col("stalled") == 0, "NO-FLOORED"), (F.col("preempt") * 2 >= F.col("stalled"), "PREEMPT-STARVED"), other="ORDER-STARVED"))
 
 
 @report("kick-latency")
@@ -270,8 +324,10 @@ def kick_latency(e):
 
 
 def idle_spans(e: DataFrame) -> DataFrame:
-    i = sched(e, CPU_IDLE).select("cpu", "sub", F.col("ts").alias("blo"), F.lead("ts").over(Window.partitionBy("cpu").orderBy("seq")).alias("bhi"))
-    return i.where("sub = 1 and bhi is not null").select("cpu", "blo", "bhi")
+    """Idle times by CPU: from the last entry before an exit to that exit; entries without one are none."""
+    w = Window.partitionBy("cpu").orderBy("seq")
+    i = sched(e, CPU_IDLE).select("cpu", "sub", F.col("ts").alias("blo"), F.lead("ts").over(w).alias("bhi"), F.lead("sub").over(w).alias("then"))
+    return i.where("sub = 1 and then <> 1 and bhi > blo").select("cpu", "blo", "bhi")
 
 
 @report("kstrand")
@@ -280,13 +336,14 @@ def kstrand(e):
 
     k = e.where(F.col("type") == KSTRAND).select(F.col("seq").alias("id"), "cpu", (F.col("ts") - F.col("runtime")).alias("lo"), F.col("ts").alias("hi"), "runtime")
     d = overlap(k, idle_spans(e), ["cpu"], 1 << 27).withColumn("dark", F.col("overlap") * 2 >= F.col("runtime"))
-    a = d.agg(F.count("*").alias("kstrand_events_total"), F.count_if("dark").alias("dark"), F.max(F.when(~F.col("dark"), F.col("runtime")) / 1e6).alias("kstrand_worst_held_ms"))
-    return a.select("*", _cls((F.col("kstrand_events_total") == 0, "NO-STRAND"), (F.col("dark") == 0, "STRAND-HELD"), (F.col("dark") == F.col("kstrand_events_total"), "STRAND-DARK"), other="STRAND"))
+    a = d.agg(F.count("*").alias("kstrand_events_total"), F.count_if("dark").alias("kstrand_dark"), F.max(F.when(~F.col("dark"), F.col("runtime")) / 1e6).alias("kstrand_worst_held_ms"))
+    held = F.col("kstrand_events_total") - F.col("kstrand_dark")
+    return a.select("*", _cls((F.col("kstrand_events_total") == 0, "NO-STRAND"), (held > F.col("kstrand_dark"), "STRAND-HELD"), (F.col("kstrand_dark") > 0, "STRAND-DARK"), other="STRAND"))
 
 
 def slices(e: DataFrame) -> DataFrame:
     """Time to the next dispatch of the CPU, below SLICE_MOST."""
-    return picks(e).select("cpu", "pid", "seq", "ts", (F.lead("ts").over(Window.partitionBy("cpu").orderBy("seq")) - F.col("ts")).alias("d")).where((F.col("d") > 0) & (F.col("d") < SLICE_MOST))
+    return picks(e).select("cpu", "pid", "seq", "ts", (F.lead("ts").over(Window.partitionBy("cpu").orderBy("ts", "seq")) - F.col("ts")).alias("d")).where((F.col("d") > 0) & (F.col("d") < SLICE_MOST))
 
 
 @report("slice")
@@ -297,42 +354,60 @@ def slice_report(e):
 
 @report("storm")
 def storm(e):
-    s = e.where((F.col("type") == STORM) & (F.col("interval_ms") > 0)).select("preempt_kicks", "reenq", (F.col("reenq") * 1000.0 / F.col("interval_ms")).alias("rate"), (F.col("kicks") * 1000.0 / F.col("interval_ms")).alias("kick_rate"))
-    hot = F.col("rate") >= 50_000
-    a = s.agg(F.count("*").alias("storm_captured"), F.count_if(hot).alias("hot"), F.max("rate").alias("storm_reenq_per_s"), F.max("kick_rate").alias("storm_kick_per_s"), F.count_if(hot & (F.col("preempt_kicks") * 2 >= F.col("reenq"))).alias("real"))
-    return a.select("storm_captured", (100.0 * F.col("hot") / F.nullif(F.col("storm_captured"), F.lit(0))).alias("storm_pct"), "storm_reenq_per_s", "storm_kick_per_s", _cls((F.col("storm_captured") == 0, "NONE"), (F.col("hot") == 0, "CLEAN"), (F.col("real") * 2 >= F.col("hot"), "REAL-IPI-STORM"), other="IDLE-REENQUEUE-CHURN"))
+    s = e.where(F.col("type") == STORM).select("kicks", "preempt_kicks", "reenq", "interval_ms", F.when(F.col("interval_ms") > 0, F.col("reenq") * 1000.0 / F.col("interval_ms")).otherwise(0.0).alias("rate"))
+    a = s.agg(F.count("*").alias("n"), F.sum("interval_ms").alias("ms"), F.sum("kicks").alias("kicks"), F.sum("preempt_kicks").alias("preempt"), F.sum("reenq").alias("reenq"), F.count_if(F.col("rate") >= STORM_RATE).alias("hot"), F.max(F.floor("rate")).alias("peak"))
+    some = F.coalesce(F.col("ms") > 0, F.lit(False))
+    each = lambda x: F.when(some, x)
+    per_s = lambda c: each(F.col(c) * 1000.0 / F.col("ms"))
+    real = (F.col("reenq") > 0) & (F.col("preempt") * 2 >= F.col("reenq"))
+    return a.select(some.cast("int").alias("storm_captured"), each(100.0 * F.col("hot") / F.col("n")).alias("storm_pct"), each(F.col("peak")).alias("storm_reenq_per_s_peak"), per_s("kicks").alias("storm_kick_per_s"), per_s("preempt").alias("storm_preempt_kick_per_s"), _cls((~some, "NONE"), (F.col("hot") == 0, "CLEAN"), (real, "REAL-IPI-STORM"), other="IDLE-REENQUEUE-CHURN"))
 
 
 @report("service")
 def service(e):
     s = slices(e).groupBy("pid").agg(F.sum("d").alias("t"))
-    a = s.agg(F.count("*").alias("service_pids"), F.max("t").alias("top"), F.sum("t").alias("all"))
-    top = 100.0 * F.col("top") / F.nullif(F.col("all"), F.lit(0))
-    return a.select("service_pids", top.alias("service_top1_pct"), _cls((F.col("service_pids") == 0, "NO-SERVICE"), (top >= 50, "SKEWED"), other="EVEN"))
+    top = s.orderBy(F.desc("t"), "pid").limit(5).agg(F.sum("t").alias("five"))
+    a = s.agg(F.count("*").alias("service_pids"), F.max("t").alias("top"), F.sum("t").alias("all")).join(top).join(q_at(s, "t", {"p99": 0.99}).select("p99"))
+    share = lambda c: 100.0 * F.col(c) / F.nullif(F.col("all"), F.lit(0))
+    fair = F.col("p99") * F.col("service_pids") / F.nullif(F.col("all"), F.lit(0))
+    return a.select("service_pids", share("top").alias("service_top1_pct"), share("five").alias("service_top5_pct"), fair.alias("service_p99_to_fair"), _cls((F.col("service_pids") == 0, "NO-SERVICE"), (share("top") >= 50, "SKEWED"), other="EVEN"))
 
 
 @report("wakers")
 def wakers(e):
-    w = sched(e, WAKEUP).where("secondary > 0").groupBy(F.col("secondary").alias("waker")).agg(F.count("*").alias("n"))
-    m = w.agg(F.count("*").alias("waker_pids"), F.sum("n").alias("waker_wakes_total"), F.greatest(F.lit(8.0), 8 * F.avg("n")).alias("waker_hot_threshold"))
+    w = sched(e, WAKEUP).where("secondary >= 0").groupBy(F.col("secondary").alias("waker")).agg(F.count("*").alias("n"))
+    m = w.agg(F.count("*").alias("waker_pids"), F.coalesce(F.sum("n"), F.lit(0)).alias("waker_wakes_total"), F.greatest(F.lit(8), F.floor(8 * F.avg("n"))).alias("waker_hot_threshold"))
     hot = w.join(F.broadcast(m)).where("n >= waker_hot_threshold")
     lat = sched(e, WAKE2RUN).join(hot.select(F.col("waker").alias("pid"), F.lit(1).alias("hot")), "pid", "left")
-    tail = lambda cond: F.expr(f"percentile_disc(0.99) within group (order by runtime) filter (where {cond})")
-    t = lat.agg(tail("hot = 1").alias("messenger"), tail("hot is null").alias("worker"))
-    return m.join(hot.agg(F.count("*").alias("waker_hot_pids"))).join(t).select("waker_pids", "waker_hot_pids", "waker_wakes_total", "waker_hot_threshold", (F.col("messenger") / 1e3).alias("waker_messenger_wake2run_us"), (F.col("worker") / 1e3).alias("waker_worker_wake2run_us"), _cls((F.col("waker_pids") == 0, "NO-WAKER-EDGES"), (F.col("waker_hot_pids") == 0, "NO-HOT-WAKERS"), (F.col("messenger") >= 2 * F.col("worker"), "MESSENGER-CLIFF"), other="HOT-WAKERS"))
+    out = m.join(hot.agg(F.count("*").alias("waker_hot_pids")))
+    for who, rows in (("messenger", lat.where("hot = 1")), ("worker", lat.where("hot is null"))):
+        q = q_at(rows, "runtime", {"p50": 0.5, "p99": 0.99, "p999": 0.999})
+        out = out.join(q.select(*(F.coalesce(F.col(c) / 1e3, F.lit(0.0)).alias(f"waker_{who}_wake2run_us_{c}") for c in ("p50", "p99", "p999"))))
+    a, b = F.col("waker_messenger_wake2run_us_p99"), F.col("waker_worker_wake2run_us_p99")
+    return out.select("*", _cls((F.col("waker_pids") == 0, "NO-WAKER-EDGES"), ((a > 0) & (b > 0) & (a >= 2 * b), "MESSENGER-CLIFF"), (F.col("waker_hot_pids") == 0, "NO-HOT-WAKERS"), other="HOT-WAKERS"))
 
 
 @report("locality")
 def locality(e):
+    """Moves by distance. SCATTERED where a further tier has more moves than the one before it, from the first with any."""
     lines = e.where((F.col("type") == PROVIDER) & (F.col("name") == "cache_topology")).select(F.explode(F.split("payload", "\n")).alias("l"))
     topo = lines.select(*(F.regexp_extract("l", f'[{{,]{k}="([0-9]+)"', 1).try_cast("int").alias(k) for k in ("cpu", "l2", "l3", "socket"))).where("cpu is not null").dropDuplicates(["cpu"])
-    moves = sched(e, WAKE2RUN).where("last_cpu >= 0 and last_cpu <> cpu").select("pid", "ts", "seq", "cpu", "last_cpu")
+    s = e.where(F.col("type") == SCHED)
+    w = Window.partitionBy("pid").orderBy("seq")
+    lane = F.last(F.when(F.col("op") == PICK, F.col("sub")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    moves = s.where(F.col("op").isin(PICK, WAKE2RUN)).withColumn("lane", lane).where((F.col("op") == WAKE2RUN) & (F.col("last_cpu") >= 0) & (F.col("last_cpu") != F.col("cpu")))
+    moves = moves.select("pid", "ts", "cpu", "last_cpu", "lane", (F.col("ts") - F.lag("ts").over(w)).alias("since"))
     a, b = topo.toDF("cpu", "l2", "l3", "s"), topo.toDF("last_cpu", "l2b", "l3b", "sb")
-    tier = F.when(F.col("l2") == F.col("l2b"), 0).when(F.col("l3") == F.col("l3b"), 1).when(F.col("s") == F.col("sb"), 2).otherwise(3)
-    m = moves.join(a, "cpu").join(b, "last_cpu").withColumn("tier", tier)
-    c = m.agg(F.count("*").alias("n"), *(F.count_if(F.col("tier") == k).alias(f"locality_tier_moves_{k}") for k in range(4)))
-    local = 100.0 * (F.col("locality_tier_moves_0") + F.col("locality_tier_moves_1")) / F.nullif(F.col("n"), F.lit(0))
-    return c.join(topo.agg(F.count("*").alias("cpus"))).select(*(f"locality_tier_moves_{k}" for k in range(4)), local.alias("locality_local_pct"), _cls((F.col("cpus") == 0, "NO-TOPOLOGY"), (F.col("n") == 0, "NONE"), (local >= 90, "CACHE-LOCAL"), (F.col("locality_tier_moves_3") > F.col("locality_tier_moves_0"), "SCATTERED"), other="SPREAD"))
+    tier = F.when(F.col("l2") == F.col("l2b"), 0).when(F.col("l3") == F.col("l3b"), 1).when(F.col("s") == F.col("sb"), 2).when(F.col("s").isNotNull() & F.col("sb").isNotNull(), 3)
+    m = moves.join(F.broadcast(a), "cpu", "left").join(F.broadcast(b), "last_cpu", "left").withColumn("tier", tier)
+    c = m.agg(F.count("*").alias("moves"), F.count("tier").alias("n"), F.count_if(F.col("lane") > 0).alias("locality_steal_moves"), *(F.count_if(F.col("tier") == k).alias(f"t{k}") for k in range(4)))
+    span = s.agg(((F.max("ts") - F.min("ts")) / 1e9).alias("span"))
+    q = q_at(moves.where("since > 0"), "since", {"p50": 0.5, "p99": 0.99}).select("p50", "p99")
+    local = 100.0 * (F.col("t0") + F.col("t1")) / F.nullif(F.col("n"), F.lit(0))
+    scattered = ((F.col("t0") > 0) & (F.col("t1") > F.col("t0"))) | ((F.col("t0") + F.col("t1") > 0) & (F.col("t2") > F.col("t1"))) | ((F.col("t0") + F.col("t1") + F.col("t2") > 0) & (F.col("t3") > F.col("t2")))
+    gauges = [F.col(f"t{k}").alias(f"locality_tier_moves_{k}") for k in range(4)] + [local.alias("locality_local_pct"), (F.col("moves") / F.nullif(F.col("span"), F.lit(0.0))).alias("locality_migration_rate_hz")]
+    gauges += [F.col("locality_steal_moves"), *((F.col(p) / 1e3).alias(f"locality_intermigration_us_{p}") for p in ("p50", "p99"))]
+    return c.join(span).join(q).join(topo.agg(F.count("*").alias("cpus"))).select(*gauges, _cls((F.col("cpus") == 0, "NO-TOPOLOGY"), (F.col("n") == 0, "NONE"), (scattered, "SCATTERED"), (local >= 90, "CACHE-LOCAL"), other="SPREAD"))
 
 
 @report("classmix")
@@ -347,7 +422,7 @@ def field_persist(e):
     per = g.groupBy("score").agg(F.sum("d").alias("dwell"))
     a = g.agg(F.count("*").alias("field_gate_fires"), F.count_distinct("score").alias("field_distinct_signatures"), F.count_if(F.col("was") != F.col("score")).alias("changes"))
     d = per.agg((100.0 * F.max("dwell") / F.nullif(F.sum("dwell"), F.lit(0))).alias("field_dominant_dwell_pct"))
-    return a.join(d).select("field_gate_fires", "field_distinct_signatures", (F.col("field_gate_fires") - 1 - F.col("changes")).alias("field_rederivations"), "field_dominant_dwell_pct", _cls((F.col("field_gate_fires") == 0, "NO-FIELD-GATE"), (F.coalesce("field_dominant_dwell_pct", F.lit(0.0)) >= 50, "LATCHED"), other="LIVE"))
+    return a.join(d).select("field_gate_fires", "field_distinct_signatures", F.greatest(F.col("field_gate_fires") - 1 - F.col("changes"), F.lit(0)).alias("field_rederivations"), "field_dominant_dwell_pct", _cls((F.col("field_gate_fires") == 0, "NO-FIELD-GATE"), (F.coalesce("field_dominant_dwell_pct", F.lit(0.0)) >= 50, "LATCHED"), other="LIVE"))
 
 
 @report("iolat")
@@ -356,13 +431,33 @@ def iolat(e):
     return q.select("n", *((F.col(c) / 1e6).alias(f"iolat_{c}_ms") for c in ("p50", "p99", "worst")), _cls((F.col("n") == 0, "NO-IO"), other="IO"))
 
 
+def seats(e: DataFrame) -> DataFrame:
+    """(pid, stints, wakes, ratio, cpu_share) of tasks switched in eight times or more: switches a wake, and the share of its most frequent CPU."""
+    s = sched(e, SWITCH_IN).groupBy("pid", "cpu").agg(F.count("*").alias("k")).groupBy("pid").agg(F.sum("k").alias("stints"), F.max("k").alias("seat"))
+    w = sched(e, WAKE2RUN).groupBy("pid").agg(F.count("*").alias("wakes"))
+    r = s.where("stints >= 8").join(w, "pid", "left").na.fill(0, ["wakes"])
+    return r.select("pid", "stints", "wakes", (F.col("stints") / F.greatest("wakes", F.lit(1))).alias("ratio"), (F.col("seat") / F.col("stints")).alias("cpu_share"))
+
+
 @report("seat")
 def seat(e):
-    s = picks(e).groupBy("pid", "cpu").agg(F.count("*").alias("k")).groupBy("pid").agg(F.sum("k").alias("stints"), F.max("k").alias("seat"))
-    w = sched(e, WAKEUP).groupBy("pid").agg(F.count("*").alias("wakes"))
-    r = s.where("stints >= 8").join(w, "pid", "left").withColumn("ratio", F.col("stints") / F.greatest("wakes", F.lit(1)))
-    f = sched(e, WAKE2RUN).agg((F.count_if(F.col("runtime") < FLOOR) / F.nullif(F.count("*"), F.lit(0))).alias("seat_floored_wake_ratio"))
-    return r.agg(F.count("*").alias("n"), F.count_if(F.col("ratio") > 1.5).alias("seat_self_preempting")).join(f).select("seat_floored_wake_ratio", "seat_self_preempting", _cls((F.col("n") == 0, "NONE"), (F.col("seat_self_preempting") > 0, "SELF-PREEMPTING"), other="SEATED"))
+    f = sched(e, WAKE2RUN).agg(F.coalesce(F.count_if(F.col("runtime") < FLOOR) / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("seat_floored_wake_ratio"))
+    return seats(e).agg(F.count("*").alias("n"), F.count_if(F.col("ratio") > 1.5).alias("seat_self_preempting")).join(f).select("seat_floored_wake_ratio", "seat_self_preempting", _cls((F.col("n") == 0, "NONE"), (F.col("seat_self_preempting") > 0, "SELF-PREEMPTING"), other="SEATED"))
+
+
+def offenders(e: DataFrame) -> DataFrame:
+    """(kind, id, obj, metric, value, sev) of what the reports blame; weir.operators.decode.rank_offenders puts them in order."""
+    spins_ = spin_runs(e).select(F.lit("spin").alias("kind"), F.concat(F.lit("tid="), F.col("tid").cast("string")).alias("id"), F.concat(F.lit("obj="), F.col("obj").cast("string")).alias("obj"), F.lit("waits_per_s").alias("metric"), F.col("rate").alias("value"), F.lit(2).alias("sev"))
+    named = lambda df, kind, prefix, key, metric, value, sev: df.select(F.lit(kind).alias("kind"), F.concat(F.lit(prefix), F.col(key).cast("string")).alias("id"), F.lit("").alias("obj"), F.lit(metric).alias("metric"), F.col(value).cast("double").alias("value"), sev.cast("int").alias("sev"))
+    churn = seats(e).where("ratio > 1.5").orderBy(F.desc("ratio"), "pid").limit(8)
+    stuck = paired(e).where("waits >= 1000 and waits > 100 * signals")
+    freed = double_frees(e).groupBy("a").agg(F.max("lost").alias("bytes"))
+    late = e.where(F.col("type") == KSTRAND).groupBy("tid").agg((F.max("runtime") / 1e6).alias("ms"))
+    hot = e.where((F.col("type") == STORM) & (F.col("interval_ms") > 0)).agg(F.max(F.floor(F.col("reenq") * 1000.0 / F.col("interval_ms"))).alias("peak")).where(F.col("peak") >= STORM_RATE).withColumn("who", F.lit("scheduler"))
+    out = spins_.union(named(churn, "self-preempt", "tid=", "pid", "stint_wake_ratio", "ratio", F.when(F.col("ratio") > 4, 2).when(F.col("ratio") > 2, 1).otherwise(0)))
+    out = out.union(named(stuck, "unsignaled", "fd=", "fd", "waits", "waits", F.lit(2))).union(named(freed, "double-free", "addr=", "a", "bytes", "bytes", F.lit(2)))
+    out = out.union(named(late, "kthread-strand", "tid=", "tid", "held_ms", "ms", F.when(F.col("ms") >= 100, 2).otherwise(1)))
+    return out.union(named(hot, "scx-storm", "", "who", "reenq_per_s", "peak", F.when(F.col("peak") > 5 * STORM_RATE, 2).otherwise(1)))
 
 
 def _kernel_report(name: str, fields: str, make) -> None:
@@ -419,7 +514,7 @@ def completeness(e: DataFrame) -> DataFrame:
 
 
 def run_reports(events: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """The chosen reports of one event table, which is kept while they share it."""
+    """The chosen reports of one event table. Each reads it by type: keep the events as Parquet (see read_traces) rather than parse logs for each."""
     out = None
     for n in names or list(REPORTS):
         r = REPORTS[n](events)
@@ -427,14 +522,26 @@ def run_reports(events: DataFrame, names: list[str] | None = None) -> DataFrame:
     return out
 
 
+def to_text(reports: DataFrame) -> DataFrame:
+    """A sentence a report: its class, and its gauges in the order of their names."""
+    said = F.transform(F.filter(F.array_sort(F.map_entries("gauges")), lambda g: g["value"].isNotNull()), lambda g: F.concat(g["key"], F.lit(" "), F.regexp_replace(F.format_number(g["value"], 3), ",", "")))
+    return reports.select("report", F.concat(F.lit("VERDICT: "), "report", F.lit(" is "), "class", F.when(F.size(said) > 0, F.concat(F.lit(": "), F.array_join(said, ", "))).otherwise("")).alias("line"))
+
+
 def to_prometheus(reports: DataFrame, prefix: str = "weir_") -> DataFrame:
-    """Gauge lines of the same rows."""
-    g = reports.select("report", F.explode("gauges").alias("name", "value")).where("value is not null")
-    return g.select(F.format_string('%s%s{report="%s"} %s', F.lit(prefix), F.regexp_replace("name", "[^A-Za-z0-9_]", "_"), "report", F.col("value").cast("string")).alias("line"))
+    """Gauge lines of the same rows, labels kept, each family under its HELP and TYPE lines."""
+    g = reports.select("report", F.explode("gauges").alias("key", "value")).where("value is not null")
+    g = g.select("report", F.concat(F.lit(prefix), F.regexp_replace(F.regexp_extract("key", "^([^{]*)", 1), "[^A-Za-z0-9_]", "_")).alias("name"), F.regexp_extract("key", "[{](.*)[}]$", 1).alias("labels"), "value")
+    label = F.concat(F.when(F.col("labels") != "", F.concat("labels", F.lit(","))).otherwise(""), F.lit('report="'), "report", F.lit('"'))
+    line = F.struct("labels", "report", F.concat("name", F.lit("{"), label, F.lit("} "), F.col("value").cast("string")).alias("line"))
+    family = g.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]).alias("lines"))
+    head = F.array(F.concat(F.lit("# HELP "), "name", F.lit(" "), F.regexp_replace(F.substring("name", len(prefix) + 1, 200), "_", " ")), F.concat(F.lit("# TYPE "), "name", F.lit(" gauge")))
+    return family.select(F.explode(F.concat(head, "lines")).alias("line"))
 
 
 def to_json(reports: DataFrame) -> DataFrame:
-    return reports.select(F.to_json(F.struct("report", "class", "gauges")).alias("json"))
+    """A JSON envelope a report: name, class, verdict sentence and gauges."""
+    return reports.join(to_text(reports).withColumnRenamed("line", "verdict"), "report").select(F.to_json(F.struct("report", "class", "verdict", "gauges")).alias("json"))
 
 
 def compare_golden(reports: DataFrame, golden: DataFrame, tolerance_pct: float = 10.0, floor: float = 0.0) -> DataFrame:
