@@ -163,3 +163,20 @@ def trajectory(levels: list[list[float]], alpha: float = 0.05, effect: float = 0
     if min(1.0, 2 * p) > alpha or abs(cliffs_delta(left, right)[0]) < effect:
         return []
     return [*trajectory(levels[:cut], alpha, effect, rounds, seed, offset), offset + cut, *trajectory(levels[cut:], alpha, effect, rounds, seed, offset + cut)]
+
+
+def level_pairs(levels, mode: str):
+    """(a, b, change) of the chosen pairs of levels (level, mean), in order of level: adjacent ones, all, or each against the best (of smallest mean). Levels are versions or days, so few."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    w = Window.orderBy("level")
+    numbered = levels.select("level", "mean", F.row_number().over(w).alias("place"))
+    if mode == "adjacent":
+        before = numbered.select(F.lag("level").over(w).alias("a"), F.col("level").alias("b"), F.round(F.col("mean") - F.lag("mean").over(w), 6).alias("change"))
+        return before.where("a is not null")
+    other = numbered.select(F.collect_list(F.struct("place", "level", "mean")).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("others"), F.col("place").alias("at"), F.col("level").alias("from"), F.col("mean").alias("was"))
+    if mode == "vs_best":
+        other = other.orderBy("was", "at").limit(1)
+    each = other.select("at", "from", "was", F.explode("others").alias("o")).where("o.place > at" if mode == "all" else "o.place <> at")
+    return each.select(F.col("from").alias("a"), F.col("o.level").alias("b"), F.round(F.col("o.mean") - F.col("was"), 6).alias("change"))

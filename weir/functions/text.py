@@ -96,6 +96,11 @@ def java_pattern(ere: str, icase: bool = False, word: bool = False, whole: bool
     return ("(?iu)" if icase else "") + out
 
 
+def smart_case(patterns: list[str]) -> bool:
+    """Whether a search folds case if left to itself: only where no pattern has a capital letter."""
+    return all(p == p.lower() for p in patterns)
+
+
 def matches(line: Column, patterns: list[str], literal: bool = False, icase: bool = False, word: bool = False, whole: bool = False, invert: bool = False) -> Column:
     """Whether a line holds any pattern; an empty pattern matches every line, no pattern none."""
     if literal and not (icase or word or whole):
@@ -128,3 +133,36 @@ def hamming_contains(line: Column, needle: str, k: int) -> Column:
     if not m:
         return F.lit(True)
     return some & (F.length(line) >= m) & F.exists(F.sequence(F.lit(1), F.greatest(F.length(line) - m + 1, F.lit(1))), lambda i: sum((F.when(line.substr(i + j, F.lit(1)) != c, 1).otherwise(0) for j, c in enumerate(needle)), F.lit(0)) <= k)
+
+
+def padded(line: Column, widths: list[int], delim: str = " \t", gap: str = "  ") -> Column:
+    """Fields in columns of these widths, the last one of a line not padded; fields beyond the widths follow as they are."""
+    f = fields(line, delim)
+    w = F.array(*(F.lit(x) for x in widths)) if widths else F.array().cast("array<int>")
+    cell = lambda x, i: F.when(i < F.size(f) - 1, F.rpad(x, F.greatest(F.coalesce(F.get(w, i), F.lit(0)), F.length(x)), F.lit(" "))).otherwise(x)
+    return F.array_join(F.transform(f, cell), gap)
+
+
+def human_count(n: Column) -> Column:
+    """A count with one decimal and a unit: 1700000 is 1.7M; whole below a thousand and from 99.95 units on."""
+    unit, v = F.lit("T"), n / 1e12
+    for u, size in (("G", 1e9), ("M", 1e6), ("k", 1e3), ("", 1.0)):
+        small = F.abs(n) < size * 1000
+        unit, v = F.when(small, u).otherwise(unit), F.when(small, n / size).otherwise(v)
+    return F.when((unit == "") | (F.abs(v) >= 99.95), F.concat(F.bround(v, 0).cast("long").cast("string"), unit)).otherwise(F.concat(F.format_number(F.bround(v, 1), 1), unit))
+
+
+def process_filter(name: Column, user: Column, cpu: Column, text: str = "", pattern: str = "", owner: str = "", least: float | None = None) -> Column:
+    """Rows whose name holds text in any case and matches pattern, of that owner, with that much CPU; a part that is empty, or a pattern that is none, filters nothing."""
+    keep = F.lit(True)
+    if text:
+        keep = keep & F.contains(F.lower(name), F.lit(text.lower()))
+    if pattern:
+        try:
+            re.compile(pattern)
+            keep = keep & name.rlike(java_pattern(pattern))
+        except re.error:
+            pass
+    if owner:
+        keep = keep & (user == owner)
+    return keep & (cpu >= least) if least is not None else keep

@@ -513,6 +513,23 @@ def completeness(e: DataFrame) -> DataFrame:
     return e.agg(F.count_if(F.col("type") != DROPS).alias("observed"), lost.alias("dropped")).select("*", (F.col("observed") / (F.col("observed") + F.col("dropped"))).alias("completeness"))
 
 
+#: Reports that row qualifiers narrow; the others need the context of all tasks.
+QUALIFIED = ("sched", "dispatch-stall", "wakers", "fractal", "locality", "signals")
+
+
+def qualify(e: DataFrame, signal: int | None = None, pid: int | None = None, tid: int | None = None, comm: str | None = None, window: tuple[int, int] | None = None) -> DataFrame:
+    """The records of one signal, process, thread, (part of a) name or time [from, to); for the reports in QUALIFIED. A record without a field that is asked for goes."""
+    keep = F.lit(True)
+    for column, value in (("signal", signal), ("pid", pid), ("tid", tid)):
+        if value is not None:
+            keep = keep & (F.col(column) == value)
+    if comm is not None:
+        keep = keep & F.contains("comm", F.lit(comm))
+    if window is not None:
+        keep = keep & (F.col("ts") >= window[0]) & (F.col("ts") < window[1])
+    return e.where(keep)
+
+
 def run_reports(events: DataFrame, names: list[str] | None = None) -> DataFrame:
     """The chosen reports of one event table. Each reads it by type: keep the events as Parquet (see read_traces) rather than parse logs for each."""
     out = None

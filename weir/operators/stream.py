@@ -92,6 +92,14 @@ def context(df: DataFrame, hit: Column, order: list[str], by: list[str], before:
     return df.withColumn("is_hit", hit).withColumn("_near", F.max(F.col("is_hit").cast("int")).over(w.rowsBetween(-after, before))).where("_near = 1").drop("_near")
 
 
+def context_groups(df: DataFrame, hit: Column, order: list[str], by: list[str], before: int, after: int) -> DataFrame:
+    """The rows of context with what = line, and before each group that does not follow on from the last one a row with what = --."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    near = context(df.withColumn("_i", F.row_number().over(w)), hit, order, by, before, after)
+    cut = F.coalesce(F.col("_i") - F.lag("_i").over(w) > 1, F.lit(False))
+    return near.withColumn("_cut", cut).withColumn("what", F.explode(F.when(F.col("_cut"), F.array(F.lit("--"), F.lit("line"))).otherwise(F.array(F.lit("line"))))).drop("_i", "_cut")
+
+
 def first_n_by(df: DataFrame, n: int, by: list[str], order: list) -> DataFrame:
     """The first n rows of each group, the most that leave a task before the shuffle (a ranking limit in the plan)."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= n).drop("_r")

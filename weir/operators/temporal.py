@@ -51,6 +51,19 @@ def overlap(a: DataFrame, b: DataFrame, by: list[str], width: int) -> DataFrame:
     return a.join(total, "id", "left").na.fill(0, ["overlap"])
 
 
+def dominant_holder(a: DataFrame, b: DataFrame, by: list[str], width: int) -> DataFrame:
+    """(id, holder) of each span of a (id, lo, hi, by) that any of b (holder, blo, bhi) shares time with: the one that shares most in a bucket of width, ties to the smaller holder."""
+    x = a.withColumn("_b", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
+    y = b.withColumn("_b", F.explode(F.sequence(F.floor(F.col("blo") / width), F.floor((F.col("bhi") - 1) / width))))
+    o = x.join(y, [*by, "_b"]).withColumn("t", F.least("hi", "bhi") - F.greatest("lo", "blo")).where("t > 0")
+    return o.groupBy("id").agg(F.max_by("holder", F.struct("t", -F.col("holder"))).alias("holder"))
+
+
+def moving_mean(by: list[str], order: list[str], value: str, back: int, ahead: int = 0) -> Column:
+    """Mean of the rows from back before to ahead after; at the ends, of those that there are."""
+    return F.avg(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(-back, ahead))
+
+
 def binned(df: DataFrame, ts: str, bins: int) -> DataFrame:
     """(bin, n) of equal time bins over the whole span, late rows in the last one, empty bins included."""
     ends = df.agg(F.min(ts).alias("t0"), F.max(ts).alias("t1"))

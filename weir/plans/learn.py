@@ -206,6 +206,48 @@ _compare("mcb", "axis string, lo double, hi double", lambda g, s: [{"axis": k, "
 _compare("mc_power", "runs long", lambda g, s: [{"runs": I.power(g["a"], g["b"], seed=s)}] if len(g) == 2 else [])
 
 
+_MOMENTS = f"m AS (SELECT cell, axis, count(*) AS n, avg(value) AS mean, var_samp(value) AS v FROM {_CELLS} GROUP BY 1, 2)"
+
+
+@query("welch_stats", f"WITH {_MOMENTS} SELECT a.cell, round((a.mean - b.mean) / sqrt(a.v / a.n + b.v / b.n), 6) AS t, round((a.v / a.n + b.v / b.n) ** 2 / ((a.v / a.n) ** 2 / (a.n - 1) + (b.v / b.n) ** 2 / (b.n - 1)), 6) AS df FROM m a JOIN m b USING (cell) WHERE a.axis = 'a' AND b.axis = 'b'")
+def welch_stats(spark, sf):
+    m = _cells(spark, sf).groupBy("cell").pivot("axis", ["a", "b"]).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_samp("value").alias("v"))
+    a, b = F.col("a_v") / F.col("a_n"), F.col("b_v") / F.col("b_n")
+    t = (F.col("a_mean") - F.col("b_mean")) / F.sqrt(a + b)
+    return m.select("cell", F.round(t, 6).alias("t"), F.round(F.pow(a + b, F.lit(2.0)) / (a * a / (F.col("a_n") - 1) + b * b / (F.col("b_n") - 1)), 6).alias("df"))
+
+
+_LEVELS = "l AS (SELECT level, place, mean, min(place) FILTER (WHERE mean = low) OVER () AS best FROM (SELECT *, min(mean) OVER () AS low FROM (SELECT strftime(ts, '%Y-%m-%d') AS level, row_number() OVER (ORDER BY strftime(ts, '%Y-%m-%d')) AS place, avg(value) AS mean FROM events WHERE event_type = 'error' GROUP BY 1)))"
+
+
+def _pairs(mode, where):
+    @query(f"pairs_{mode}", f"WITH {_LEVELS} SELECT x.level AS a, y.level AS b, round(y.mean - x.mean, 6) AS change FROM l x JOIN l y ON {where}")
+    def run(spark, sf):
+        e = events(spark, sf).where("event_type = 'error'")
+        day = F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd")
+        return I.level_pairs(e.groupBy(day.alias("level")).agg(F.avg("value").alias("mean")), mode)
+
+
+_pairs("adjacent", "y.place = x.place + 1")
+_pairs("all", "y.place > x.place")
+_pairs("vs_best", "x.place = x.best AND y.place <> x.place")
+
+
+@query("metric_filter", "SELECT CASE p_brand WHEN 'Brand#3' THEN 'first' ELSE p_brand END AS brand, count(*) AS n FROM part WHERE contains(p_type, 'S') GROUP BY 1")
+def metric_filter(spark, sf):
+    p = table(spark, sf, "part").where(F.contains("p_type", F.lit("S")))
+    alias = F.coalesce(F.create_map(F.lit("Brand#3"), F.lit("first"))[F.col("p_brand")], F.col("p_brand"))
+    return p.groupBy(alias.alias("brand")).agg(F.count("*").alias("n"))
+
+
+@query("system_digest", "SELECT user_id % 8 AS host, arg_max(value, (epoch_us(ts), event_id)) FILTER (WHERE event_type = 'view') AS last_view, max(value) FILTER (WHERE event_type = 'error') AS peak_error, round(avg(value) FILTER (WHERE event_type = 'error'), 6) AS mean_error, CAST(count(*) FILTER (WHERE event_type = 'signup') AS BIGINT) AS restarts FROM events GROUP BY 1")
+def system_digest(spark, sf):
+    """A line a host: the last of one family, peak and mean of another, and how often it restarted."""
+    of = lambda kind: F.when(F.col("event_type") == kind, F.col("value"))
+    view = F.when(F.col("event_type") == "view", F.struct("us", "event_id"))
+    return events(spark, sf).groupBy((F.col("user_id") % 8).alias("host")).agg(F.max_by("value", view).alias("last_view"), F.max(of("error")).alias("peak_error"), F.round(F.avg(of("error")), 6).alias("mean_error"), F.count_if(F.col("event_type") == "signup").alias("restarts"))
+
+
 @query("trajectory")
 def trajectory(spark, sf):
     def changes(v: np.ndarray) -> dict:

@@ -137,10 +137,9 @@ def overlap(spark, sf):
 
 @query("dominant_holder", f"WITH o AS (SELECT a.span_id, b.span_id AS holder, least(a.hi, b.hi) - greatest(a.lo, b.lo) AS t FROM {_SPANS % 'error'} a JOIN {_SPANS % 'view'} b ON a.user_id = b.user_id AND b.hi > a.lo AND b.lo < a.hi) SELECT span_id, arg_max(holder, t * 1000000 - holder) AS holder FROM o GROUP BY 1")
 def dominant_holder(spark, sf):
-    a = _spans(spark, sf, "error").withColumn("b_", F.explode(F.sequence(F.floor(F.col("lo") / (6 * HOUR)), F.floor((F.col("hi") - 1) / (6 * HOUR)))))
-    b = _spans(spark, sf, "view").select("user_id", F.col("span_id").alias("holder"), F.col("lo").alias("blo"), F.col("hi").alias("bhi")).withColumn("b_", F.explode(F.sequence(F.floor(F.col("blo") / (6 * HOUR)), F.floor((F.col("bhi") - 1) / (6 * HOUR)))))
-    o = a.join(b, ["user_id", "b_"]).withColumn("t", F.least("hi", "bhi") - F.greatest("lo", "blo")).where("t > 0")
-    return o.groupBy("span_id").agg(F.max_by("holder", F.struct("t", -F.col("holder"))).alias("holder"))
+    a = _spans(spark, sf, "error").select("user_id", F.col("span_id").alias("id"), "lo", "hi")
+    b = _spans(spark, sf, "view").select("user_id", F.col("span_id").alias("holder"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
+    return T.dominant_holder(a, b, ["user_id"], 6 * HOUR).withColumnRenamed("id", "span_id")
 
 
 @query("last_state_per_user", f"SELECT user_id, arg_max(event_type, us) AS state, max(us) AS at FROM {_E} GROUP BY user_id")
@@ -190,3 +189,27 @@ def class_weight(spark, sf):
 @query("collapse_identical", "SELECT p_brand, p_size, count(*) AS members, min(p_partkey) AS representative FROM part GROUP BY 1, 2")
 def collapse(spark, sf):
     return table(spark, sf, "part").groupBy("p_brand", "p_size").agg(F.count("*").alias("members"), F.min("p_partkey").alias("representative"))
+
+
+@query("box_mean", f"SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 6) AS mean FROM {_E}")
+def box_mean(spark, sf):
+    return events(spark, sf).select("event_id", F.round(T.moving_mean(BY, ORDER, "value", 3, 3), 6).alias("mean"))
+
+
+@query("trailing_mean", f"SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW), 6) AS mean FROM {_E}")
+def trailing_mean(spark, sf):
+    return events(spark, sf).select("event_id", F.round(T.moving_mean(BY, ORDER, "value", 7), 6).alias("mean"))
+
+
+@query("mono_runs", f"SELECT user_id, CAST(1 + count(*) FILTER (WHERE d < 0) AS BIGINT) AS ascending_runs, CAST(count(*) FILTER (WHERE d > 0) AS BIGINT) AS rises, CAST(count(*) FILTER (WHERE d < 0) AS BIGINT) AS falls, round(coalesce(-min(d) FILTER (WHERE d < 0), 0), 6) AS max_descent FROM (SELECT user_id, value - lag(value) OVER w AS d FROM {_E} {_W}) GROUP BY user_id")
+def mono_runs(spark, sf):
+    e = events(spark, sf).select("user_id", (F.col("value") - F.lag("value").over(by_user())).alias("d"))
+    down = F.col("d") < 0
+    return e.groupBy("user_id").agg((1 + F.count_if(down)).alias("ascending_runs"), F.count_if(F.col("d") > 0).alias("rises"), F.count_if(down).alias("falls"), F.round(F.coalesce(-F.min(F.when(down, F.col("d"))), F.lit(0.0)), 6).alias("max_descent"))
+
+
+@query("descent_gap", f"SELECT user_id, CAST(max(g) AS BIGINT) AS gap FROM (SELECT user_id, i - lag(i) OVER (PARTITION BY user_id ORDER BY i) AS g FROM (SELECT user_id, i, d FROM (SELECT user_id, row_number() OVER w AS i, value - lag(value) OVER w AS d FROM {_E} {_W}) WHERE d < 0)) WHERE g IS NOT NULL GROUP BY user_id")
+def descent_gap(spark, sf):
+    e = events(spark, sf).select("user_id", F.row_number().over(by_user()).alias("i"), (F.col("value") - F.lag("value").over(by_user())).alias("d")).where("d < 0")
+    g = e.withColumn("g", F.col("i") - F.lag("i").over(Window.partitionBy("user_id").orderBy("i"))).where("g is not null")
+    return g.groupBy("user_id").agg(F.max("g").cast("long").alias("gap"))

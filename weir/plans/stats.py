@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from weir.functions import text as T
 from weir.operators import stream as S
@@ -160,3 +161,41 @@ def offender_rank(spark, sf):
 
     w = Window.partitionBy("event_type")
     return table(spark, sf, "events").select("event_type", "event_id", F.round(F.when(F.count("*").over(w) == 1, 1.0).otherwise(F.percent_rank().over(w.orderBy("value"))), 6).alias("norm"))
+
+
+@query("tied_rank", "SELECT l_orderkey, l_linenumber, rank() OVER w + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0 AS mid_rank FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_quantity)")
+def tied_rank(spark, sf):
+    """Mean ranks of equal values, from counts by value: no task sorts a group's rows."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    c = li.groupBy("l_returnflag", "l_quantity").agg(F.count("*").alias("n"))
+    below = F.sum("n").over(Window.partitionBy("l_returnflag").orderBy("l_quantity")) - F.col("n")
+    return li.join(c.select("l_returnflag", "l_quantity", (below + (F.col("n") + 1) / 2).alias("mid_rank")), ["l_returnflag", "l_quantity"]).select("l_orderkey", "l_linenumber", "mid_rank")
+
+
+@query("sort_strings", "SELECT p_partkey, row_number() OVER (ORDER BY p_name, p_partkey) AS place FROM part")
+def sort_strings(spark, sf):
+    """Places in byte order, from counts by first letters and an order inside each: no task sorts all strings."""
+    p = table(spark, sf, "part").select("p_partkey", "p_name", F.substring(F.encode("p_name", "UTF-8"), 1, 2).alias("head"))
+    before = p.groupBy("head").agg(F.count("*").alias("n")).select("head", (F.sum("n").over(Window.orderBy("head")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("head").orderBy(F.encode("p_name", "UTF-8"), "p_partkey"))
+    return p.join(before, "head").select("p_partkey", (F.col("before") + inside).alias("place"))
+
+
+@query("process_sort_modes", " UNION ALL ".join(f"(SELECT '{m}' AS mode, s_suppkey, CAST(row_number() OVER (ORDER BY {o}, s_suppkey) AS INTEGER) AS place FROM supplier ORDER BY {o}, s_suppkey LIMIT 20)" for m, o in (("cpu", "s_acctbal DESC"), ("pid", "s_suppkey"), ("name", "s_name"), ("memory", "s_nationkey DESC"))))
+def process_sort_modes(spark, sf):
+    """The first rows of a process table under each of its orders; a limit, as a table has so many lines."""
+    s, out = table(spark, sf, "supplier"), None
+    for mode, order in (("cpu", F.desc("s_acctbal")), ("pid", F.asc("s_suppkey")), ("name", F.asc("s_name")), ("memory", F.desc("s_nationkey"))):
+        place = F.row_number().over(Window.orderBy(order, "s_suppkey")).cast("int")
+        top = s.orderBy(order, "s_suppkey").limit(20).select(F.lit(mode).alias("mode"), "s_suppkey", place.alias("place"))
+        out = top if out is None else out.union(top)
+    return out
+
+
+@query("cpu_scale", "SELECT l_suppkey, round(100 * sum(l_quantity) / (SELECT sum(l_quantity) FROM lineitem), 6) AS machine_pct, round(100 * sum(l_quantity) / (SELECT sum(l_quantity) FROM lineitem) * (SELECT count(DISTINCT l_linenumber) FROM lineitem), 6) AS core_pct FROM lineitem GROUP BY l_suppkey")
+def cpu_scale(spark, sf):
+    """A process's share of the machine, and of one core: as many times that as there are cores."""
+    li = table(spark, sf, "lineitem")
+    whole = li.agg(F.sum("l_quantity").alias("total"), F.count_distinct("l_linenumber").alias("cores"))
+    share = 100 * F.col("q") / F.col("total")
+    return li.groupBy("l_suppkey").agg(F.sum("l_quantity").alias("q")).join(F.broadcast(whole)).select("l_suppkey", F.round(share, 6).alias("machine_pct"), F.round(share * F.col("cores"), 6).alias("core_pct"))

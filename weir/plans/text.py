@@ -55,8 +55,13 @@ def tr_delete(spark, sf):
 
 @query("process_filter", "SELECT c_custkey FROM customer WHERE contains(lower(c_name), 'customer') AND regexp_matches(c_name, '7') AND c_mktsegment = 'BUILDING' AND c_acctbal >= 1000")
 def process_filter(spark, sf):
-    n = F.col("c_name")
-    return table(spark, sf, "customer").where(T.matches(n, ["Customer"], literal=True, icase=True) & n.rlike("7") & (F.col("c_mktsegment") == "BUILDING") & (F.col("c_acctbal") >= 1000)).select("c_custkey")
+    keep = T.process_filter(F.col("c_name"), F.col("c_mktsegment"), F.col("c_acctbal"), "CUSTOMER", "7", "BUILDING", 1000)
+    return table(spark, sf, "customer").where(keep).select("c_custkey")
+
+
+@query("process_filter_bad_pattern", "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'")
+def process_filter_bad(spark, sf):
+    return table(spark, sf, "customer").where(T.process_filter(F.col("c_name"), F.col("c_mktsegment"), F.col("c_acctbal"), pattern="7(", owner="BUILDING")).select("c_custkey")
 
 
 def _search(name, where, patterns, **flags):
@@ -147,3 +152,59 @@ def dispersion(spark, sf):
     at = d.where("size(p) > 1").select("doc_id", F.expr("transform(sequence(1, size(p) - 1), i -> length(p[i - 1]) + 4)").alias("step"))
     # The first step has no match before it; each later one is the distance between two matches.
     return at.select("doc_id", F.size("step").cast("long").alias("n"), F.expr("slice(step, 2, size(step))").alias("g")).select("doc_id", "n", F.round(F.expr("aggregate(g, 0D, (a, x) -> a + x) / nullif(size(g), 0)"), 4).alias("mean_gap"), F.array_max("g").cast("long").alias("max_gap"))
+
+
+_search("search_smart_case_folds", "contains(lower(line), 'licensed')", ["licensed"], icase=T.smart_case(["licensed"]))
+_search("search_smart_case_keeps", "contains(line, 'Licensed')", ["Licensed"], literal=True, icase=T.smart_case(["Licensed"]))
+
+
+@query("search_quiet", "SELECT count(*) > 0 AS found FROM documents WHERE contains(text, 'GNU General')")
+def search_quiet(spark, sf):
+    hits = table(spark, sf, "documents").where(F.contains("text", F.lit("GNU General"))).limit(1)
+    return hits.agg((F.count("*") > 0).alias("found"))
+
+
+@query("search_labelled", f"SELECT 'docs/' || doc_id || ':' || line_no || ':' || line AS line FROM ({_LINES}) WHERE contains(line, 'Licensed')")
+def search_labelled(spark, sf):
+    hits = doc_lines(spark, sf).where(F.contains("line", F.lit("Licensed")))
+    return hits.select(F.concat_ws(":", F.concat(F.lit("docs/"), F.col("doc_id").cast("string")), F.col("line_no").cast("string"), "line").alias("line"))
+
+
+@query("search_count_lines", f"SELECT doc_id, count(*) AS n FROM ({_LINES}) WHERE regexp_matches(line, '[A-Z][a-z]+ion') GROUP BY doc_id")
+def count_lines(spark, sf):
+    # Lines are counted, however many matches one holds.
+    return doc_lines(spark, sf).where(F.col("line").rlike("[A-Z][a-z]+ion")).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("search_only_matching_first_lines", f"SELECT doc_id, line_no, unnest(regexp_extract_all(line, '[A-Z][a-z]+ion')) AS hit FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS r FROM ({_LINES}) WHERE regexp_matches(line, '[A-Z][a-z]+ion')) WHERE r <= 2")
+def only_matching_first(spark, sf):
+    hits = doc_lines(spark, sf).where(F.col("line").rlike("[A-Z][a-z]+ion"))
+    return S.first_n_by(hits, 2, ["doc_id"], ["line_no"]).select("doc_id", "line_no", F.explode(F.regexp_extract_all("line", F.lit("[A-Z][a-z]+ion"), F.lit(0))).alias("hit"))
+
+
+@query("search_context_groups", """WITH c AS (SELECT conv_id, turn, max(CAST(contains(text, 'tion') AS INT)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+g AS (SELECT conv_id, turn, i, i - lag(i) OVER (PARTITION BY conv_id ORDER BY i) > 1 AS cut FROM c WHERE near = 1)
+SELECT conv_id, turn, 'line' AS what FROM g UNION ALL SELECT conv_id, turn, '--' FROM g WHERE cut""")
+def context_groups(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    return S.context_groups(c, F.contains("text", F.lit("tion")), ["turn"], ["conv_id"], 1, 1).select("conv_id", "turn", "what")
+
+
+@query("column_padded", "WITH w AS (SELECT i, max(length(f)) AS w FROM (SELECT unnest(string_split(p_name, ' ')) AS f, generate_subscripts(string_split(p_name, ' '), 1) AS i FROM part) GROUP BY i), c AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS f, generate_subscripts(string_split(p_name, ' '), 1) AS i, len(string_split(p_name, ' ')) AS n FROM part) SELECT p_partkey, string_agg(CASE WHEN i < n THEN rpad(f, CAST(w AS INTEGER), ' ') ELSE f END, '  ' ORDER BY i) AS line FROM c JOIN w USING (i) GROUP BY p_partkey")
+def column_padded(spark, sf):
+    # One number a column reaches the driver.
+    widths = [r.width for r in column_widths(spark, sf).orderBy("pos").collect()]
+    return table(spark, sf, "part").select("p_partkey", T.padded(F.col("p_name"), widths, " ").alias("line"))
+
+
+@query("uniq_ignore_case", "SELECT user_id, run, count(*) AS n FROM (SELECT *, CAST(sum(c) OVER (PARTITION BY user_id ORDER BY us, event_id) AS BIGINT) AS run FROM (SELECT *, CASE WHEN lower(tag) IS DISTINCT FROM lower(lag(tag) OVER w) AND row_number() OVER w > 1 THEN 1 ELSE 0 END AS c FROM (SELECT user_id, event_id, epoch_us(ts) AS us, CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END AS tag FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id))) GROUP BY 1, 2")
+def uniq_icase(spark, sf):
+    from weir.plans.sequence import events
+
+    e = events(spark, sf).withColumn("tag", F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type")))
+    return S.uniq(e.withColumn("tag", F.lower("tag")), "tag", ["us", "event_id"], ["user_id"]).select("user_id", "run", "n")
+
+
+@query("human_count", "SELECT o_orderkey, CASE WHEN v < 1000 THEN CAST(CAST(round_even(v, 0) AS BIGINT) AS VARCHAR) WHEN v < 1e6 THEN CASE WHEN v / 1e3 >= 99.95 THEN CAST(CAST(round_even(v / 1e3, 0) AS BIGINT) AS VARCHAR) ELSE printf('%.1f', round_even(v / 1e3, 1)) END || 'k' ELSE CASE WHEN v / 1e6 >= 99.95 THEN CAST(CAST(round_even(v / 1e6, 0) AS BIGINT) AS VARCHAR) ELSE printf('%.1f', round_even(v / 1e6, 1)) END || 'M' END AS said FROM (SELECT o_orderkey, CAST(o_orderkey * o_orderkey * 2 AS DOUBLE) AS v FROM orders)")
+def human_count(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", T.human_count((F.col("o_orderkey") * F.col("o_orderkey") * 2).cast("double")).alias("said"))
