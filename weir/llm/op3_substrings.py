@@ -21,6 +21,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from weir.llm import wordhash as W
 from weir.session import bound_batches, settle, table
 
 #: Suffixes that a task holds before it deals them out; suffixes that a block should hold at most.
-FLUSH, GROUP = 2_000_000, 1_000_000
+FLUSH, GROUP = 500_000, 1_000_000
 #: Bits of a prefix for each of its words, and least and most words of a prefix.
 BITS, FIRST, DEEPEST = 8, 2, 7
 _SPAN = BITS * DEEPEST
@@ -47,8 +48,8 @@ def _windows(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np
         total = int(count.sum())
         if not total:
             continue
-        text = np.repeat(np.arange(hi - lo), count)
-        start = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
+        text = np.repeat(np.arange(hi - lo, dtype=np.int32), count)
+        start = (np.arange(total) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
         at = wo[text] + start
         code = np.zeros(len(h), np.uint64)
         for j in range(DEEPEST):
@@ -151,14 +152,14 @@ def _suffixes(batches: Iterator[pa.RecordBatch], width: int, blocks: Blocks, rep
 
     def deal() -> pa.RecordBatch:
         d, s = np.concatenate(d_all), np.concatenate(s_all)
-        doc, start, digest, code = (np.concatenate(x) for x in zip(*held))
+        doc, start, digest, block = (np.concatenate(x) for x in zip(*held))
+        held.clear()
         order = np.lexsort((s, d))
-        rank = np.empty(len(d), np.int64)
+        rank = np.empty(len(d), np.int32)
         d, s = d[order], s[order]
         fresh = np.append(True, (d[1:] != d[:-1]) | (s[1:] != s[:-1]))
         rank[order] = np.cumsum(fresh) - 1  # rows that agree in both are one text
         d, s, doc = d[fresh], s[fresh], rank[doc]
-        block = blocks.of(code, digest).astype(np.uint16 if blocks.total < 65536 else np.int64)
         order = np.argsort(block, kind="stable")
         cut = np.flatnonzero(np.append(True, np.diff(block[order]) != 0))
         rows = []
@@ -180,7 +181,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch], width: int, blocks: Blocks, rep
             at = base[inverse] + start[y]
             at = _narrow(at) if len(at) == 0 or at.max() < 1 << 24 else at.astype(np.int64).tobytes()
             rows.append((b, W.pack(digest[y]), at, base.astype(np.uint32).tobytes(), d[own].tobytes(), _halves(s[own]), d[doc[again]].tobytes(), _halves(s[doc[again]]), start[again].astype(np.uint32).tobytes()))
-        d_all.clear(), s_all.clear(), held.clear()
+        d_all.clear(), s_all.clear()
         state.update(docs=0, n=0)
         names = [x.split()[0] for x in _ENTRIES.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if k else pa.int64()) for k, x in enumerate(zip(*rows))], names)
@@ -191,7 +192,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch], width: int, blocks: Blocks, rep
         for text, start, digest, code in _windows(batch, width):
             hi = int(text[-1]) + 1
             d_all.append(d[lo:hi]), s_all.append(s[lo:hi])
-            held.append((text - lo + state["docs"], start, digest, code))
+            held.append((text - np.int32(lo - state["docs"]), start, digest, blocks.of(code, digest).astype(np.uint16 if blocks.total < 65536 else np.int64)))
             state["docs"] += hi - lo
             state["n"] += len(text)
             lo = hi
@@ -213,13 +214,16 @@ def _deep_nodes(t: pa.Table, buckets: int) -> pa.Table:
         base, s = np.frombuffer(row[2], np.uint32).astype(np.int64), _whole(row[4], len(d))
         at = np.frombuffer(at, np.int64) if len(at) == 8 * len(g) else _wide(at).astype(np.int64)
         doc = np.searchsorted(base, at, "right") - 1
-        digests.append(g), ds.append(d[doc]), ss.append(s[doc]), starts.append(at - base[doc])
+        digests.append(g), ds.append(d[doc]), ss.append(s[doc]), starts.append((at - base[doc]).astype(np.int32))
         ad.append(np.frombuffer(row[5], np.int64)), as_.append(_whole(row[6], len(ad[-1]))), aat.append(np.frombuffer(row[7], np.uint32).astype(np.int64))
-    g, d, s, at = (np.concatenate(x) for x in (digests, ds, ss, starts))
+    g = np.concatenate(digests)
     order = np.argsort(g, kind="stable")
-    same = g[order][1:] == g[order][:-1]
+    same = np.diff(g[order]) == 0
     x = order[np.append(same, False) | np.append(False, same)]
-    x = x[np.lexsort((at[x], s[x], d[x], g[x]))]
+    del order, same
+    g, d, s, at = (np.concatenate(y)[x] for y in (digests, ds, ss, starts))  # only leaves of deep nodes go on
+    digests.clear(), ds.clear(), ss.clear(), starts.clear()
+    x = np.lexsort((at, s, d, g))
     if len(x):
         first = np.append(True, g[x][1:] != g[x][:-1])
         head = x[first][np.cumsum(first) - 1]
@@ -279,8 +283,11 @@ def _untouched(batches: Iterator[pa.RecordBatch], known, repeated, width: int) -
         yield pa.RecordBatch.from_pydict(_kept(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), [None] * batch.num_rows, width))
 
 
-def _remove(docs: pa.Table, again: pa.Table, width: int) -> pa.Table:
-    d, s = (np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in again.column(c).to_pylist())]) for c in ("d", "s"))
+def _remove(t: pa.Table, width: int) -> pa.Table:
+    """Texts of a bucket without their repeats; rows are texts (text given) and starts of repeats (text null)."""
+    given = t.column("text").is_valid()
+    docs, again = t.filter(given), t.filter(pa.compute.invert(given))
+    d, s = (np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in again.column(c).to_pylist())]) for c in ("ds", "ss"))
     at = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(x, np.uint32) for x in again.column("at").to_pylist())]).astype(np.int64)
     order = np.lexsort((s, d))
     d, s, at = d[order], s[order], at[order]
@@ -324,7 +331,10 @@ def remove_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
     rest = docs.mapInArrow(partial(_untouched, known=known, repeated=repeated, width=width), _OUT)
     some = docs.mapInArrow(partial(_touched, known=known, repeated=repeated), docs.schema)
     some = some.withColumn("bucket", F.expr(f"pmod(d ^ shiftright(d, 17) ^ s, {buckets}L)"))
-    return rest.union(some.groupBy("bucket").cogroup(again.groupBy("bucket")).applyInArrow(lambda a, b: _remove(a, b, width), _OUT))
+    # Texts and starts share a frame: a cogroup would keep Python workers of its own beside the others.
+    starts = again.select("bucket", F.col("d").alias("ds"), F.col("s").alias("ss"), "at")
+    both = some.unionByName(starts, allowMissingColumns=True)
+    return rest.union(both.groupBy("bucket").applyInArrow(lambda t: _remove(t, width), _OUT))
 
 
 def _runs(t: pa.Table, width: int) -> pa.Table:
