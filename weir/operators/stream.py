@@ -25,11 +25,14 @@ def group(df: DataFrame, key: str, op: str, value: str | None = None, order: str
         counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"), *([F.min(order).alias("o")] if order else []))
         want = F.struct((-F.col("n") if op == "mode" else F.col("n")).alias("n"), F.col(value).alias("v"))
         return counts.groupBy(key).agg(F.min(want)["v"].alias("value"), (F.min("o") if order else F.lit(None).cast("long")).alias("first"))
+    if op == "median":
+        firsts = df.groupBy(key).agg(first)
+        return firsts.join(medians_by(df, [key], value, "value"), key, "left").select(key, "value", "first")
     v = F.col(value) if value else None
     agg: Column = {
         "sum": lambda: F.sum(v), "mean": lambda: F.avg(v), "count": lambda: F.count("*"), "min": lambda: F.min(v), "max": lambda: F.max(v),
         "sstdev": lambda: F.when(F.count(v) == 1, F.lit(float("nan"))).otherwise(F.stddev_samp(v)), "pstdev": lambda: F.stddev_pop(v),
-        "first": lambda: F.min_by(v, order), "last": lambda: F.max_by(v, order), "median": lambda: F.median(v),
+        "first": lambda: F.min_by(v, order), "last": lambda: F.max_by(v, order),
         "unique": lambda: F.array_join(F.array_sort(F.collect_set(v.cast("string"))), ","),
         "collapse": lambda: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), v.cast("string").alias("v")))), lambda x: x["v"]), ","),
         "countunique": lambda: F.count_distinct(v),
@@ -106,27 +109,48 @@ def first_n_by(df: DataFrame, n: int, by: list[str], order: list) -> DataFrame:
 
 
 def order_statistics(df: DataFrame, value: str, ranks: list[int], n: int) -> DataFrame:
-    """(rank, value): exact order statistics from 0, without a global sort.
+    """(rank, value): exact order statistics from 0, without a global sort; n is the number of values that are not null.
 
-    A sketch brackets each rank (rank error below n / 10,000); rows below and inside the bracket are counted, and
-    only those inside, a few ten-thousandths of all, are sorted.
+    A sketch brackets all ranks at once (rank error below n / 10,000), a second pass counts what lies below and inside
+    each bracket; then only values inside, a few ten-thousandths of all, are counted by value and put in order.
     """
     spark = df.sparkSession
+    ranks = sorted(set(ranks))
+    if not ranks or n <= 0:
+        return spark.createDataFrame([], "rank long, value double")
     v = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
-    out = None
-    for k in ranks:
-        q = (k + 0.5) / n
-        lo, hi = (min(max(q + e, 0.0), 1.0) for e in (-3e-4, 3e-4))
-        a, b = v.agg(F.percentile_approx("v", [lo, hi], 10_000)).first()[0]
-        below, lo_v, hi_v = v.agg(F.count_if(F.col("v") < a), F.min("v"), F.max("v")).first()
-        if below > k:  # the sketch missed: the whole range
-            a, below = lo_v, 0
-        if v.where(F.col("v") <= b).count() <= k:
-            b = hi_v
-        inside = v.where((F.col("v") >= a) & (F.col("v") <= b)).orderBy("v").limit(k - below + 1)
-        one = inside.agg(F.max("v").alias("value")).select(F.lit(k).cast("long").alias("rank"), "value")
-        out = one if out is None else out.union(one)
-    return out if out is not None else spark.createDataFrame([], "rank long, value double")
+    qs = [min(max((k + 0.5) / n + e, 0.0), 1.0) for k in ranks for e in (-3e-4, 3e-4)]
+    cuts = v.agg(F.percentile_approx("v", qs, 10_000)).first()[0]
+    pairs = list(zip(cuts[::2], cuts[1::2]))
+    least, most, *counts = v.agg(F.min("v"), F.max("v"), *(x for a, b in pairs for x in (F.count_if(F.col("v") < a), F.count_if(F.col("v") <= b)))).first()
+    brackets = []
+    for k, (a, b), below, upto in zip(ranks, pairs, counts[::2], counts[1::2]):
+        a, below = (a, below) if below <= k else (least, 0)  # where the sketch missed, the whole range on that side
+        brackets.append(F.struct(F.lit(k).cast("long").alias("rank"), F.lit(float(a)).alias("a"), F.lit(float(b if upto > k else most)).alias("b"), F.lit(below).cast("long").alias("below")))
+    held = F.filter(F.array(*brackets), lambda x: (F.col("v") >= x["a"]) & (F.col("v") <= x["b"]))
+    inside = v.select("v", F.explode(held).alias("x")).groupBy("x.rank", "x.below", "v").agg(F.count("*").alias("k"))
+    upto = F.col("below") + F.sum("k").over(Window.partitionBy("rank").orderBy("v"))
+    return inside.withColumn("upto", upto).where("upto > rank").groupBy("rank").agg(F.min("v").alias("value"))
+
+
+def ranked_by(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, v, k, upto, n): how often each value occurs in its group, how many values there are up to it and in all. Groups are not null.
+
+    Values are counted first; ranks come from totals of logarithmic buckets, which ascend with the value, and a window
+    inside each bucket, so no task holds or sorts all values of a group.
+    """
+    c = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("k"))
+    c = c.withColumn("b", F.floor(F.signum("v") * F.log2(F.abs("v") + 1) * 64))
+    w = Window.partitionBy(*by)
+    total = c.groupBy(*by, "b").agg(F.sum("k").alias("kb"))
+    total = total.select(*by, "b", (F.sum("kb").over(w.orderBy("b")) - F.col("kb")).alias("below"), F.sum("kb").over(w).alias("n"))
+    return c.join(total, [*by, "b"]).select(*by, "v", "k", (F.col("below") + F.sum("k").over(Window.partitionBy(*by, "b").orderBy("v"))).alias("upto"), "n")
+
+
+def medians_by(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """(by, name): exact medians, the mean of the two middle values where a group has an even number."""
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("v")))
+    return ranked_by(df, by, value).groupBy(*by).agg(((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias(name))
 
 
 def floor_index(q: float, n: int) -> int:

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 
 from weir.functions import inference as I
 from weir.functions import kernels as K
+from weir.operators import stream as S
 from weir.plans.registry import query
 from weir.plans.sequence import events
 from weir.session import table
@@ -59,9 +60,9 @@ SELECT l_orderkey, l_linenumber, round(greatest(dq / sq, dt / st), 6) AS score F
 @query("mad_score", _Z)
 def mad(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("f"), "l_quantity", "l_tax")
-    m = li.groupBy("f").agg(F.median("l_quantity").alias("mq"), F.median("l_tax").alias("mt"))
+    m = S.medians_by(li, ["f"], "l_quantity", "mq").join(S.medians_by(li, ["f"], "l_tax", "mt"), "f")
     d = li.join(F.broadcast(m), "f").select("l_orderkey", "l_linenumber", "f", F.abs(F.col("l_quantity") - F.col("mq")).alias("dq"), F.abs(F.col("l_tax") - F.col("mt")).alias("dt"))
-    s = d.groupBy("f").agg((F.median("dq") / 0.6745).alias("sq"), (F.median("dt") / 0.6745).alias("st"))
+    s = S.medians_by(d, ["f"], "dq", "sq").join(S.medians_by(d, ["f"], "dt", "st"), "f").select("f", (F.col("sq") / 0.6745).alias("sq"), (F.col("st") / 0.6745).alias("st"))
     return d.join(F.broadcast(s), "f").select("l_orderkey", "l_linenumber", F.round(F.greatest(F.col("dq") / F.col("sq"), F.col("dt") / F.col("st")), 6).alias("score"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from weir.operators import stream as S
 from weir.operators import temporal as T
 from weir.plans.registry import query
 from weir.session import table
@@ -67,7 +68,9 @@ def slices(spark, sf):
 
 @query("slice_intervals", f"SELECT user_id, count(*) AS n, max(d) AS worst, quantile_disc(d, 0.5) AS p50 FROM {_SLICE} WHERE d > 0 AND d < {24 * HOUR} GROUP BY user_id")
 def slice_intervals(spark, sf):
-    return slices(spark, sf).where((F.col("d") > 0) & (F.col("d") < 24 * HOUR)).groupBy("user_id").agg(F.count("*").alias("n"), F.max("d").alias("worst"), F.expr("percentile_disc(0.5) within group (order by d)").cast("long").alias("p50"))
+    r = S.ranked_by(slices(spark, sf).where((F.col("d") > 0) & (F.col("d") < 24 * HOUR)), ["user_id"], "d")
+    half = F.min(F.when(F.col("upto") * 2 >= F.col("n"), F.col("v")))
+    return r.groupBy("user_id").agg(F.max("n").alias("n"), F.max("v").cast("long").alias("worst"), half.cast("long").alias("p50"))
 
 
 @query("service_share", f"WITH s AS (SELECT user_id, sum(d) AS t FROM {_SLICE} WHERE d > 0 AND d < {24 * HOUR} GROUP BY user_id) SELECT count(*) AS users, round(100.0 * max(t) / sum(t), 6) AS top1_pct, round(100.0 * (SELECT sum(t) FROM (SELECT t FROM s ORDER BY t DESC, user_id LIMIT 5)) / sum(t), 6) AS top5_pct FROM s")
@@ -81,7 +84,8 @@ def service_share(spark, sf):
 def trajectory(spark, sf):
     e = events(spark, sf)
     ends = e.agg(F.min("us").alias("t0"), F.max("us").alias("t1"))
-    return e.join(F.broadcast(ends)).groupBy(F.least(F.expr("(us - t0) * 8 div (t1 - t0)"), F.lit(7)).cast("long").alias("seg")).agg(F.median("value").alias("med"))
+    seg = F.least(F.expr("(us - t0) * 8 div (t1 - t0)"), F.lit(7)).cast("long").alias("seg")
+    return S.medians_by(e.join(F.broadcast(ends)).select(seg, "value"), ["seg"], "value", "med")
 
 
 @query("bin_rate_128", f"WITH e AS (SELECT min(us) AS t0, max(us) AS t1 FROM {_E}), c AS (SELECT least((us - t0) // greatest((t1 - t0) // 128, 1), 127) AS bin, count(*) AS n FROM {_E}, e GROUP BY 1) SELECT range AS bin, coalesce(n, 0) AS n FROM range(128) LEFT JOIN c ON c.bin = range")
