@@ -163,7 +163,7 @@ def mahalanobis(x: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 
 
 def half_space_trees(x: np.ndarray, trees: int = 25, depth: int = 12, window: int = 200, limit: int = 25, seed: int = 1729) -> np.ndarray:
-    """Mass of each row's leaf in the reference window (small: unusual), rows in stream order."""
+    """Mass of each row's leaf in the window before (small: unusual), rows in stream order."""
     lo, hi = x.min(axis=0), x.max(axis=0)
     span = np.where(hi > lo, hi - lo, 1)
     u = (x - lo) / span

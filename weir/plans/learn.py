@@ -89,14 +89,35 @@ _scores("half_space_trees", lambda x: {"score": K.half_space_trees(x)})
 _scores("anomaly_fuse", lambda x: dict(zip(("score", "axis"), K.anomaly_fuse(x))))
 
 
-@query("changepoint_ewma")
+_LAST = "(SELECT user_id, list(value ORDER BY us, event_id)[-64:] AS v FROM (SELECT user_id, event_id, epoch_us(ts) AS us, value FROM events) GROUP BY user_id)"
+
+
+@query("changepoint_ewma", f"SELECT user_id, round(CASE WHEN len(v) < 8 THEN 0 ELSE coalesce(abs(list_reduce(v, lambda s, x: s + 0.4 * (x - s)) - list_reduce(v, lambda s, x: s + 0.06 * (x - s))) / nullif(list_aggregate(v, 'stddev_pop'), 0), 0) END, 6) AS score FROM {_LAST}")
 def changepoint(spark, sf):
-    return _by_type(spark, sf, "score double", lambda v: {"score": K.changepoint(v[-64:])})
+    """Divergence of a fast and a slow average of a user's last 64 values (its window), in standard deviations."""
+    last = S.first_n_by(events(spark, sf), 64, ["user_id"], [F.desc("us"), F.desc("event_id")])
+    s = last.groupBy("user_id").agg(F.stddev_pop("value").alias("sd"), F.transform(F.array_sort(F.collect_list(F.struct("us", "event_id", "value"))), lambda x: x["value"]).alias("v"))
+    mean = lambda a: F.aggregate(F.expr("slice(v, 2, greatest(size(v) - 1, 0))"), F.col("v")[0], lambda m, x: m + F.lit(a) * (x - m))
+    score = F.when(F.size("v") < 8, 0.0).otherwise(F.coalesce(F.abs(mean(0.4) - mean(0.06)) / F.nullif(F.col("sd"), F.lit(0.0)), F.lit(0.0)))
+    return s.select("user_id", F.round(score, 6).alias("score"))
+
+
+def _saliency(v: np.ndarray) -> dict:
+    """Peaks and greatest saliency over the first and the last window of a power of two, which together cover a series; what lies in both counts in the first."""
+    n = 1 << (len(v).bit_length() - 1)
+    if n < 4:
+        return {"peaks": 0, "top": 0.0, "looked": len(v)}
+    s, f = K.spectral_residual(v[:n])
+    peaks, top = int(f.sum()), float(s.max())
+    if rest := len(v) - n:
+        s, f = K.spectral_residual(v[-n:])
+        peaks, top = peaks + int(f[-rest:].sum()), max(top, float(s[-rest:].max()))
+    return {"peaks": peaks, "top": top, "looked": len(v)}
 
 
 @query("spectral_residual")
 def residual(spark, sf):
-    return _by_type(spark, sf, "peaks long, top double", lambda v: (lambda s, f: {"peaks": int(f.sum()), "top": float(s.max())})(*K.spectral_residual(v[: 1 << (len(v).bit_length() - 1)])) if len(v) >= 4 else {"peaks": 0, "top": 0.0})
+    return _by_type(spark, sf, "peaks long, top double, looked long", _saliency)
 
 
 @query("matrix_profile")
@@ -121,7 +142,7 @@ def similar(spark, sf):
     return _nearest(spark, sf, 20).select("vec_id", F.round(F.sqrt("d"), 5).alias("distance"))
 
 
-#: Distinct vectors of a graph at most, as in the reference: its kernels are cubic in the nodes.
+#: Distinct vectors of a graph at most: its kernels are cubic in the nodes.
 NODES = 512
 
 
@@ -170,13 +191,19 @@ def cliffs(spark, sf):
     return c.groupBy("cell").agg(F.round(d, 6).alias("delta"))
 
 
-@query("hist_reconstruct", "SELECT o_orderstatus, le, n - coalesce(lag(n) OVER (PARTITION BY o_orderstatus ORDER BY le), 0) AS n FROM (SELECT o_orderstatus, le, count(*) FILTER (WHERE o_totalprice <= le) AS n FROM orders, (VALUES (50000), (100000), (200000), (1000000)) t(le) GROUP BY 1, 2)")
+_BOUNDS = (50000, 100000, 200000)
+
+
+@query("hist_reconstruct", "WITH b AS (SELECT o_orderstatus AS file, le, count(*) FILTER (WHERE o_totalprice <= le) AS upto FROM orders, (VALUES (50000.0::DOUBLE), (100000), (200000), ('inf'::DOUBLE)) t(le) GROUP BY 1, 2), d AS (SELECT file, le, coalesce(lag(le) OVER w, 0) AS lo, upto - coalesce(lag(upto) OVER w, 0) AS n FROM b WINDOW w AS (PARTITION BY file ORDER BY le)) SELECT file, round(CASE WHEN isinf(le) THEN lo WHEN lo > 0 THEN sqrt(lo * le) ELSE le / 2 END, 6) AS midpoint, n FROM d WHERE n > 0")
 def hist(spark, sf):
-    bounds = F.array(*(F.lit(x) for x in (50000, 100000, 200000, 1000000)))
-    o = table(spark, sf, "orders").select("o_orderstatus", "o_totalprice", F.explode(bounds).alias("le"))
-    c = o.groupBy("o_orderstatus", "le").agg(F.count_if(F.col("o_totalprice") <= F.col("le")).alias("n"))
-    w = Window.partitionBy("o_orderstatus").orderBy("le")
-    return c.select("o_orderstatus", "le", (F.col("n") - F.coalesce(F.lag("n").over(w), F.lit(0))).alias("n"))
+    """Prices as a cumulative histogram of an archive, taken apart again."""
+    from weir.sources import prometheus
+
+    le = F.array(*(F.struct(F.lit(float(x)).alias("at"), F.lit(str(x)).alias("le")) for x in _BOUNDS), F.struct(F.lit(float("inf")).alias("at"), F.lit("+Inf").alias("le")))
+    o = table(spark, sf, "orders").select(F.col("o_orderstatus").alias("file"), "o_totalprice", F.explode(le).alias("b"))
+    made = o.groupBy("file", "b").agg(F.count_if(F.col("o_totalprice") <= F.col("b.at")).cast("double").alias("value"))
+    made = made.select("file", F.lit("price_bucket").alias("name"), F.create_map(F.lit("le"), F.col("b.le")).alias("labels"), "value")
+    return prometheus.histogram_samples(made).select("file", F.round("midpoint", 6).alias("midpoint"), "n")
 
 
 @query("l2_share_busy", "WITH s AS (SELECT CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS scrape, user_id % 8 AS cpu, sum(value) AS v FROM events GROUP BY 1, 2), b AS (SELECT scrape, sum(v) AS total FROM s GROUP BY 1), k AS (SELECT scrape FROM b WHERE total > 0.3 * (SELECT max(total) FROM b)) SELECT cpu, round(sum(v) / (SELECT sum(v) FROM s WHERE scrape IN (SELECT scrape FROM k)), 6) AS share FROM s WHERE scrape IN (SELECT scrape FROM k) GROUP BY 1")
@@ -252,6 +279,6 @@ def system_digest(spark, sf):
 @query("trajectory")
 def trajectory(spark, sf):
     def changes(v: np.ndarray) -> dict:
-        return {"changes": len(I.trajectory([x.tolist() for x in np.array_split(v, 6)], rounds=99, seed=3))}
+        return {"changes": len(I.trajectory([x.tolist() for x in np.array_split(v, 6)], seed=3))}
 
     return _by_type(spark, sf, "changes long", changes)
