@@ -31,10 +31,15 @@ BATCH_BYTES, _DEFAULT_BYTES = "4m", 64 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bound what a task holds of its rows at once, on both sides of an Arrow exchange; a value set by the user stays."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, None) == f"{_DEFAULT_BYTES}b":
-        spark.conf.set(name, BATCH_BYTES)
+    """Settings of the session that operators count on, where it has Spark's defaults; values set by the user stay.
+
+    Arrow batches are bounded by bytes, which bounds what a task holds of its rows on both sides of an exchange with
+    Python; and a query's shuffle files go when it ends, so that what is settled is on disk once.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == f"{_DEFAULT_BYTES}b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    if spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == "false":
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def shared_dir(spark: SparkSession) -> str:
