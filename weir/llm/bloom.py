@@ -32,20 +32,33 @@ def _places(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
         yield (x >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _set_bits(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """The words of the filter that keys touch, and their bits."""
-    for batch in batches:
-        at = np.unique(np.concatenate(list(_places(batch.column(0).to_numpy(), bits))))
-        w, first = np.unique(at >> 6, return_index=True)
-        one = np.uint64(1) << (at & 63).astype(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(w), pa.array((np.bitwise_or.reduceat(one, first) if len(w) else one).view(np.int64))], ["w", "bits"])
+def size_for(count: int) -> int:
+    """The bits, as a power of two, of a filter of about count keys."""
+    return min(max((PER_KEY * count).bit_length(), LEAST), MOST)
 
 
-def of_keys(keys: DataFrame, count: int) -> Bloom:
-    """The filter of a frame of one long column without nulls that has about count rows. At most 2 ** (MOST - 6) rows of two longs reach the driver."""
-    bits = min(max((PER_KEY * count).bit_length(), LEAST), MOST)
-    parts = keys.mapInArrow(partial(_set_bits, bits=bits), "w long, bits long")
+def bits_of(keys: np.ndarray, bits: int) -> pa.RecordBatch:
+    """(w, bits): the words of the filter that keys touch, and their bits."""
+    at = np.unique(np.concatenate(list(_places(keys, bits))))
+    w, first = np.unique(at >> 6, return_index=True)
+    one = np.uint64(1) << (at & 63).astype(np.uint64)
+    return pa.RecordBatch.from_arrays([pa.array(w), pa.array((np.bitwise_or.reduceat(one, first) if len(w) else one).view(np.int64))], ["w", "bits"])
+
+
+def gather(parts: DataFrame, bits: int) -> Bloom:
+    """The filter of (w, bits) rows. At most 2 ** (MOST - 6) rows of two longs reach the driver."""
     t = parts.groupBy("w").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(1 << (bits - 6), np.uint64)
     words[t.column("w").to_numpy()] = t.column("bits").to_numpy().view(np.uint64)
     return Bloom(words)
+
+
+def _set_bits(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield bits_of(batch.column(0).to_numpy(), bits)
+
+
+def of_keys(keys: DataFrame, count: int) -> Bloom:
+    """The filter of a frame of one long column without nulls that has about count rows."""
+    bits = size_for(count)
+    return gather(keys.mapInArrow(partial(_set_bits, bits=bits), "w long, bits long"), bits)

@@ -241,10 +241,10 @@ def _deep_nodes(t: pa.Table, buckets: int) -> pa.Table:
     return pa.table({"bucket": name.astype(np.int64), "texts": (fresh[ends] - fresh[first]).astype(np.int64), **{k: pa.array(v, pa.binary()) for k, v in zip(("d", "s", "at"), cols)}})
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _filter_bits(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         d, s = (np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in batch.column(c).to_pylist())]) for c in ("d", "s"))
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(d ^ s))], ["key"])
+        yield bloom.bits_of(np.unique(d ^ s), bits)
 
 
 _OUT = "doc_id long, n_words long, n_removed long, kept string"
@@ -326,12 +326,13 @@ def remove_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
     texts of one doc_id two share a name with odds of about N * N / 2 ** 65.
     """
     docs, again, buckets, repeated = _repeats(docs, width)
-    keys = again.agg(F.coalesce(F.sum("texts"), F.lit(0))).first()[0]
-    known = docs.sparkSession.sparkContext.broadcast(bloom.of_keys(again.select("d", "s").mapInArrow(_keys, "key long"), keys))
+    bits = bloom.size_for(again.agg(F.coalesce(F.sum("texts"), F.lit(0))).first()[0])
+    # One Python step a task: a second one would double the workers that stay for the stages after it.
+    parts = again.select("d", "s").mapInArrow(partial(_filter_bits, bits=bits), "w long, bits long")
+    known = docs.sparkSession.sparkContext.broadcast(bloom.gather(parts, bits))
     rest = docs.mapInArrow(partial(_untouched, known=known, repeated=repeated, width=width), _OUT)
     some = docs.mapInArrow(partial(_touched, known=known, repeated=repeated), docs.schema)
     some = some.withColumn("bucket", F.expr(f"pmod(d ^ shiftright(d, 17) ^ s, {buckets}L)"))
-    # Texts and starts share a frame: a cogroup would keep Python workers of its own beside the others.
     starts = again.select("bucket", F.col("d").alias("ds"), F.col("s").alias("ss"), "at")
     both = some.unionByName(starts, allowMissingColumns=True)
     return rest.union(both.groupBy("bucket").applyInArrow(lambda t: _remove(t, width), _OUT))
