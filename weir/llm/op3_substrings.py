@@ -241,10 +241,9 @@ def _deep_nodes(t: pa.Table, buckets: int) -> pa.Table:
     return pa.table({"bucket": name.astype(np.int64), "texts": (fresh[ends] - fresh[first]).astype(np.int64), **{k: pa.array(v, pa.binary()) for k, v in zip(("d", "s", "at"), cols)}})
 
 
-def _filter_bits(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        d, s = (np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in batch.column(c).to_pylist())]) for c in ("d", "s"))
-        yield bloom.bits_of(np.unique(d ^ s), bits)
+def _filter_bits(t: pa.Table, bits: int) -> pa.Table:
+    d, s = (np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in t.column(c).to_pylist())]) for c in ("d", "s"))
+    return pa.Table.from_batches([bloom.bits_of(np.unique(d ^ s), bits)])
 
 
 _OUT = "doc_id long, n_words long, n_removed long, kept string"
@@ -327,8 +326,9 @@ def remove_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
     """
     docs, again, buckets, repeated = _repeats(docs, width)
     bits = bloom.size_for(again.agg(F.coalesce(F.sum("texts"), F.lit(0))).first()[0])
-    # One Python step a task: a second one would double the workers that stay for the stages after it.
-    parts = again.select("d", "s").mapInArrow(partial(_filter_bits, bits=bits), "w long, bits long")
+    # By bucket, so that a text counts once however many blocks it is in. One Python step a task: a second one would
+    # double the workers that stay for the stages after it.
+    parts = again.select("bucket", "d", "s").groupBy("bucket").applyInArrow(lambda t: _filter_bits(t, bits), "w long, bits long")
     known = docs.sparkSession.sparkContext.broadcast(bloom.gather(parts, bits))
     rest = docs.mapInArrow(partial(_untouched, known=known, repeated=repeated, width=width), _OUT)
     some = docs.mapInArrow(partial(_touched, known=known, repeated=repeated), docs.schema)
