@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import op3_substrings, op6_kdtree, op7_jaccard, op9_licenses, op10_secrets
+from weir.llm import op3_substrings, op6_kdtree, op7_jaccard, op9_licenses, op10_secrets, op11_warc, op12_filters, op13_centroids
 from weir.llm.op1_mixing import op1_source_mixing
 from weir.llm.op2_html import op2_html_text
 from weir.llm.op4_media import op4_media_columns
@@ -26,6 +26,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_license_scan": op9_licenses.op9_license_scan,
         "op10_secret_scan": op10_secrets.op10_secret_scan,
+        "op11_warc": op11_warc.op11_warc,
+        "op12_filter_audit": op12_filters.op12_filter_audit,
+        "op13_centroid_clusters": op13_centroids.op13_centroid_clusters,
     }
 
 
@@ -36,4 +39,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_ngram_jaccard": op7_jaccard.SQL,
         "op9_license_scan": op9_licenses.SQL,
         "op10_secret_scan": op10_secrets.SQL,
+        "op11_warc": op11_warc.SQL,
+        "op12_filter_audit": op12_filters.SQL,
+        "op13_centroid_clusters": op13_centroids.SQL,
     }
