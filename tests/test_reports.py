@@ -230,7 +230,46 @@ def test_classes_that_depend_on_one_rule(spark):
     dead = lambda ts, tid: (T.SIGNAL, 1, ts, 1, tid, None, {"signal": 9})
     assert cls("endstate", wait(0, 1), act(5 * MS, 1)) == "LOST-COMPLETION" and cls("endstate", wait(0, 1), act(5 * MS, 1), wait(0, 2)) == "STALLED"
     assert cls("endstate", wait(0, 1), dead(5 * MS, 1)) == "NO-PARKED" and cls("endstate", wait(0, 1), dead(5 * MS, 1), act(3000 * MS, 2)) == "STALLED"
+    pick = lambda op, ts, pid, cpu: s(op, ts * MS, pid, cpu)
+    assert cls("work-conservation", *[pick(R.SWITCH_IN, t, 1, 0) for t in (0, 100, 200)]) == "CONSERVING"  # not a PICK
+    assert cls("work-conservation", *[pick(R.PICK, t, 1, 0) for t in (0, 100, 200)]) == "LOCAL-REWAKE-GAP"
+    assert cls("work-conservation", pick(R.PICK, 0, 1, 0), pick(R.PICK, 1, 2, 1), pick(R.PICK, 100, 2, 0), pick(R.PICK, 101, 3, 1)) == "MIXED-CLOSE"
+    assert cls("work-conservation", pick(R.PICK, 0, 1, 0), pick(R.PICK, 1, 2, 1), pick(R.PICK, 100, 2, 0)) == "PULL-CLOSED"
     hit = lambda reenq, preempt, ms=100: (T.STORM, None, 0, None, None, None, {"interval_ms": ms, "kicks": 50, "preempt_kicks": preempt, "reenq": reenq})
     assert cls("storm", hit(9000, 4500), hit(100, 0)) == "IDLE-REENQUEUE-CHURN" and cls("storm", hit(9000, 4000), hit(100, 600)) == "REAL-IPI-STORM"
     g = R.REPORTS["storm"](made(spark, hit(9000, 4500), hit(100, 0, 300))).first()["gauges"]
     assert g["storm_captured"] == 1 and g["storm_kick_per_s"] == 250 and g["storm_reenq_per_s_peak"] == 90000
+
+
+def spin_log(spark, *runs, extra=()):
+    """Runs (tid, object, waits, microseconds between them, results dealt in turn), each a second after the one before."""
+    rows, t = [], 0
+    for tid, fd, n, step, results in runs:
+        t += 1000 * MS
+        for i in range(n):
+            rows.append((T.NTSYNC, R.WAIT_ANY, t + i * step * 1000, 1, tid, None, {"fd": fd, "result": results[i % len(results)]}))
+    return made(spark, *rows, *extra)
+
+
+def test_spins_count_runs_by_class(spark):
+    cls = lambda *runs: R.REPORTS["spins"](spin_log(spark, *runs)).first()
+    late = (5, 7, 1000, 50, [-110])
+    assert cls((5, 7, 3000, 50, [0]), late, late, late)["class"] == "STARVED-WAITER"  # three runs against one that is longer
+    assert cls((5, 7, 1000, 50, [0, 0, 0, 0, -110, -110, -110, -4, -4, -4]))["class"] == "LIVELOCK"  # 40, 30 and 30 percent
+    assert cls(late, (5, 7, 1000, 50, [-4]))["class"] == "ERROR-SPIN" and cls(late, (5, 7, 1000, 50, [0]))["class"] == "LIVELOCK"
+    assert cls((5, 7, 1000, 50, [0, -110]))["class"] == "LIVELOCK" and cls((5, 7, 1000, 50, [-110, -4]))["class"] == "STARVED-WAITER"
+    got = cls((5, 7, 2000, 0, [0]))  # waits of one time stamp are no run
+    assert got["class"] == "NONE" and got["gauges"]["spin_runs_total"] == 0
+    assert cls((5, 7, 999, 50, [0]))["class"] == "NONE" and cls((5, 7, 1500, 1000, [0]))["class"] == "NONE"
+
+
+def test_spin_offenders_are_without_a_partner(spark):
+    signal = lambda fd, n, op=R.EVENT_SET: [(T.NTSYNC, op, 5 * MS, 1, 99, None, {"fd": fd})] * n
+    off = lambda *runs, extra=(): {(r.id, r.obj): r.sev for r in R.offenders(spin_log(spark, *runs, extra=extra)).where("kind = 'spin'").collect()}
+    fast, slow = (5, 7, 1000, 50, [0]), (6, 8, 1000, 200, [0])
+    assert off(fast, slow) == {("tid=5", "obj=7"): 2, ("tid=6", "obj=8"): 1}  # 20,000 a second, and 5,000
+    assert off(fast, slow, extra=signal(7, 10)) == {("tid=6", "obj=8"): 1} and off(fast, extra=signal(7, 9)) == {("tid=5", "obj=7"): 2}
+    assert off(fast, extra=signal(7, 10, R.EVENT_PULSE)) == {("tid=5", "obj=7"): 2}
+    assert off((5, 7, 1000, 200, [-110]), extra=signal(7, 1000)) == {("tid=5", "obj=7"): 2}  # waits that fail are blamed with a partner too
+    strands = made(spark, *[(T.SCHED, R.PICK, t * 100 * MS, 1, None, 0, {}) for t in range(12)])
+    assert [(r.value, r.sev) for r in R.offenders(strands).where("kind = 'idle-strand'").collect()] == [(11.0, 2)]

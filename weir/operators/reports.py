@@ -17,9 +17,10 @@ from weir.sources.trace import ABORT, DROPS, HEAP, HEAPSTACK, IO, KEYED, KSTRAND
 
 #: Operation codes and thresholds.
 ENQUEUE, PICK, PREEMPT_TICK, WAKEUP, WAKE2RUN, CPU_IDLE, SWITCH_IN, FIELD_GATE, KICK, RESCHED, TICK_STOP = 1, 2, 4, 6, 7, 8, 9, 10, 11, 12, 13
-CREATE_SEM, SEM_RELEASE, CREATE_MUTEX, MUTEX_UNLOCK, EVENT_SET, EVENT_RESET, WAIT_ANY, WAIT_ALL = 0, 1, 3, 4, 7, 8, 12, 13
+CREATE_SEM, SEM_RELEASE, WAIT_ANY, WAIT_ALL, CREATE_MUTEX, MUTEX_UNLOCK, CREATE_EVENT, EVENT_SET, EVENT_RESET, EVENT_PULSE = 0, 1, 2, 3, 4, 5, 7, 8, 9, 10
 FUTEX, ENTRY, BLOCKING = 202, -999, (7, 271, 232, 281, 47, 45, 23, 270, 16)
 FLOOR, FAST, SLICE_MOST, STRAND, SPIN_GAP, SPIN_ITERS = 900_000, 100_000, 10_000_000, 50_000_000, 1_000_000, 1000
+TIMED_OUT, WAITS_A_SIGNAL = -110, 100
 MALLOC, FREE, REALLOC, CALLOC = 0, 1, 2, 3
 FUTEX_WAITS, FUTEX_WAKES = (0, 6, 9, 11), (1, 7, 10)
 #: Time that a parked thread may act after its wait, time that an ended thread must have been parked, and reenqueues a second of a storm.
@@ -81,14 +82,21 @@ def q_at(values: DataFrame, column: str, qs: dict[str, float]) -> DataFrame:
 def waits_of(e: DataFrame) -> DataFrame:
     """Waits (tid, obj, result, ts, seq) of either kind: those on objects when they end, those on futexes as traced."""
     nt = e.where((F.col("type") == NTSYNC) & F.col("op").isin(WAIT_ANY, WAIT_ALL) & (F.col("result") != ENTRY)).select("tid", "fd", F.coalesce("fd", F.lit(-1)).cast("long").alias("obj"), "result", "ts", "seq")
-    fx = e.where((F.col("type") == IO) & (F.col("nr") == FUTEX) & (F.col("fd").bitwiseAND(127).isin(0, 9))).select("tid", "fd", F.col("count").alias("obj"), "result", "ts", "seq")
+    fx = e.where((F.col("type") == IO) & (F.col("nr") == FUTEX) & (F.col("fd").bitwiseAND(127).isin(*FUTEX_WAITS))).select("tid", "fd", F.col("count").alias("obj"), "result", "ts", "seq")
+    return nt.union(fx)
+
+
+def signals_of(e: DataFrame) -> DataFrame:
+    """Signals (obj, ts, seq) of either kind: operations that change an object, and wakes of futexes."""
+    nt = e.where((F.col("type") == NTSYNC) & F.col("op").isin(EVENT_SET, EVENT_RESET, SEM_RELEASE, MUTEX_UNLOCK)).select(F.coalesce("fd", F.lit(-1)).cast("long").alias("obj"), "ts", "seq")
+    fx = e.where((F.col("type") == IO) & (F.col("nr") == FUTEX) & F.col("fd").bitwiseAND(127).isin(*FUTEX_WAKES)).select(F.col("count").alias("obj"), "ts", "seq")
     return nt.union(fx)
 
 
 #: Names of operations by record type.
 SUBTYPES = {
     SCHED: {1: "ENQUEUE", 2: "PICK", 3: "PICK_EMPTY", 4: "PREEMPT_TICK", 5: "PREEMPT_WAKEUP", 6: "WAKEUP", 7: "WAKE2RUN", 8: "CPU_IDLE", 9: "SWITCH_IN", 10: "FIELD_GATE", 11: "KICK_ISSUE", 12: "RESCHED", 13: "TICK_STOP"},
-    NTSYNC: {0: "create_sem", 1: "sem_release", 3: "create_mutex", 4: "mutex_unlock", 7: "event_set", 8: "event_reset", 12: "wait_any", 13: "wait_all"},
+    NTSYNC: {0: "create_sem", 1: "sem_release", 2: "wait_any", 3: "wait_all", 4: "create_mutex", 5: "mutex_unlock", 6: "mutex_kill", 7: "create_event", 8: "event_set", 9: "event_reset", 10: "event_pulse", 11: "sem_read", 12: "mutex_read", 13: "event_read"},
     HEAP: {0: "malloc", 1: "free", 2: "realloc", 3: "calloc"},
     SIGNAL: {0: "deliver", 1: "exit_abnormal"},
     IO: {0: "read", 1: "write", 7: "poll", 271: "ppoll"},
@@ -131,20 +139,39 @@ def waits(e):
 
 
 def spin_runs(e: DataFrame) -> DataFrame:
-    """(tid, obj, n, rate, verdict) of runs of SPIN_ITERS completed waits or more on one object, each less than SPIN_GAP after the last."""
+    """(tid, obj, n, rate, verdict) of runs of SPIN_ITERS completed waits or more on one object, each later than the last by less than SPIN_GAP.
+
+    rate is waits a second, 0 for a run without extent. A run is told by the result that most of its waits had: success, then timeouts, wins a tie.
+    """
     w = Window.partitionBy("tid", "obj").orderBy("seq")
-    runs = waits_of(e).withColumn("new", F.coalesce((F.col("ts") - F.lag("ts").over(w) >= SPIN_GAP).cast("int"), F.lit(0))).withColumn("run", F.sum("new").over(w))
-    each = runs.groupBy("tid", "obj", "run").agg(F.count("*").alias("n"), (F.max("ts") - F.min("ts")).alias("span"), F.count_if(F.col("result") >= 0).alias("won"), F.count_if(F.col("result") == -110).alias("late")).where(F.col("n") >= SPIN_ITERS)
-    kind = F.when((F.col("won") >= F.col("late")) & (F.col("won") * 2 >= F.col("n")), "LIVELOCK").when(F.col("late") * 2 >= F.col("n"), "STARVED-WAITER").otherwise("ERROR-SPIN")
-    return each.select("tid", "obj", "n", (F.col("n") * 1e9 / F.greatest("span", F.lit(1))).alias("rate"), kind.alias("verdict"))
+    gap = F.col("ts") - F.lag("ts").over(w)
+    runs = waits_of(e).withColumn("new", F.coalesce(((gap <= 0) | (gap >= SPIN_GAP)).cast("int"), F.lit(0))).withColumn("run", F.sum("new").over(w))
+    each = runs.groupBy("tid", "obj", "run").agg(F.count("*").alias("n"), (F.max("ts") - F.min("ts")).alias("span"), F.count_if(F.col("result") >= 0).alias("won"), F.count_if(F.col("result") == TIMED_OUT).alias("late")).where(F.col("n") >= SPIN_ITERS)
+    other = F.col("n") - F.col("won") - F.col("late")
+    kind = F.when((F.col("won") >= F.col("late")) & (F.col("won") >= other), "LIVELOCK").when(F.col("late") >= other, "STARVED-WAITER").otherwise("ERROR-SPIN")
+    return each.select("tid", "obj", "n", F.when(F.col("span") > 0, F.col("n") * 1e9 / F.col("span")).otherwise(0.0).alias("rate"), kind.alias("verdict"))
 
 
 @report("spins")
 def spins(e):
-    a = spin_runs(e).agg(F.count("*").alias("spin_runs_total"), F.max("rate").alias("spin_peak_rate_per_s"), F.max_by("verdict", F.struct("n", "tid", "obj")).alias("c"))
+    """The class is that of most runs; of classes with as many runs errors come first, then successes."""
+    by = spin_runs(e).groupBy("verdict").agg(F.count("*").alias("runs"), F.max("rate").alias("peak"))
+    most = F.struct("runs", F.when(F.col("verdict") == "ERROR-SPIN", 2).when(F.col("verdict") == "LIVELOCK", 1).otherwise(0))
+    a = by.agg(F.coalesce(F.sum("runs"), F.lit(0)).alias("spin_runs_total"), F.max("peak").alias("spin_peak_rate_per_s"), F.max_by("verdict", most).alias("c"))
     return a.select("spin_runs_total", "spin_peak_rate_per_s", F.coalesce("c", F.lit("NONE")).alias("class"))
 
 
+def spin_offenders(e: DataFrame) -> DataFrame:
+    """(tid, obj, rate, sev): of each thread and object the fastest run, but where the object is signalled (once in 100 waits at least) and most waits succeed: that is a partner at work."""
+    peak = spin_runs(e).groupBy("tid", "obj").agg(F.max_by(F.struct("rate", "verdict"), F.struct("rate", "n", "verdict")).alias("p")).select("tid", "obj", "p.*")
+    waits_ = waits_of(e).groupBy("obj").agg(F.count("*").alias("waits"))
+    sigs = signals_of(e).groupBy("obj").agg(F.count("*").alias("signals"))
+    known = peak.join(waits_, "obj").join(sigs, "obj", "left").na.fill(0, ["signals"])
+    failing = F.col("verdict") != "LIVELOCK"
+    partner = (F.col("signals") > 0) & (F.col("waits") <= F.col("signals") * WAITS_A_SIGNAL)
+    return known.where(failing | ~partner).select("tid", "obj", "rate", F.when(failing | (F.col("rate") >= 10_000), 2).otherwise(1).alias("sev"))
+
+
 def paired(e: DataFrame) -> DataFrame:
     """(fd, waits, signals): completed waits for each object, by its descriptor, and its signals."""
     nt = e.where(F.col("type") == NTSYNC)
@@ -271,12 +298,22 @@ def sched_report(e):
     )
 
 
+def idle_strands(e: DataFrame) -> DataFrame:
+    """(cpu, gap, pulled) of gaps of STRAND or more between picks on a CPU; pulled if the task that ends it was last picked on another."""
+    p = sched(e, PICK).select("cpu", "pid", "ts", "seq")
+    p = p.withColumn("gap", F.col("ts") - F.lag("ts").over(Window.partitionBy("cpu").orderBy("seq"))).withColumn("from_cpu", F.lag("cpu").over(Window.partitionBy("pid").orderBy("seq")))
+    return p.where(F.col("gap") >= STRAND).select("cpu", "gap", F.coalesce(F.col("from_cpu") != F.col("cpu"), F.lit(False)).alias("pulled"))
+
+
 @report("work-conservation")
 def work_conservation(e):
-    p = picks(e).select("cpu", "pid", "ts", "seq", (F.col("ts") - F.lag("ts").over(Window.partitionBy("cpu").orderBy("seq"))).alias("gap"), F.lag("cpu").over(Window.partitionBy("pid").orderBy("seq")).alias("from_cpu"))
-    a = p.where(F.col("gap") >= STRAND).agg(F.count("*").alias("strand_count"), F.max("gap").alias("g"), F.count_if(F.col("from_cpu") != F.col("cpu")).alias("pulled"))
+    """Of PICK records alone: a trace without them has no strands."""
+    strands = idle_strands(e)
+    a = strands.agg(F.count("*").alias("strand_count"), F.count_if("pulled").alias("pulled")).join(q_at(strands, "gap", {"p50": 0.5, "p99": 0.99}))
     pull = 100.0 * F.col("pulled") / F.nullif(F.col("strand_count"), F.lit(0))
-    return a.select("strand_count", (F.col("g") / 1e6).alias("idle_strand_ms"), pull.alias("strand_pull_pct"), _cls((F.col("strand_count") == 0, "CONSERVING"), (pull <= 34, "LOCAL-REWAKE-GAP"), (pull >= 66, "PULL-CLOSED"), other="MIXED-CLOSE"))
+    local = 100.0 * (F.col("strand_count") - F.col("pulled")) / F.nullif(F.col("strand_count"), F.lit(0))
+    ms = [(F.col(q) / 1e6).alias(f"idle_strand_ms_{q}") for q in ("p50", "p99", "worst")]
+    return a.select("strand_count", *ms, pull.alias("strand_pull_pct"), _cls((F.col("strand_count") == 0, "CONSERVING"), (local >= 66, "LOCAL-REWAKE-GAP"), (pull >= 66, "PULL-CLOSED"), other="MIXED-CLOSE"))
 
 
 def floored_wakes(e: DataFrame) -> DataFrame:
@@ -447,7 +484,8 @@ def seat(e):
 
 def offenders(e: DataFrame) -> DataFrame:
     """(kind, id, obj, metric, value, sev) of what the reports blame; weir.operators.decode.rank_offenders puts them in order."""
-    spins_ = spin_runs(e).select(F.lit("spin").alias("kind"), F.concat(F.lit("tid="), F.col("tid").cast("string")).alias("id"), F.concat(F.lit("obj="), F.col("obj").cast("string")).alias("obj"), F.lit("waits_per_s").alias("metric"), F.col("rate").alias("value"), F.lit(2).alias("sev"))
+    spins_ = spin_offenders(e).select(F.lit("spin").alias("kind"), F.concat(F.lit("tid="), F.col("tid").cast("string")).alias("id"), F.concat(F.lit("obj="), F.col("obj").cast("string")).alias("obj"), F.lit("waits_per_s").alias("metric"), F.col("rate").alias("value"), "sev")
+    strands = idle_strands(e).agg(F.count("*").alias("n"), F.count_if("pulled").alias("pulled")).where("n > 0").withColumn("who", F.lit("-"))
     named = lambda df, kind, prefix, key, metric, value, sev: df.select(F.lit(kind).alias("kind"), F.concat(F.lit(prefix), F.col(key).cast("string")).alias("id"), F.lit("").alias("obj"), F.lit(metric).alias("metric"), F.col(value).cast("double").alias("value"), sev.cast("int").alias("sev"))
     churn = seats(e).where("ratio > 1.5").orderBy(F.desc("ratio"), "pid").limit(8)
     stuck = paired(e).where("waits >= 1000 and waits > 100 * signals")
@@ -457,6 +495,7 @@ def offenders(e: DataFrame) -> DataFrame:
     out = spins_.union(named(churn, "self-preempt", "tid=", "pid", "stint_wake_ratio", "ratio", F.when(F.col("ratio") > 4, 2).when(F.col("ratio") > 2, 1).otherwise(0)))
     out = out.union(named(stuck, "unsignaled", "fd=", "fd", "waits", "waits", F.lit(2))).union(named(freed, "double-free", "addr=", "a", "bytes", "bytes", F.lit(2)))
     out = out.union(named(late, "kthread-strand", "tid=", "tid", "held_ms", "ms", F.when(F.col("ms") >= 100, 2).otherwise(1)))
+    out = out.union(named(strands, "idle-strand", "", "who", "strand_count", "n", F.expr("case when n >= 10 and n > 2 * pulled then 2 when n >= 3 then 1 else 0 end")))
     return out.union(named(hot, "scx-storm", "", "who", "reenq_per_s", "peak", F.when(F.col("peak") > 5 * STORM_RATE, 2).otherwise(1)))
 
 
