@@ -26,18 +26,23 @@ def parse_line(line: str):
     return m[1], {k: re.sub(r"\\(.)", lambda e: {"n": "\n"}.get(e[1], e[1]), v) for k, v in _LABEL.findall(m[2] or "")}, value
 
 
+def samples_of(text: str) -> Iterator[tuple[int, str, dict[str, str], float, str | None]]:
+    """(line_no, name, labels, value, type) of each sample; comments, blank and garbled lines are passed over."""
+    types: dict[str, str] = {}
+    for n, line in enumerate(text.split("\n"), 1):
+        line = line.strip(" \t\r")
+        if line.startswith("# TYPE "):
+            _, _, name, kind = (line.split(None, 3) + [""])[:4]
+            types[name] = kind
+        elif line and line[0] != "#" and (s := parse_line(line)):
+            yield n, *s, types.get(s[0]) or types.get(re.sub(r"_(?:bucket|sum|count)$", "", s[0]))
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for file, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-            types: dict[str, str] = {}
-            for n, line in enumerate(content.decode("utf-8", "replace").split("\n"), 1):
-                if line.startswith("# TYPE "):
-                    _, _, name, kind = (line.split(None, 3) + [""])[:4]
-                    types[name] = kind
-                elif line and line[0] != "#" and (s := parse_line(line)):
-                    base = re.sub(r"_(?:bucket|sum|count)$", "", s[0])
-                    rows.append((file, n, s[0], list(s[1].items()), s[2], types.get(s[0]) or types.get(base)))
+            rows += [(file, n, name, list(labels.items()), value, kind) for n, name, labels, value, kind in samples_of(content.decode("utf-8", "replace"))]
         cols = list(zip(*rows)) if rows else [()] * 6
         kinds = [pa.string(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.float64(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["file", "line_no", "name", "labels", "value", "type"])
