@@ -1,12 +1,13 @@
-"""Numeric kernels over one array or matrix at a time, for grouped maps: disorder, randomness, anomaly, graph and signal."""
+"""Numeric kernels over one array or matrix at a time, for grouped maps: anomaly, graph and signal; those of disorder are in disorder.py."""
 
 from __future__ import annotations
 
-import bisect
 import math
 
 import numpy as np
 
+from weir.functions.disorder import classify, distinct_estimate, lis_length, permutation_entropy, randomness, sampled_inversions, visibility_degree  # noqa: F401
+
 M64 = (1 << 64) - 1
 
 
@@ -20,124 +21,6 @@ def splitmix64(state: int):
         yield z ^ (z >> 31)
 
 
-# -- disorder ---------------------------------------------------------------
-
-
-def sampled_inversions(v: np.ndarray, pairs: int = 128) -> float:
-    """Share of sampled pairs that are out of order; the sample depends on the length alone."""
-    n = len(v)
-    if n < 2:
-        return 0.0
-    s, bad, total = 0x5DEECE66D ^ n, 0, min(pairs, n * (n - 1) // 2)
-    for _ in range(total):
-        at = []
-        for _ in range(2):
-            s = (s * 6364136223846793005 + 1442695040888963407) & M64
-            at.append((s >> 33) % n)
-        i, j = sorted(at)
-        bad += i != j and v[i] > v[j]
-    return bad / total
-
-
-def lis_length(v) -> int:
-    """Longest non-decreasing subsequence, by patience sorting."""
-    piles: list[float] = []
-    for x in v:
-        k = bisect.bisect_right(piles, x)
-        piles[k : k + 1] = [x]
-    return len(piles)
-
-
-def distinct_estimate(v: np.ndarray, samples: int = 64) -> float:
-    n = len(v)
-    step = max(1, n // samples)
-    seen = v[: step * samples : step]
-    return len(np.unique(seen)) * n / max(len(seen), 1)
-
-
-def classify(v) -> dict:
-    """The disorder class of a sequence and the profile it rests on."""
-    v = np.asarray(v, float)
-    n = len(v)
-    if n < 2:
-        return {"cls": "SORTED", "runs": n, "inversion": 0.0, "lis": n, "distinct": float(n)}
-    down = np.flatnonzero(v[1:] < v[:-1])
-    runs = len(down) + 1
-    longest = int(np.diff(np.concatenate([[-1], down, [n - 1]])).max())
-    inv, lis, distinct = sampled_inversions(v), lis_length(v), distinct_estimate(v)
-    if runs == 1:
-        cls = "SORTED"
-    elif (v[1:] < v[:-1]).all():
-        cls = "REVERSED"
-    elif runs == 2 and v[-1] <= v[0] or runs < n / 8 and longest > n / 2 or inv < 0.05 and runs <= n / 16:
-        cls = "NEARLY_SORTED"
-    elif distinct <= n / 4:
-        cls = "FEW_UNIQUE"
-    elif longest >= n // 4 and longest >= 32:
-        cls = "PHASED"
-    elif lis > 0.75 * n:
-        cls = "NEARLY_SORTED"
-    else:
-        cls = "RANDOM"
-    return {"cls": cls, "runs": runs, "inversion": inv, "lis": lis, "distinct": distinct}
-
-
-def visibility_degree(v: np.ndarray) -> float:
-    """Mean degree of the horizontal visibility graph; 4 for a random sequence."""
-    edges, stack = 0, []
-    for x in v:
-        while stack and stack[-1] < x:
-            stack.pop()
-            edges += 1
-        if stack:
-            edges += 1
-            if stack[-1] == x:
-                stack.pop()
-        stack.append(x)
-    return 2 * edges / len(v)
-
-
-def permutation_entropy(v: np.ndarray) -> float:
-    """Normalised entropy of ordinal patterns of three."""
-    if len(v) < 3:
-        return 0.0
-    code = (v[:-2] <= v[1:-1]) * 4 + (v[1:-1] <= v[2:]) * 2 + (v[:-2] <= v[2:])
-    p = np.bincount(code.astype(int)) / len(code)
-    p = p[p > 0]
-    return float(-(p * np.log(p)).sum() / math.log(6))
-
-
-def spectral_flatness(v: np.ndarray) -> float:
-    power = np.abs(np.fft.rfft(v - v.mean()))[1:] ** 2 + 1e-12
-    return float(np.exp(np.log(power).mean()) / power.mean())
-
-
-def randomness(v, tau: float = 0.7) -> dict:
-    """Lenses from 0 (structure) to 1 (random), their verdict and confidence."""
-    v = np.asarray(v, float)
-    n = len(v)
-    if n < 8:
-        return {"verdict": "mixed", "k": 0, "confidence": 0.0}
-    lens = {
-        "inversion": 1 - abs(2 * sampled_inversions(v) - 1),
-        "distinct": min(1.0, distinct_estimate(v) / n),
-        "lis": min(1.0, 2 * math.sqrt(n) / max(lis_length(v), 1)),
-        "visibility": max(0.0, 1 - abs(visibility_degree(v) - 4) / 4),
-        "ordinal": permutation_entropy(v),
-        "flatness": min(1.0, spectral_flatness(v) / 0.5615),
-    }
-    k = sum(x >= tau for x in lens.values())
-    verdict = "max-entropy" if k == len(lens) else "consistent" if k >= len(lens) - 2 else "mixed" if k >= len(lens) // 2 else "structured"
-    return {**lens, "verdict": verdict, "k": k, "confidence": (1 - 2.0**-k) * min(lens.values())}
-
-
-def locate(v, cls: str, window: int = 512, stride: int | None = None) -> list[tuple[int, int]]:
-    """(start, end) of windows of that class."""
-    v = np.asarray(v, float)
-    stride = stride or window
-    return [(a, a + window) for a in range(0, len(v) - window + 1, stride) if classify(v[a : a + window])["cls"] == cls]
-
-
 # -- anomaly ----------------------------------------------------------------
 
 

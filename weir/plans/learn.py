@@ -7,9 +7,11 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from weir.functions import disorder as D
 from weir.functions import inference as I
 from weir.functions import kernels as K
 from weir.operators import stream as S
+from weir.operators import windows as W
 from weir.plans.registry import query
 from weir.plans.sequence import events
 from weir.session import table
@@ -31,24 +33,30 @@ def _by_type(spark, sf, fields, kernel):
 
 @query("classify")
 def classify(spark, sf):
-    return _by_type(spark, sf, "cls string, runs long, inversion double, lis long, distinct double", K.classify)
+    fields = "cls string, runs long, inversion double, lis long, lds long, distinct double, phase long, bound double, interleave long"
+    return _by_type(spark, sf, fields, lambda v: {k: x for k, x in D.classify(v).items() if k not in ("mono", "longest", "rotation")})
 
 
 @query("randomness")
 def randomness(spark, sf):
-    return _by_type(spark, sf, "verdict string, k long, confidence double", lambda v: {k: x for k, x in K.randomness(v).items() if k in ("verdict", "k", "confidence")})
+    return _by_type(spark, sf, ", ".join(f"{x} double" for x in D.LENSES) + ", n long, k long, verdict string, confidence double", D.randomness)
+
+
+@query("characterize")
+def characterize(spark, sf):
+    return _by_type(spark, sf, "cls string, rand_confidence double, n long, info_bound double", D.characterize)
 
 
 @query("locate")
 def locate(spark, sf):
-    # Windows are cut before the kernel, so a long sequence is shared out.
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("us", "event_id")) - 1
-    cut = events(spark, sf).withColumn("n", n).withColumn("w", F.expr("n div 16"))
+    """Windows of 16 of each user's values that are of a class, by steps of 8."""
+    return W.profile(events(spark, sf), "value", ["us", "event_id"], ["user_id"], window=16, stride=8).select("user_id", "start", "cls", "inversion", "distinct")
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{"user_id": int(g.user_id.iloc[0]), "start": int(g.n.min()), "cls": K.classify(g.sort_values("n").value.to_numpy(float))["cls"]}])
 
-    return by_group(cut, ["user_id", "w"], run, "user_id long, start long, cls string")
+@query("locate_values")
+def locate_values(spark, sf):
+    """The values, each once, that windows in random order cover, of the whole event stream as one sequence."""
+    return W.locate_values(events(spark, sf), "value", ["us", "event_id"], [], "RANDOM", window=64, stride=16).select("n", "value")
 
 
 _Z = """WITH m AS (SELECT l_returnflag AS f, median(l_quantity) AS mq, median(l_tax) AS mt FROM lineitem GROUP BY 1),
