@@ -1,10 +1,11 @@
 """HTML extraction: flat text blocks, classified by a decision tree over their own and their neighbours' features.
 
 A page is split into blocks at block-level tags by a scanner that reads it once. A block's features are its words, its
-link density and its share of stock phrases, words and link density of the blocks before and after it, and what it
-stands in (the element that names the main content, a furniture element, one whose class or id names furniture). A
-small tree, grown by Gini impurity on the hand-labelled blocks of LABELLED, decides. Pages are independent rows: no
-shuffle, memory for one batch of pages at a time.
+link density, its share of stock phrases and those of the heading above it, how many linked blocks stand in a row, words
+and link density of the blocks before and after it, and what it stands in (the element that names the main content, a
+furniture element or one whose class or id names furniture, an article much smaller than the page's largest). A small
+tree, grown by Gini impurity on the hand-labelled pages of LABELLED, decides. Pages are independent rows: no shuffle,
+memory for one batch of pages at a time.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,19 +28,22 @@ _BLOCK = frozenset("address article aside blockquote body caption center dd deta
 _HOLDS = _BLOCK - {"p", "hr", "li", "dt", "dd", "td", "th", "tr"} | {"button", "label"}
 _FURNITURE_TAGS = frozenset("nav footer aside form header head menu dialog button fieldset".split())
 #: Elements without text of the page: those of the first line swallow all up to their end tag (or the page's end), the others only if they have one.
-_RAW = frozenset("script style title textarea".split())
-_HIDDEN = frozenset("noscript template svg iframe object canvas select".split())
+_RAW = frozenset("script style".split())
+_HIDDEN = frozenset("title textarea noscript template svg iframe object canvas select".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TAG = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
 _PLAIN = re.compile(r"[^>\"']*")
 _NAMED = re.compile(r"""(?<![\w-])(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ID = re.compile(r"""(?<![\w-])id\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 #: A name is furniture if its last part is, parts that only say which or where left aside; one with a word of denial before it isn't.
 _FURNITURE = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disclaimer footer header masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promotion recommendations related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar tooltip widget widgets alert".split())
 _WHICH = frozenset("area bar block body bottom box button buttons card cell col column container content first form group holder icon icons inner item items last left level link links list main outer panel primary right row secondary section slot small stories title top unit wrap wrapper".split())
 _DENIAL = frozenset("no non not without has with hide hidden".split())
 _MAIN = re.compile(r"(?<![a-z])(?:article(?:-?body)?|entry-content|main(?:-?content)?|post-?(?:body|content))(?![a-z-])", re.I)
-#: Stock phrases that ask the reader for something; legal lines are not among them, as an article may end with its own.
-_STOCK = re.compile(r"(?<!\w)(?:sign up|subscribe|newsletter|cookies?|consent|advertisements?|sponsored|share (?:this|on)|tweet|related (?:articles?|posts?|stories|links)|you (?:may|might) also like|read (?:more|also|next)|leave a (?:comment|reply)|comments?|reply|log in|sign in|privacy policy|terms of (?:use|service)|follow us|skip to content|back to top|print this|most popular)(?!\w)", re.I)
+#: Stock phrases: those of the first pattern ask the reader for something or announce other pages, those of the second may as well be an article's own words.
+_STOCK = re.compile(r"(?<!\w)(?:sign up|subscribe|advertisements?|sponsored|share (?:this|on)|tweet|(?:related|recommended|popular|latest) (?:articles?|posts?|stories|links|news|reading)|you (?:may|might) also like|more (?:from|like|stories|articles|news|posts)|read (?:more|also|next)|leave a (?:comment|reply)|log in|sign in|follow us|skip to content|back to top|print this|most (?:popular|read)|our newsletter|accept (?:all )?cookies)(?!\w)", re.I)
+_WEAK = re.compile(r"(?<!\w)(?:newsletter|cookies?|consent|comments?|reply|replies|privacy policy|terms of (?:use|service)|copyright|all rights reserved)(?!\w)|©", re.I)
 
 
 def _is_furniture(name: str) -> bool:
@@ -90,8 +95,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         attrs, at = page[m.end() : end], end + 1
         if not close and (tag in _RAW or tag in _HIDDEN) and not attrs.endswith("/") and tag not in missing:
             stop = _closing(tag).search(page, at)
-            if stop:
-                at = stop.end()
+            if stop and stop.end() <= last:
+                at = page.find(">", stop.end()) + 1
                 continue
             missing.add(tag)
             if tag in _RAW:
@@ -101,28 +106,37 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 @functools.lru_cache(32)
 def _closing(tag: str) -> re.Pattern:
-    return re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I)
+    return re.compile(rf"</{tag}(?=[\s/>])", re.I)
 
 
-def blocks(page: str) -> list[tuple[str, int, int, int, int, int, int]]:
-    """(text, place, boxed, named, words, linked words, words of stock phrases) of each non-empty block.
+class Block(NamedTuple):
+    text: str
+    place: int  #: 2 in the main element, 1 if the page has none, 0 outside it
+    boxed: bool  #: in a furniture element or one whose name says so; in a main element only what is inside it counts
+    article: int  #: which article element it stands in, 0 for none
+    heading: bool
+    words: int
+    linked: int
+    stock: int
+    weak: int
 
-    place: 2 in the main element, 1 if the page has none, 0 outside it. boxed and named: whether it stands in a
-    furniture element, or in one whose name says so; in a main element only what is inside it counts.
-    """
-    out: list[list] = []
-    stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]  # tag, in main, boxed, named
+
+def blocks(page: str) -> list[Block]:
+    """The non-empty blocks of a page."""
+    out: list[Block] = []
+    stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]  # tag, in main, boxed, article
     open_: Counter[str] = Counter()
     parts: list[str] = []
     linked: list[str] = []
-    link = has_main = False
+    link = has_main = heading = False
+    articles = 0
 
     def end() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            _, inside, boxed, named = stack[-1]
-            stock = sum(len(x.split()) for x in _STOCK.findall(text))
-            out.append([text, inside, int(boxed), int(named), len(text.split()), len(html.unescape("".join(linked)).split()), stock])
+            _, inside, boxed, article = stack[-1]
+            stock, weak = (sum(len(x.split()) for x in p.findall(text)) for p in (_STOCK, _WEAK))
+            out.append(Block(text, int(inside), boxed, article, heading, len(text.split()), len(html.unescape("".join(linked)).split()), stock, weak))
         parts.clear(), linked.clear()
 
     for tag, body, close in tokens(page):
@@ -138,185 +152,148 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int, int]]:
         if tag in _BLOCK or tag in _HOLDS:
             end()
             link = False
-        if tag in _HOLDS:
+            heading = tag in _HEADINGS and not close
+        if tag in _HOLDS and tag not in _HEADINGS:
             if close:
                 if open_[tag]:
                     while (top := stack.pop()[0]) != tag:
                         open_[top] -= 1
                     open_[tag] -= 1
             elif not body.endswith("/"):
-                _, inside, boxed, named = stack[-1]
-                names = [x for found in _NAMED.findall(body) for y in found for x in y.split()] if tag not in ("html", "body") else []
-                box = tag in _FURNITURE_TAGS and not (inside and tag == "header")
-                name = any(map(_is_furniture, names))
-                if not (box or name or boxed or named) and (tag in ("article", "main") or any(map(_MAIN.search, names))):
-                    has_main = True
-                    stack.append((tag, True, False, False))
-                else:
-                    stack.append((tag, inside, boxed or box, named or name))
+                _, inside, boxed, article = stack[-1]
+                # Sections of an article are named after their headings.
+                found = [] if tag in ("html", "body") else _NAMED.findall(body if not (inside and tag == "section") else _ID.sub(" ", body))
+                names = [x for f in found for y in f for x in y.split()]
+                boxed = boxed or (tag in _FURNITURE_TAGS and not (inside and tag == "header")) or any(map(_is_furniture, names))
+                if not boxed and (tag in ("article", "main") or any(map(_MAIN.search, names))):
+                    has_main = inside = True
+                if tag == "article":
+                    articles += 1
+                    article = articles
+                stack.append((tag, inside, boxed, article))
                 open_[tag] += 1
     end()
-    return [(t, 2 if i else 0 if has_main else 1, *rest) for t, i, *rest in out]
+    return [b._replace(place=2 if b.place else 0 if has_main else 1) for b in out]
 
 
-#: Blocks of a dozen pages, labelled by hand, a line each: place (m in the main element, n on a page without one, o
-#: outside it), holder (b furniture element, f furniture by name, . neither), words, linked words, words of stock
-#: phrases, + for main text. A blank line ends a page; neighbours are the lines before and after.
+#: Pages labelled by hand, a page between blank lines: each block begins with + (main text) or -; {n} stands for n words, [n] for n linked ones.
 LABELLED = """
-o b 4 4 0 - site name and links
-o b 9 9 0 - menu
-m . 11 0 0 + headline
-m . 6 1 0 + author and date
-m . 64 2 0 + paragraph
-m . 3 0 0 + subheading
-m . 120 6 0 + paragraph
-m . 18 0 0 + quotation
-m . 44 44 0 + paragraph that is one link, in a text of links
-m . 38 1 0 + paragraph
-o b 14 3 2 - footer
-
-o . 3 3 2 - skip to content
-o f 12 2 4 - cookie notice
-m . 7 0 0 + headline
-m . 90 0 0 + paragraph
-m b 22 0 0 - form inside the article
-m . 71 3 1 + paragraph that mentions a newsletter
-m f 40 0 0 - advert inside the article
-m . 55 0 0 + paragraph
-m . 5 0 3 - sign up for our newsletter
-m . 2 0 2 - related articles
-m . 8 8 0 - related link
-m . 6 6 0 - related link
-m . 9 9 0 - related link
-o f 60 0 1 - reader comment
-o b 20 8 4 - footer
-
-m . 1 0 0 + one-word heading
-m . 2 0 0 + short line
-m . 1 0 0 + short line
-m . 4 4 0 + linked source between lines of text
-m . 1 0 0 + short line
-m . 3 0 0 + all rights reserved
-m . 12 0 0 + line
-o b 6 0 0 - footer
-
-o f 5 5 0 - breadcrumbs
-m . 9 0 0 + headline
-m . 3 3 0 - share links
-m . 2 2 0 - share links
-m . 33 0 0 + paragraph
-m . 14 14 0 + linked list entry that stands alone
-m . 41 2 0 + paragraph
-m . 4 4 2 - read more, linked
-m . 5 5 0 - more links
-m f 30 30 0 - related stories box
-o b 90 80 0 - site map
-
-o . 40 0 0 - advert beside the article
-m . 8 0 0 + headline
-m . 150 20 0 + paragraph
-m b 60 5 0 - aside
-m . 200 10 2 + paragraph
-m . 10 0 0 + caption
-m b 8 0 2 - comment form
-m f 120 0 0 - comment
-o . 35 4 6 - legal notice
-
-n . 2 2 0 - menu
-n . 1 1 0 - menu
-n . 3 3 0 - menu
-n . 8 0 0 + headline
-n . 45 0 0 + paragraph
-n . 80 4 0 + paragraph
-n . 4 0 0 + subheading
-n . 60 2 0 + paragraph
-n . 3 0 0 + short line
-n . 30 1 0 + paragraph
-n . 5 5 0 - links
-n . 6 6 0 - links
-n . 9 1 0 - copyright
-
-n b 5 5 0 - header
-n f 20 18 0 - menu
-n . 16 0 0 + opening line
-n . 33 3 0 + paragraph
-n . 22 14 0 - teaser with links
-n . 4 3 0 - link
-n . 60 45 0 - tag cloud
-n . 6 0 2 - all rights reserved, sign in
-n b 12 4 4 - footer
-
-n . 4 0 0 - tagline
-n . 2 2 0 - menu
-n . 6 6 0 - menu
-n . 5 0 0 - label between links
-n . 7 7 0 - link
-n . 3 0 0 - label between links
-n . 12 12 0 - teaser title
-n . 6 4 2 - read more
-
-n . 25 0 0 + paragraph
-n . 1 0 0 + initial between paragraphs
-n . 35 0 0 + paragraph
-n . 9 0 0 + line between paragraphs
-n . 28 0 0 + paragraph
-n f 50 0 0 - sidebar text
-n b 45 0 0 - aside text
-n . 100 0 3 + paragraph about cookies
-n . 10 0 4 - subscribe to our newsletter
-n . 8 8 0 - link
-
-m . 6 0 0 + headline
-m . 40 0 0 + paragraph
-m . 1 0 0 + last word of an article that ends the page
-
-m . 9 0 0 + the only line of an article
-
-n . 50 0 0 + paragraph
-n . 20 0 0 + paragraph
-n . 7 0 0 + last line of a page
-
-n . 3 0 0 + the only line of a page
-
-n . 33 2 0 + paragraph
-n . 12 0 0 + last line of a page
-
-m . 30 0 0 + paragraph
-m . 22 1 0 + last paragraph
-
-o . 8 0 0 - slogan
-o b 30 30 0 - menu
-m . 14 0 0 + headline
-m . 20 20 0 + linked paragraph
-m . 25 0 0 + paragraph
-m . 70 70 0 + paragraph that is one link
-m . 30 3 0 + paragraph
-m . 6 0 2 - leave a comment below
-m b 3 0 0 - button
-o . 120 10 0 - text of another column
-o f 3 3 0 - back to top
-"""
-_NONE = (0, 0.0)
+<header>-{2} [2]</header><nav><ul><li>-[1]<li>-[1]<li>-[2]</ul></nav><main><h1>+{6}</h1><p>+{4} [1]</p><p>+{64} [2]</p><h2>+{3}</h2><p>+{120} [6]</p><blockquote>+{18}</blockquote><p>+[14]</p><p>+{38} [1]</p></main><footer>-{11} [3]</footer>
+
+<a>-Skip to content</a><div class=cookie-banner>-{10} accept cookies</div><nav>-[1] [1] [2]</nav><main><p>+{90}</p><p>+{30}</p><p>+{55} [3]</p></main><footer><p>-{9}</p><p>-[8]</p></footer>
+
+<div class=menu>-[1] [1] [1]</div><article><p>+{80} [2]</p><aside>-[7]</aside><p>+{60}</p><div class=ad>-[5]</div><p>+{45}</p><div class=ad>-{12}</div><p>+{70}</p><footer>-{2} [1]</footer></article><div class=comments><p>-{40}</p><p>-{15}</p></div>
+
+<ol class=breadcrumb><li>-[1]<li>-[1]<li>-[3]</ol><article><h1>+{7}</h1><p>+{90}</p><form>-{12}</form><p>+{70} newsletter [3]</p><section class=related-stories>-[9]</section><p>+{55}</p><p>-Sign up for our newsletter!</p><h3>-Related articles</h3><ul><li>-[8]<li>-[6]<li>-[9]</ul></article><footer>-{12} [4]</footer>
+
+<article><h1>+{5}</h1><p>+{50}</p><h2>+Cookies</h2><p>+{40} cookies {20}</p><h2>+Comments</h2><p>+Comments {4}</p><p>+{35} comments {5}</p><h2>+Reply</h2><p>+{30}</p><h2>+{2}</h2><ol><li>+[6]<li>+[9]<li>+{3} [5]<li>+[7]<li>+[4] {2}</ol></article>
+
+<main><h1>+{4}</h1><p>+{40}</p><ul><li>+[3]<li>+[4]</ul><p>+{60}</p><p>+{20}</p><ul><li>+[2]<li>+[5]<li>+[3]</ul><p>+{30}</p><h2>-More from us</h2><ul><li>-[5]<li>-[7]<li>-[4]<li>-[6]</ul></main>
+
+<main><h1>+{4}</h1><p>+{33}</p><ul><li>+{9}<li>+{12}<li>+[5] {6}</ul><p>+{41}</p><p>-Read more: [4]</p><p>-Share this [2]</p></main><div>-{40}</div><p>-[6]</p>
+
+<article><h1>+{6}</h1><p>+{1}</p><p>+{2}</p><p>+{1}</p><p>+[4]</p><p>+{1}</p><p>+{12}</p><p>+{2}</p><p>+[1]</p><p>+{3}</p></article><footer>-{6}</footer>
+
+<nav>-[4]</nav><article><h1>+{8}</h1><p>+{150} [20]</p><p>+{200} [10] cookies</p><p>+{10}</p><p>+{3} copyright {9}</p><p>+{6}</p></article><article><h3>-[6]</h3><p>-{14}</p></article><article><h3>-[4]</h3><p>-{9} [2]</p></article><p>-{31} [4] privacy policy</p>
+
+<article><h2>+{5}</h2><p>+{80}</p><p>+{40}</p></article><article><h2>+{6}</h2><p>+{60}</p><p>+{50} [2]</p></article><article><h2>+[4]</h2><p>+{90}</p></article>
+
+<ul><li>-[2]<li>-[1]<li>-[3]</ul><h1>+{8}</h1><p>+{45}</p><p>+{80} [4]</p><h2>+{4}</h2><p>+{60} [2]</p><p>+{3}</p><p>+{30} [1]</p><ul><li>-[5]<li>-[6]</ul><p>-Copyright {8} [1]</p>
+
+<div><a>-[3]</a></div><div>-[1] [1] [1] [2]</div><h1>+{9}</h1><div>+{70} [1]</div><div>+{34}</div><h3>-Comments</h3><p>-{22}</p><p>-{9}</p><p>-{41}</p>
+
+<header>-[5]</header><div class=topnav>-{2} [18]</div><p>+{16}</p><p>+{33} [3]</p><p>+{52}</p><h3>-Leave a comment</h3><p>-{12}</p><p>-[8]</p><p>-{6} all rights reserved</p><footer>-{8} [4]</footer>
+
+<div>-{4}</div><ul><li>-[2]<li>-[6]<li>-[1]<li>-[2]</ul><p>-{12}</p><div>-[7]</div><p>-{3}</p><div>-[12]</div><p>-{2} [4] read more</p>
 
+<p>+{25}</p><p>+{1}</p><p>+{35}</p><p>+{9}</p><p>+{28}</p><div class=sidebar>-{50}</div><aside>-{45}</aside><p>+{100} cookies {9}</p><p>-Subscribe to our newsletter {3}</p><p>-[8]</p>
 
-def _row(found: list[tuple], i: int) -> tuple:
-    """The features of the ith of a page's blocks (text, place, boxed, named, words, linked, stock)."""
-    _, place, boxed, named, words, linked, stock = found[i]
-    before, after = (((x := found[j])[4], x[5] / x[4]) if 0 <= j < len(found) else _NONE for j in (i - 1, i + 1))
-    return (place, boxed, named, words, linked / words, stock / words, *before, *after)
+<main><p>+{6}</p><p>+{40}</p><p>+{1}</p></main>
+
+<article>+{9}</article>
+
+<p>+{50}</p><p>+{20}</p><p>+{7}</p>
+
+<p>+{3}</p>
+
+<p>+{33} [2]</p><p>+{12}</p>
+
+<main><p>+{30}</p><p>+{22} [1]</p></main>
+
+<ul><li>-[1]<li>-[1]</ul><p>+{40}</p><p>+{3}</p><p>+{30}</p><ul><li>-[2]</ul>
+
+<p>-[6]</p><p>+{50}</p><p>+{20} cookies {12} cookies, cookies {9}</p><p>+[5]</p><p>+{45} comments {2} cookies {20}</p><p>+{18} consent {4}</p><p>+{33}</p>
+
+<p>+{50}</p><aside>-[5]</aside><p>+{40}</p><div class=ad>-[8]</div><p>+{60}</p><nav>-[3]</nav><p>+{30}</p>
+
+<p>+{60}</p><p>+{2}</p><p>+{35}</p><p>-[3]</p>
+
+<h1>+{4}</h1><p>+{2}</p><p>+{24}</p><div>-[2] [3]</div><div>-[2]</div>
+
+<main><h1>+All rights reserved</h1><p>+{30}</p><p>+All rights reserved</p><p>+{40}</p><p>+{3} all rights reserved</p></main>
+
+<div>-[3]</div><div>-[2]</div><p>+{16}</p><p>+{70} [4]</p><p>+[12]</p><p>+{48}</p><p>+{26}</p><p>-We use cookies {5}</p>
+
+<p>-{8}</p><nav>-[30]</nav><main><h1>+{14}</h1><p>+[20]</p><p>+{25}</p><p>+[70]</p><p>+{27} [3]</p><button>-{3}</button></main><p>-{120} [10]</p><div class=totop>-Back to top</div>
+
+<nav>-[3]</nav><article><h1>+{5}</h1><div class=share-buttons>-[3]</div><p>+{60}</p><h2>-You might also like</h2><p>-[9]</p><p>-[7]</p><h2>+{3}</h2><p>+{44}</p><p>+[11]</p><p>+{52}</p></article>
+
+<div class=header>-{3}</div><div id=nav>-[2] [3]</div><h1>+{7}</h1><p>+{66}</p><ul><li>+{5}<li>+{8}<li>+{4} [1]</ul><p>+{40}</p><p>+[3]</p><p>+{38}</p><h4>-Most popular</h4><ul><li>-[4]<li>-[8]<li>-[5]</ul><div>-© {5}</div>
+"""
+_NONE = (0, 0.0)
+_LINKED = 0.5
+
+
+def features(found: list[Block]) -> list[tuple]:
+    """A row for each block: place, boxed, words, link density, shares of stock phrases and weak ones, heading, those shares of the heading above, linked blocks in a row, before's and after's words and link density, words of its article by those of the largest."""
+    density = [b.linked / b.words for b in found]
+    row, rows = 0, []
+    for d in density:
+        row = row + 1 if d > _LINKED else 0
+        rows.append(row)
+    for i in range(len(rows) - 2, -1, -1):
+        rows[i] = max(rows[i], rows[i + 1]) if rows[i] and rows[i + 1] else rows[i]
+    held: Counter[int] = Counter()
+    for b in found:
+        held[b.article] += b.words * (not b.boxed)
+    largest = max((n for a, n in held.items() if a), default=0)
+    out, above = [], (0.0, 0.0)
+    for i, b in enumerate(found):
+        before, after = ((found[j].words, density[j]) if 0 <= j < len(found) else _NONE for j in (i - 1, i + 1))
+        own = (b.stock / b.words, b.weak / b.words)
+        if b.heading:
+            above = (0.0, 0.0)
+        share = held[b.article] / largest if b.article and largest else 1.0
+        out.append((b.place, int(b.boxed), b.words, density[i], *own, int(b.heading), *above, rows[i], *before, *after, share))
+        if b.heading:
+            above = own
+    return out
+
+
+def _spelled(page: str, scale: float) -> str:
+    """A labelled page as markup, with scale times the words of its longer blocks."""
+    n = lambda m: int(m[1]) if int(m[1]) < 15 else max(15, round(scale * int(m[1])))
+    page = re.sub(r"\{(\d+)\}", lambda m: "w " * n(m), page)
+    return re.sub(r"\[(\d+)\]", lambda m: f"<a>{'w ' * n(m)}</a>", page)
 
 
 def labelled_rows(text: str = LABELLED) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the pages' blocks, each page with shorter and longer paragraphs too."""
     x, y = [], []
     for page in text.strip().split("\n\n"):
-        lines = [line.split()[:6] for line in page.split("\n")]
-        found = [("", "onm".index(p), int(h == "b"), int(h == "f"), int(w), int(k), int(c)) for p, h, w, k, c, _ in lines]
-        x += [_row(found, i) for i in range(len(found))]
-        y += [line[5] == "+" for line in lines]
+        for scale in (0.6, 1.0, 2.5):
+            marks: list[bool] = []
+            found = []
+            for b in blocks(_spelled(page, scale)):
+                marks.append(b.text[0] == "+")
+                text_, words = b.text[1:].strip(), len(b.text[1:].split())
+                found.append(b._replace(text=text_, words=words, linked=min(b.linked, words)))
+            x += features(found)
+            y += marks
     return np.array(x, float), np.array(y, float)
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> tuple | int:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 12) -> tuple | int:
     """(feature, threshold, tree at most, tree above) or a class."""
     share = y.mean()
     if depth == 0 or share in (0.0, 1.0):
@@ -350,7 +327,7 @@ def decide(node: tuple | int, row: tuple) -> int:
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    return "\n".join(x[0] for i, x in enumerate(found) if decide(tree(), _row(found, i)))
+    return "\n".join(b.text for b, row in zip(found, features(found)) if decide(tree(), row))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
