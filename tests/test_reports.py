@@ -273,3 +273,74 @@ def test_spin_offenders_are_without_a_partner(spark):
     assert off((5, 7, 1000, 200, [-110]), extra=signal(7, 1000)) == {("tid=5", "obj=7"): 2}  # waits that fail are blamed with a partner too
     strands = made(spark, *[(T.SCHED, R.PICK, t * 100 * MS, 1, None, 0, {}) for t in range(12)])
     assert [(r.value, r.sev) for r in R.offenders(strands).where("kind = 'idle-strand'").collect()] == [(11.0, 2)]
+
+
+def test_scaling_of_the_known_log(spark, tmp_path):
+    (tmp_path / "a.mtk").write_bytes(known_log())
+    r = R.REPORTS["fractal"](T.read_traces(spark, str(tmp_path / "a.mtk"))).first()
+    g = r["gauges"]
+    got = {k: round(g[f'fractal_{k}{{series="dispatch-rate"}}'], 4) for k in ("hurst_dfa", "hurst_dfa_se", "hurst_rs", "dimension", "decades")}
+    assert r["class"] == "UNCORRELATED" and got == {"hurst_dfa": 0.5897, "hurst_dfa_se": 0.0993, "hurst_rs": 0.2327, "dimension": 1.4103, "decades": 2.8675}
+    assert round(g['fractal_hurst_dfa{series="migration-rate"}'], 4) == 0.4961
+
+
+def test_bursts_and_scales_across_chunks(spark, monkeypatch):
+    import math
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(R.fractal, "CHUNK", 8)
+    r = np.random.default_rng(6)
+    bins = np.repeat(np.arange(400), r.poisson(np.where(np.arange(400) // 25 % 2, 3.0, 0.7)))
+    ts = [int(x) for x in bins * 10_000 + 5] + [0, 3_999_999]
+    v = np.bincount([t // 10_000 for t in ts], minlength=400)
+    line = R.fractal.timeline(spark.createDataFrame([(t,) for t in ts], "ts long"), all_=F.lit(True), none=F.lit(False))
+    assert {(x.bin, x.v, x.upto) for x in line.where("series = 'all-'").collect()} == set(zip(range(400), v.tolist(), np.cumsum(v).tolist())) and line.where("series = 'none' and upto = 0").count() == 400
+    want, run, cut = [], 0, np.median(v[v > 0])
+    for i, x in enumerate([*v, 0]):
+        if x > cut:
+            run += int(x)
+        elif run:
+            want.append((i - 1, run))
+            run = 0
+    assert sorted((x.burst, x["size"]) for x in R.fractal.bursts(line).collect()) == want and max(s for _, s in want) > 20
+    size = np.sort([s for _, s in want])
+    got = R.fractal.tail(R.fractal.bursts(line)).first()
+    assert got.avalanches == len(want) and abs(got.slope - np.polyfit(np.log(size), np.log((len(size) - np.arange(len(size))) / len(size)), 1)[0]) < 1e-9
+    y = np.cumsum(v - v.mean())
+    xs, fs = [], []
+    for s in sorted({int(math.floor(10 ** (math.log10(4) + (math.log10(100) - math.log10(4)) * j / 13))) for j in range(14)} - {3}):
+        seg = y[: 400 // s * s].reshape(-1, s)
+        fit = np.array([g - np.polyval(np.polyfit(np.arange(s), g, 1), np.arange(s)) for g in seg])
+        xs.append(math.log(s)), fs.append(math.log(math.sqrt((fit**2).mean(axis=1).mean())))
+    d = R.fractal.dfa(line).where("series = 'all-'").first()
+    assert abs(d.slope - np.polyfit(xs, fs, 1)[0]) < 1e-6
+    assert R.fractal.timeline(spark.createDataFrame([(5,), (5,)], "ts long"), a=F.lit(True)).count() == 0
+
+
+def test_aborts_name_the_topmost_live_chunk(spark):
+    heap = lambda op, tid, addr, size=0, new=0: (T.HEAP, op, 0, 1, tid, None, {"addr": addr, "size": size, "new_addr": new})
+    abort = lambda tid: (T.ABORT, None, 0, 1, tid, None, {})
+    far = 1 << 26
+    e = made(spark, abort(9), heap(R.MALLOC, 5, 0x1000, 16), heap(R.MALLOC, 6, 0x3000, 48), heap(R.MALLOC, 6, 0x2000, 32), abort(5), heap(R.FREE, 6, 0x3000), abort(5),
+        heap(R.MALLOC, 5, far + 64, 7), abort(5), heap(R.FREE, 5, far + 64), abort(5), heap(R.REALLOC, 6, 0x2000, 99, 0x5000), heap(R.MALLOC, 5, 0), heap(R.CALLOC, 5, 0x4000, 8), abort(5), heap(R.MALLOC, 7, 0x5000, 1), abort(5))
+    got = {r["at"]: (r.arena, r.live, r.victim, r.victim_bytes) for r in R.abort_victims(e).collect()}
+    # By row: no allocation; the highest of three; it was freed; another arena; nothing left of the last allocation's arena; a moved chunk; its address taken by another.
+    assert got == {0: (None, 0, None, None), 4: (0, 3, 0x3000, 48), 6: (0, 2, 0x2000, 32), 8: (1, 1, far + 64, 7), 10: (1, 0, None, None), 14: (0, 3, 0x5000, 99), 16: (0, 3, 0x5000, 1)}
+    top = R.abort_victims(e).where("at = 4").first().top
+    assert [(t["rank"], t.a, t["size"], t.by) for t in top] == [(1, 0x3000, 48, 6), (2, 0x2000, 32, 6), (3, 0x1000, 16, 5)]
+    off = [(r.id, r.obj, r.value) for r in R.offenders(e).where("kind = 'abort'").orderBy("obj", "value").collect()]
+    assert ("tid=9", "unattributed", 0.0) in off and ("tid=5", f"addr={0x5000}", 99.0) in off and len(off) == 7
+    assert R.abort_victims(e.limit(0)).count() == 0
+
+
+def test_rings_hold_the_last_records_of_a_thread(spark):
+    heap = lambda tid, i: (T.HEAP, R.MALLOC, i, 1, tid, None, {"addr": 16 * i, "size": i})
+    wait = lambda tid, result: (T.NTSYNC, R.WAIT_ANY, 0, 1, tid, None, {"fd": 3, "result": result, "wait_count": 2})
+    e = made(spark, *[heap(5, i) for i in range(1, 21)], heap(6, 99), wait(5, -999), wait(5, 0), (T.MMAP, None, 7, 1, 5, None, {"addr": 4096, "size": 8, "fd": 4}), (T.ABORT, None, 0, 1, 5, None, {}), heap(5, 50), (T.ABORT, None, 0, 1, 5, None, {}), (T.ABORT, None, 0, 1, 8, None, {}))
+    got = {}
+    for r in R.abort_rings(e).orderBy("at", "back").collect():
+        got.setdefault(r["at"], []).append((r.kind, r.a, r.b))
+    first = [("map", 4096, 8), ("wait", 0, 2)] + [("heap", 16 * i, i) for i in range(20, 12, -1)]
+    assert list(got.values()) == [first[:8], [("heap", 800, 50), *first[:7]]]

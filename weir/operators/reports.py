@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from weir.operators import fractal
 from weir.operators.temporal import asof
 from weir.sources.trace import ABORT, DROPS, HEAP, HEAPSTACK, IO, KEYED, KSTRAND, MMAP, NTSYNC, PROVIDER, SCHED, SIGNAL, STORM
 
@@ -187,13 +188,13 @@ def pairing(e):
     return a.select("*", _cls((F.col("pairing_waits") + F.col("pairing_signals") == 0, "NONE"), (F.col("unsignaled_flag") > 0, "STUCK-SIGNALED"), other="PAIRED"))
 
 
-def _heap_ops(e: DataFrame) -> DataFrame:
+def _heap_ops(e: DataFrame, *more: str) -> DataFrame:
     """A row for each effect on an address: born or freed; a reallocation has both."""
     h = e.where((F.col("type") == HEAP) & ~((F.col("op") == FREE) & (F.col("addr") == 0)))
     born = F.struct(F.lit(1).alias("k"), F.when(F.col("op") == REALLOC, F.col("new_addr")).otherwise(F.col("addr")).alias("a"), F.lit("alloc").alias("what"))
     gone = F.struct(F.lit(0).alias("k"), F.col("addr").alias("a"), F.when(F.col("op") == REALLOC, "clear").otherwise("free").alias("what"))
     x = F.when(F.col("op") == FREE, F.array(gone)).when(F.col("op") == REALLOC, F.array(gone, born)).otherwise(F.array(born))
-    return h.select("pid", "tid", "size", "seq", F.explode(x).alias("x")).select("pid", "tid", "size", "seq", "x.*")
+    return h.select("pid", "tid", "size", "seq", *more, F.explode(x).alias("x")).select("pid", "tid", "size", "seq", *more, "x.*")
 
 
 def double_frees(e: DataFrame) -> DataFrame:
@@ -209,14 +210,53 @@ def doublefree(e):
     return hits.join(frees).select("*", _cls((F.col("doublefree_total") == 0, "CLEAN"), (F.col("doublefree_cross_thread_total") > 0, "RACE"), other="LOGIC"))
 
 
+def heap_lives(e: DataFrame) -> DataFrame:
+    """(a, born, gone, size, tid, comm): each allocation from its record to the next one that touches its address, null where none does."""
+    w = Window.partitionBy("a").orderBy("seq", "k")
+    ops = _heap_ops(e, "comm").where("a <> 0")
+    return ops.withColumn("gone", F.lead("seq").over(w)).where("what = 'alloc'").select("a", F.col("seq").alias("born"), "gone", "size", "tid", "comm")
+
+
+#: Bits of an arena's size, chunks that are shown of it, and records of a thread before its abort.
+ARENA, TOPMOST, RING_SIZE = 26, 5, 8
+
+
+def abort_victims(e: DataFrame) -> DataFrame:
+    """(at, pid, tid, arena, live, victim, victim_bytes, top) of each abort: the arena of its thread's last allocation, how many chunks are live in it, the topmost, which an overrun of the arena's top suspects, and the TOPMOST.
+
+    A chunk is joined to an abort only if it is live at it, in the abort's arena. A thread without allocations has no arena.
+    """
+    aborts = e.where(F.col("type") == ABORT).select(F.col("seq").alias("at"), "pid", "tid")
+    lives = heap_lives(e).withColumn("arena", F.shiftright("a", ARENA))
+    last = asof(aborts, lives.select("tid", F.col("born").alias("at"), "arena"), ["tid"], "at", "arena").select("at", "pid", "tid", F.col("asof_arena").alias("arena"))
+    alive = last.join(lives.select("arena", "a", "born", "gone", "size", F.col("tid").alias("by"), "comm"), "arena").where("born < at and (gone is null or gone > at)")
+    count = alive.groupBy("at").agg(F.count("*").alias("live"), F.max("a").alias("victim"), F.max_by("size", "a").alias("victim_bytes"))
+    rank = F.row_number().over(Window.partitionBy("at").orderBy(F.desc("a")))
+    top = alive.withColumn("rank", rank).where(F.col("rank") <= TOPMOST).groupBy("at").agg(F.array_sort(F.collect_list(F.struct("rank", "a", "size", "by", "comm"))).alias("top"))
+    return last.join(count, "at", "left").join(top, "at", "left").na.fill(0, ["live"])
+
+
+def abort_rings(e: DataFrame) -> DataFrame:
+    """(at, tid, back, kind, op, ts, fd, a, b): the last RING_SIZE heap, map and completed wait records of a thread before each of its aborts, back from 1.
+
+    a and b: address and size, or a wait's result and objects.
+    """
+    aborts = e.where(F.col("type") == ABORT).select(F.col("seq").alias("at"), "tid")
+    done = (F.col("type") == NTSYNC) & F.col("op").isin(WAIT_ANY, WAIT_ALL) & (F.col("result") != ENTRY)
+    kind = F.when(F.col("type") == HEAP, "heap").when(F.col("type") == MMAP, "map").otherwise("wait")
+    wait = F.col("type") == NTSYNC
+    rows = e.where((F.col("type") == HEAP) | (F.col("type") == MMAP) | done).join(aborts.select("tid").distinct(), "tid", "left_semi")
+    rows = rows.select("tid", "seq", kind.alias("kind"), "op", "ts", "fd", F.when(wait, F.col("result")).otherwise(F.col("addr")).alias("a"), F.when(wait, F.col("wait_count")).otherwise(F.col("size")).alias("b"))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("tid").orderBy("seq")))
+    last = asof(aborts, rows.select("tid", F.col("seq").alias("at"), "n"), ["tid"], "at", "n").where("asof_n is not null")
+    wanted = last.select("at", "tid", F.explode(F.sequence(F.lit(1), F.lit(RING_SIZE))).alias("back"), "asof_n").withColumn("n", F.expr("asof_n - back + 1"))
+    return wanted.join(rows, ["tid", "n"]).select("at", "tid", "back", "kind", "op", "ts", "fd", "a", "b")
+
+
 @report("abortpm")
 def abortpm(e):
-    aborts = e.where(F.col("type") == ABORT).select(F.col("seq").alias("at"), "pid", F.col("tid").alias("atid"))
-    h = _heap_ops(e).join(aborts, "pid").where("seq < at")
-    last = h.groupBy("at", "atid", "a").agg(F.max_by(F.struct("what", "size", "tid", "seq"), F.struct("seq", "k")).alias("l")).where("l.what = 'alloc'")
-    own = last.where("l.tid = atid").groupBy("at").agg(F.max_by(F.col("a").bitwiseAND(~((64 << 20) - 1)), "l.seq").alias("arena"))
-    victim = last.join(own, "at").where(F.col("a").bitwiseAND(~((64 << 20) - 1)) == F.col("arena")).groupBy("at").agg(F.max_by("l.size", "a").alias("size"))
-    return aborts.agg(F.count("*").alias("aborts_total")).join(victim.agg(F.max("size").alias("victim_bytes"))).select("*", _cls((F.col("aborts_total") == 0, "NONE"), other="ABORT"))
+    victims = abort_victims(e).agg(F.count("*").alias("aborts_total"), F.max("victim_bytes").alias("victim_bytes"))
+    return victims.select("*", _cls((F.col("aborts_total") == 0, "NONE"), other="ABORT"))
 
 
 @report("signals")
@@ -489,16 +529,42 @@ def offenders(e: DataFrame) -> DataFrame:
     named = lambda df, kind, prefix, key, metric, value, sev: df.select(F.lit(kind).alias("kind"), F.concat(F.lit(prefix), F.col(key).cast("string")).alias("id"), F.lit("").alias("obj"), F.lit(metric).alias("metric"), F.col(value).cast("double").alias("value"), sev.cast("int").alias("sev"))
     churn = seats(e).where("ratio > 1.5").orderBy(F.desc("ratio"), "pid").limit(8)
     stuck = paired(e).where("waits >= 1000 and waits > 100 * signals")
+    hit = F.when(F.col("victim").isNull(), "unattributed").otherwise(F.concat(F.lit("addr="), F.col("victim").cast("string")))
+    aborted = abort_victims(e).select(F.lit("abort").alias("kind"), F.concat(F.lit("tid="), F.col("tid").cast("string")).alias("id"), hit.alias("obj"), F.lit("victim_bytes").alias("metric"), F.coalesce(F.col("victim_bytes").cast("double"), F.lit(0.0)).alias("value"), F.lit(2).alias("sev"))
     freed = double_frees(e).groupBy("a").agg(F.max("lost").alias("bytes"))
     late = e.where(F.col("type") == KSTRAND).groupBy("tid").agg((F.max("runtime") / 1e6).alias("ms"))
     hot = e.where((F.col("type") == STORM) & (F.col("interval_ms") > 0)).agg(F.max(F.floor(F.col("reenq") * 1000.0 / F.col("interval_ms"))).alias("peak")).where(F.col("peak") >= STORM_RATE).withColumn("who", F.lit("scheduler"))
-    out = spins_.union(named(churn, "self-preempt", "tid=", "pid", "stint_wake_ratio", "ratio", F.when(F.col("ratio") > 4, 2).when(F.col("ratio") > 2, 1).otherwise(0)))
+    out = spins_.union(aborted).union(named(churn, "self-preempt", "tid=", "pid", "stint_wake_ratio", "ratio", F.when(F.col("ratio") > 4, 2).when(F.col("ratio") > 2, 1).otherwise(0)))
     out = out.union(named(stuck, "unsignaled", "fd=", "fd", "waits", "waits", F.lit(2))).union(named(freed, "double-free", "addr=", "a", "bytes", "bytes", F.lit(2)))
     out = out.union(named(late, "kthread-strand", "tid=", "tid", "held_ms", "ms", F.when(F.col("ms") >= 100, 2).otherwise(1)))
     out = out.union(named(strands, "idle-strand", "", "who", "strand_count", "n", F.expr("case when n >= 10 and n > 2 * pulled then 2 when n >= 3 then 1 else 0 end")))
     return out.union(named(hot, "scx-storm", "", "who", "reenq_per_s", "peak", F.when(F.col("peak") > 5 * STORM_RATE, 2).otherwise(1)))
 
 
+def scaling(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of WAKE2RUN records as dispatch-rate and those of them from another domain as migration-rate: (series, h, se, rs, decades), and the tail of the latter's bursts."""
+    line = fractal.timeline(sched(e, WAKE2RUN), dispatch_rate=F.lit(True), migration_rate=F.col("sub") != 0)
+    long = line.where(F.col("bins") >= fractal.LEAST)
+    fits = fractal.dfa(long).select("series", F.col("slope").alias("h"), F.col("error").alias("se"), "decades")
+    return fits.join(fractal.rescaled_range(long).select("series", F.col("slope").alias("rs")), "series", "left"), fractal.tail(fractal.bursts(line.where("series = 'migration-rate'")))
+
+
+@report("fractal")
+def fractal_report(e):
+    """A series is persistent, or the opposite, where its exponent is two standard errors from a half."""
+    fits, avalanches = scaling(e)
+    gauge = lambda name, value: F.struct(F.concat(F.lit(f'fractal_{name}{{series="'), "series", F.lit('"}')).alias("k"), value.cast("double").alias("v"))
+    pairs = F.array(gauge("hurst_dfa", F.col("h")), gauge("hurst_dfa_se", F.col("se")), gauge("hurst_rs", F.col("rs")), gauge("dimension", 2 - F.col("h")), gauge("decades", F.col("decades")))
+    a = fits.agg(
+        F.count_if(F.col("h") - 2 * F.col("se") > 0.5).alias("up"), F.count_if(F.col("h") + 2 * F.col("se") < 0.5).alias("down"),
+        F.coalesce(F.map_from_entries(F.flatten(F.collect_list(pairs))), F.create_map().cast("map<string,double>")).alias("labelled"),
+    )
+    span = sched(e, WAKE2RUN).agg(F.count("*").alias("n"), (F.max("ts") - F.min("ts")).alias("span"))
+    tails = avalanches.agg(F.max("avalanches").alias("fractal_avalanches"), F.max("slope").alias("fractal_avalanche_slope"))
+    cls = _cls((F.col("n") == 0, "NO-SCHED"), (F.col("span") == 0, "ZERO-DURATION"), (F.col("up") > 0, "PERSISTENT"), (F.col("down") > 0, "ANTI-PERSISTENT"), other="UNCORRELATED")
+    return a.join(span).join(tails).select("fractal_avalanches", "fractal_avalanche_slope", "labelled", cls)
+
+
 def _kernel_report(name: str, fields: str, make) -> None:
     """A report on binned counts: the bins, whose number is fixed, are one group."""
     @report(name)
@@ -520,16 +586,6 @@ def _kernel_report(name: str, fields: str, make) -> None:
         return rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(one, f"class string, {fields}")
 
 
-def _fractal(counts, span):
-    from weir.functions import kernels as K
-
-    if not len(counts):
-        return {"class": "NO-SCHED", "fractal_hurst_dfa": 0.0, "fractal_hurst_dfa_se": 0.0, "fractal_hurst_rs": 0.0, "fractal_dimension": 0.0}
-    h, se = K.hurst_dfa(counts)
-    cls = "ZERO-DURATION" if not span else "PERSISTENT" if h - 2 * se > 0.5 and h > 0.6 else "ANTI-PERSISTENT" if h + 2 * se < 0.5 and h < 0.4 else "UNCORRELATED"
-    return {"class": cls, "fractal_hurst_dfa": h, "fractal_hurst_dfa_se": se, "fractal_hurst_rs": K.hurst_rs(counts), "fractal_dimension": 2 - h}
-
-
 def _profile(counts, span):
     from weir.functions import kernels as K
 
@@ -541,8 +597,6 @@ def _profile(counts, span):
     return {"class": "DISCORD-STRONG" if ratio >= 3 else "DISCORD" if ratio >= 1.5 else "UNIFORM", "matrix_profile_discord_score": top, "matrix_profile_mean": mean, "matrix_profile_discord_ms": float(best.argmax()) * span / 128 / 1e6}
 
 
-_WIDTH = "least(greatest((t1 - t0) div 120000, 10000), 10000000)"
-_kernel_report("fractal", "fractal_hurst_dfa double, fractal_hurst_dfa_se double, fractal_hurst_rs double, fractal_dimension double", {"bin": f"least((ts - t0) div {_WIDTH}, {1 << 22}L)", "kernel": _fractal})
 _kernel_report("matrix-profile", "matrix_profile_discord_score double, matrix_profile_mean double, matrix_profile_discord_ms double", {"bin": "least((ts - t0) div greatest((t1 - t0) div 128, 1), 127L)", "kernel": _profile})
 
 
