@@ -134,6 +134,10 @@ def power(a, b, target: float = 0.8, rounds: int = 2000, most: int = 20, seed: i
     return 0
 
 
+#: Levels up to which all their orders are tried.
+EXACT_LEVELS = 7
+
+
 def rank_scan(levels: list[list[float]]) -> tuple[float, float, int]:
     """Sum of squares and maximum of standardised rank statistics over the cuts of an ordered list of groups, and the best cut."""
     flat = np.concatenate([np.asarray(x, float) for x in levels])
@@ -149,14 +153,28 @@ def rank_scan(levels: list[list[float]]) -> tuple[float, float, int]:
     return float((t**2).sum()), float(np.abs(t).max()), int(np.abs(t).argmax()) + 1
 
 
+def _scans(levels: list[list[float]], orders: np.ndarray) -> list[tuple[float, float]]:
+    """rank_scan's sum and maximum for each order of the groups: ranks are those of all values, so only sums of groups are put in order."""
+    flat = np.concatenate([np.asarray(x, float) for x in levels])
+    _, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(count) - (count - 1) / 2)[inverse]
+    n, tie = len(flat), (count**3 - count).sum()
+    sizes = np.array([len(x) for x in levels])
+    sums = np.add.reduceat(rank, np.cumsum(sizes) - sizes)
+    ends, upto = np.cumsum(sizes[orders], axis=1)[:, :-1], np.cumsum(sums[orders], axis=1)[:, :-1]
+    var = ends * (n - ends) / 12 * ((n + 1) - tie / (n * (n - 1))) if n > 1 else np.zeros_like(upto)
+    t = np.where(var > 0, (upto - ends * (n + 1) / 2) / np.sqrt(np.where(var > 0, var, 1)), 0.0)
+    return list(zip((t**2).sum(axis=1).tolist(), np.abs(t).max(axis=1).tolist()))
+
+
 def trajectory(levels: list[list[float]], alpha: float = 0.05, effect: float = 0.147, rounds: int = 999, seed: int = 0, offset: int = 0) -> list[int]:
     """Places where an ordered list of groups changes: a scan tested against orders of the groups, then either side."""
     if len(levels) < 2:
         return []
     dense, sparse, cut = rank_scan(levels)
-    orders = list(itertools.permutations(range(len(levels)))) if len(levels) <= 6 else None
+    orders = list(itertools.permutations(range(len(levels)))) if len(levels) <= EXACT_LEVELS else None
     r = np.random.default_rng((seed + offset) & M64)
-    draws = [rank_scan([levels[i] for i in o])[:2] for o in (orders or (r.permutation(len(levels)) for _ in range(rounds)))]
+    draws = _scans(levels, np.array(orders if orders else [r.permutation(len(levels)) for _ in range(rounds)]))
     plus = 0 if orders else 1
     p = min((sum(d >= dense - 1e-12 for d, _ in draws) + plus) / (len(draws) + plus), (sum(s >= sparse - 1e-12 for _, s in draws) + plus) / (len(draws) + plus))
     left, right = (np.concatenate([np.asarray(x, float) for x in part]) for part in (levels[:cut], levels[cut:]))

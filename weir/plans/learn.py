@@ -15,6 +15,7 @@ from weir.operators import windows as W
 from weir.plans.registry import query
 from weir.plans.sequence import events
 from weir.session import table
+from weir.sources import prometheus as P
 
 
 def by_group(df, by, kernel, schema):
@@ -290,3 +291,16 @@ def trajectory(spark, sf):
         return {"changes": len(I.trajectory([x.tolist() for x in np.array_split(v, 6)], seed=3))}
 
     return _by_type(spark, sf, "changes long", changes)
+
+
+_FAMILIES = "replace(p_name, ' ', '_') || '_' || lower(p_type) || '_p99'"
+
+
+@query("family_prefixes", f"""WITH g AS (SELECT DISTINCT {_FAMILIES} AS metric FROM part), h AS (SELECT DISTINCT replace(p_name, ' ', '_') AS prefix FROM part WHERE p_size % 2 = 0 UNION SELECT DISTINCT split_part(p_name, ' ', 1) FROM part)
+SELECT metric, arg_max(prefix, length(prefix)) AS prefix FROM g JOIN h ON starts_with(metric, prefix || '_') AND length(metric) > length(prefix) + 1 GROUP BY metric""")
+def family_prefixes(spark, sf):
+    """Families named after parts, each with the longest other family that its name extends."""
+    part = table(spark, sf, "part")
+    named = F.translate("p_name", " ", "_")
+    gauges = part.select(F.concat(named, F.lit("_"), F.lower("p_type"), F.lit("_p99")).alias("metric"))
+    return P.longest_prefix(gauges, part.where("p_size % 2 = 0").select(named.alias("metric")).union(part.select(F.split("p_name", " ")[0])))

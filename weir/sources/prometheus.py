@@ -60,17 +60,44 @@ def series(samples: DataFrame) -> DataFrame:
     return samples.groupBy("file", "name", key).agg(F.first("labels").alias("labels"), F.max_by("value", "line_no").alias("last"), F.avg("value").alias("mean"), F.max("value").alias("max"), F.min("value").alias("min"), F.count("*").alias("samples"))
 
 
-def with_run(samples: DataFrame) -> DataFrame:
-    """samples with capture (from the file's name) and the version and commit of the file's *_info sample."""
-    info = samples.where("name like '%_info'").groupBy("file").agg(F.max_by("labels", "line_no").alias("i")).select("file", F.col("i")["version"].alias("version"), F.col("i")["git_commit"].alias("commit"))
-    return samples.where("name not like '%_info'").join(info, "file", "left").withColumn("capture", F.regexp_extract("file", r"(\d{8}-\d{6})", 1))
+def with_run(samples: DataFrame, groups: dict[str, str] | None = None) -> DataFrame:
+    """samples with capture (from the file's name), version and commit, and group.
+
+    version and commit are those of the last *_info sample of the file before a sample; one that comes before any has
+    none. groups names files by a part of their path: the longest that a path contains counts.
+    """
+    from pyspark.sql import Window
+
+    upto = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    info = F.last(F.when(F.col("name").like("%_info"), F.col("labels")), ignorenulls=True).over(upto)
+    out = samples.withColumn("_i", info).where("name not like '%_info'")
+    group = F.lit(None).cast("string")
+    for name, part in sorted((groups or {}).items(), key=lambda g: len(g[1])):
+        group = F.when(F.contains("file", F.lit(part)), name).otherwise(group)
+    return out.select(*samples.columns, F.col("_i")["version"].alias("version"), F.col("_i")["git_commit"].alias("commit"), F.regexp_extract("file", r"(\d{8}-\d{6})", 1).alias("capture"), group.alias("group"))
+
+
+def rename(samples: DataFrame, families: dict[str, str], labels: dict[str, str] | None = None) -> DataFrame:
+    """samples with families and names of labels under their aliases; a label whose alias is there already keeps its own name."""
+    table = lambda d: F.create_map(*(F.lit(x) for kv in d.items() for x in kv))
+    out = samples.withColumn("name", F.coalesce(table(families)[F.col("name")], F.col("name"))) if families else samples
+    if labels:
+        known = table(labels)
+        out = out.withColumn("labels", F.transform_keys("labels", lambda k, v: F.when(known[k].isNotNull() & ~F.array_contains(F.map_keys("labels"), known[k]), known[k]).otherwise(k)))
+    return out
+
+
+def choose(samples: DataFrame, include: str | None = None, exclude: str | None = None) -> DataFrame:
+    """samples of families that contain include, and not exclude."""
+    keep = F.lit(True) if include is None else F.contains("name", F.lit(include))
+    return samples.where(keep if exclude is None else keep & ~F.contains("name", F.lit(exclude)))
 
 
 def cells(samples: DataFrame, axis: str, drop: tuple[str, ...] = ()) -> DataFrame:
     """(metric, cell, axis, value) with a cell's labels less the axis, le, capture and those dropped."""
     gone = {axis, "le", "capture", *drop} | ({"commit"} if axis == "version" else {"version"} if axis == "commit" else set())
     kept = F.map_filter("labels", lambda k, v: ~k.isin(*gone))
-    at = F.col(axis) if axis in ("version", "commit", "capture") else F.col("labels")[axis]
+    at = F.col(axis) if axis in ("version", "commit", "capture", "group") else F.col("labels")[axis]
     return samples.where("not name like '%_bucket'").select(F.col("name").alias("metric"), F.to_json(F.array_sort(F.map_entries(kept))).alias("cell"), at.alias("axis"), "value").where("axis is not null")
 
 
@@ -86,6 +113,39 @@ def histogram_samples(samples: DataFrame) -> DataFrame:
     return b.where("n > 0").select("file", "name", mid.alias("midpoint"), "n")
 
 
+def histogram_cells(samples: DataFrame, axis: str, drop: tuple[str, ...] = ()) -> DataFrame:
+    """(metric, cell, axis, midpoint, n): a histogram family's samples rebuilt from its buckets, with the cell that cells() would give them."""
+    from pyspark.sql import Window
+
+    gone = {axis, "le", "capture", *drop} | ({"commit"} if axis == "version" else {"version"} if axis == "commit" else set())
+    at = F.col(axis) if axis in ("version", "commit", "capture", "group") else F.col("labels")[axis]
+    entries = lambda keep: F.to_json(F.array_sort(F.map_entries(F.map_filter("labels", keep))))
+    le = F.when(F.col("labels")["le"] == "+Inf", float("inf")).otherwise(F.col("labels")["le"].try_cast("double"))
+    rows = samples.where("name like '%_bucket'").select("file", F.regexp_replace("name", "_bucket$", "").alias("metric"), entries(lambda k, v: k != "le").alias("_own"), entries(lambda k, v: ~k.isin(*gone)).alias("cell"), at.alias("axis"), le.alias("le"), "value")
+    w = Window.partitionBy("file", "metric", "_own").orderBy("le")
+    rows = rows.where("axis is not null").withColumn("lo", F.coalesce(F.lag("le").over(w), F.lit(0.0))).withColumn("n", F.greatest(F.col("value") - F.coalesce(F.lag("value").over(w), F.lit(0.0)), F.lit(0.0)).cast("long"))
+    mid = F.when(F.col("le") == float("inf"), F.col("lo")).when(F.col("lo") > 0, F.sqrt(F.col("lo") * F.col("le"))).otherwise(F.col("le") / 2)
+    return rows.where("n > 0").select("metric", "cell", "axis", mid.alias("midpoint"), "n")
+
+
+def longest_prefix(names: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(metric, prefix) of each name of names (metric) that begins with one of prefixes (metric), an underscore and more: the longest.
+
+    A name is dealt to its own beginnings at underscores, so the join is by equality.
+    """
+    parts = F.split("metric", "_")
+    begin = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "_"))
+    dealt = names.select("metric").distinct().where(F.size(parts) > 1).select("metric", F.explode(begin).alias("prefix")).where("length(metric) > length(prefix) + 1 and prefix <> ''")
+    return dealt.join(prefixes.select(F.col("metric").alias("prefix")).distinct(), "prefix").groupBy("metric").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
+
+
+def backed_by_histograms(gauges: DataFrame, histograms: DataFrame) -> DataFrame:
+    """(metric, cell, axis, midpoint, n): of each gauge family's cells (metric, cell, axis) the samples of the histogram family that its name extends, of the same cell and place."""
+    of = longest_prefix(gauges, histograms)
+    cells_ = gauges.select("metric", "cell", "axis").distinct().join(of, "metric")
+    return cells_.join(histograms.withColumnRenamed("metric", "prefix"), ["prefix", "cell", "axis"]).select("metric", "cell", "axis", "midpoint", "n")
+
+
 def version_key(v: str) -> tuple:
     """Natural order of versions: numbers by value, a prerelease before its release, a leading v ignored."""
     parts = re.findall(r"\d+|[A-Za-z]+", v.lstrip("vV"))
