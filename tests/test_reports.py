@@ -344,3 +344,26 @@ def test_rings_hold_the_last_records_of_a_thread(spark):
         got.setdefault(r["at"], []).append((r.kind, r.a, r.b))
     first = [("map", 4096, 8), ("wait", 0, 2)] + [("heap", 16 * i, i) for i in range(20, 12, -1)]
     assert list(got.values()) == [first[:8], [("heap", 800, 50), *first[:7]]]
+
+
+def test_dispatch_stall_in_detail(spark):
+    s = lambda op, ts, pid=1, cpu=0, **f: (T.SCHED, op, ts * MS, pid, None, cpu, f)
+    score = lambda cls, age: (cls << 48) + age
+    gauges = lambda *rows: (lambda r: (r["class"], {k.removeprefix("dispatch_"): v for k, v in r["gauges"].items() if v is not None}))(R.REPORTS["dispatch-stall"](made(spark, *rows)).first())
+    # Task 9 waits from 10 to 20 on CPU 0 and is picked at 20.5 with class 4, age 50; five picks of three tasks pass it over.
+    passed = [s(R.PICK, 11, 2, score=score(8, 1), sub=0), s(R.PICK, 12, 3, score=score(4, 60), sub=1), s(R.PICK, 13, 3, score=score(4, 40), sub=0), s(R.PICK, 14, 4, score=score(2, 99), sub=0), s(R.PICK, 15, 9, score=0), s(R.PICK, 16, 2, cpu=1, score=0)]
+    wake = [s(R.WAKE2RUN, 20, 9, runtime=10 * MS), (T.SCHED, R.PICK, 20_500_000, 9, None, 0, {"score": score(4, 50), "sub": 1})]
+    cls, g = gauges(*passed, *wake)
+    assert cls == "ORDER-STARVED" and g["avg_passovers"] == 4 and g["passover_mirror_pct"] == 75 and g["served_mirror_pct"] == 0
+    assert (g["passover_higher_class_pct"], g["passover_same_class_pct"], g["passover_lower_class_pct"]) == (25, 50, 25)
+    assert g["passover_p99"] == 4 and g["ceiling_remains_pct"] == 50 and g["concentration_ratio"] == 0.75 and "dark_pct" not in g
+    assert gauges(*passed, wake[0])[1]["ceiling_remains_pct"] == 100  # never served: all count as legitimate
+    # A second wake that nothing passed over halves the tasks a wake, not the picks a wake that was passed over.
+    cls, g = gauges(*passed, *wake, s(R.WAKE2RUN, 40, 9, cpu=3, runtime=5 * MS))
+    assert cls == "PREEMPT-STARVED" and g["avg_passovers"] == 4 and g["concentration_ratio"] == 0.375 and g["preempt_pct"] == g["order_pct"] == 50
+    idle = [s(R.CPU_IDLE, 0, cpu=5, sub=1), s(R.CPU_IDLE, 5, cpu=5, sub=0), s(R.CPU_IDLE, 100, cpu=6, sub=1), s(R.CPU_IDLE, 130, cpu=7, sub=1)]
+    cls, g = gauges(*idle, s(R.WAKE2RUN, 10, 9, cpu=5, runtime=10 * MS), s(R.WAKE2RUN, 11, 9, cpu=5, runtime=8 * MS), s(R.WAKE2RUN, 160, 9, cpu=8, runtime=4 * MS))
+    assert cls == "PREEMPT-STARVED" and round(g["dark_pct"]) == 33 and round(g["held_pct"]) == 67 and g["worst_dark_ms"] == 10 and "passover_mirror_pct" not in g
+    assert g["censored_strands"] == 1 and g["worst_censored_ms"] == 60  # CPU 6; CPU 7 has been idle for 30
+    cls, g = gauges(s(R.CPU_IDLE, 100, cpu=6, sub=1), s(R.WAKEUP, 200))
+    assert cls == "NO-FLOORED" and g == {"stalled": 0, "censored_strands": 1, "worst_censored_ms": 100}

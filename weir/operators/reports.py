@@ -373,18 +373,70 @@ def placement_race(e):
     return a.join(idle.agg(F.count("*").alias("n_idle"))).select("floored_wakes", miss.alias("placement_miss_pct"), (100.0 - miss).alias("saturated_pct"), "avg_idle_at_miss", _cls((F.col("n_idle") == 0, "NO-IDLE-STREAM"), (F.col("floored_wakes") == 0, "NONE"), (miss >= 66, "PLACEMENT-MISS"), (miss <= 34, "SATURATED"), other="MIXED"))
 
 
+def pass_overs(e: DataFrame) -> DataFrame:
+    """(id, cpu, lo, hi, passed, others, mirror, higher, same, lower, newer, legit, served, lane) of each floored wake.
+
+    passed: picks of other tasks on its CPU while it waited; others: tasks among them; mirror: those from lane 0. served:
+    whether the CPU picked the task within a tick of its run, from lane. Against that pick's class a pass-over is
+    higher, same or lower, and newer if it has the class but a smaller score; what is higher or not newer, and all where
+    nothing served, is legit.
+    """
+    from weir.operators.temporal import point_in_interval
+
+    wakes = floored_wakes(e).withColumn("lo", F.greatest("lo", F.lit(0)))
+    p = picks(e).select("cpu", "pid", "ts", "seq", F.col("sub").alias("lane"), "score")
+    until = wakes.select("id", "cpu", F.col("wakee").alias("pid"), F.col("hi").alias("from"), (F.col("hi") + FLOOR + 1).alias("till"))
+    served = point_in_interval(p, until, ["cpu", "pid"], "ts", "from", "till", 1 << 27).groupBy("id").agg(F.min_by(F.struct("lane", "score"), F.struct("ts", "seq")).alias("s"))
+    served = served.select("id", F.col("s.lane").alias("served_lane"), F.col("s.score").alias("served_score"))
+    between = point_in_interval(p, wakes, ["cpu"], "ts", "lo", "hi", 1 << 27).where("pid <> wakee").join(served, "id", "left")
+    cls, own = (F.shiftrightunsigned(c, 48) for c in ("score", "served_score"))
+    newer = (cls == own) & (F.col("score").bitwiseAND((1 << 48) - 1) < F.col("served_score").bitwiseAND((1 << 48) - 1))
+    legit = F.col("served_score").isNull() | (cls > own) | ((cls == own) & ~newer)
+    counts = {"mirror": F.col("lane") == 0, "higher": cls > own, "same": cls == own, "lower": cls < own, "newer": newer, "legit": legit}
+    each = between.groupBy("id").agg(F.count("*").alias("passed"), F.count_distinct("pid").alias("others"), *(F.count_if(c).alias(n) for n, c in counts.items()))
+    out = wakes.join(each, "id", "left").na.fill(0, ["passed", "others", *counts]).join(served, "id", "left")
+    return out.select("id", "cpu", "lo", "hi", "passed", "others", *counts, F.col("served_score").isNotNull().alias("served"), F.col("served_lane").alias("lane"))
+
+
+def censored_strands(e: DataFrame) -> DataFrame:
+    """(cpu, dark) of CPUs that are idle when the trace ends, and have been for STRAND or more: what they left waiting never ran, so no wake tells of it."""
+    last = sched(e, CPU_IDLE).groupBy("cpu").agg(F.max_by(F.struct("sub", "ts"), "seq").alias("l")).where("l.sub = 1")
+    end = e.where(F.col("type") == SCHED).agg(F.max("ts").alias("end"))
+    return last.join(F.broadcast(end)).select("cpu", (F.col("end") - F.col("l.ts")).alias("dark")).where(F.col("dark") >= STRAND)
+
+
 @report("dispatch-stall")
 def dispatch_stall(e):
-    from weir.operators.temporal import point_in_interval
+    """A wake that nothing passed over waited for a CPU that was held, or dark: idle for half of the wait or more. Without PICK records lanes and classes are unknown."""
+    from weir.operators.temporal import overlap
 
-    wakes = floored_wakes(e)
-    between = point_in_interval(picks(e).select("cpu", "pid", "ts"), wakes, ["cpu"], "ts", "lo", "hi", 1 << 27).where("pid <> wakee").groupBy("id").agg(F.count("*").alias("passed"), F.count_distinct("pid").alias("others"))
-    w = wakes.join(between, "id", "left").na.fill(0, ["passed", "others"])
-    a = w.agg(F.count("*").alias("stalled"), F.count_if(F.col("passed") == 0).alias("preempt"), F.avg("passed").alias("dispatch_avg_passovers"), (F.sum("others") / F.nullif(F.sum("passed"), F.lit(0))).alias("concentration"))
-    pct = 100.0 * F.col("preempt") / F.nullif(F.col("stalled"), F.lit(0))
-    q = q_at(w, "passed", {"dispatch_passover_p99": 0.99}).select("dispatch_passover_p99")
-    concentration = F.when(F.col("stalled") > 0, F.coalesce("concentration", F.lit(0.0))).alias("dispatch_concentration_ratio")
-    return a.join(q).select("stalled", pct.alias("dispatch_preempt_pct"), (100.0 - pct).alias("dispatch_order_pct"), "dispatch_avg_passovers", "dispatch_passover_p99", concentration, _cls((F.col("stalled") == 0, "NO-FLOORED"), (F.col("preempt") * 2 >= F.col("stalled"), "PREEMPT-STARVED"), other="ORDER-STARVED"))
+    spans = idle_spans(e)
+    w = pass_overs(e)
+    dark = overlap(w.where("passed = 0").select("id", "cpu", "lo", "hi"), spans, ["cpu"], 1 << 27).where("hi > lo and overlap * 2 >= hi - lo").select("id", (F.col("hi") - F.col("lo")).alias("dark"))
+    total = lambda *cs: [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in cs]
+    a = w.join(dark, "id", "left").agg(
+        F.count("*").alias("stalled"), F.count_if(F.col("passed") == 0).alias("preempt"), F.count_if("served").alias("n_served"), F.count_if(F.col("served") & (F.col("lane") == 0)).alias("served_mirror"),
+        F.count("dark").alias("n_dark"), F.coalesce(F.max("dark"), F.lit(0)).alias("worst_dark"), *total("passed", "others", "mirror", "higher", "same", "lower"),
+    )
+    q = q_at(w, "passed", {"p99": 0.99}).select("p99").join(q_at(w, "legit", {"legit_p99": 0.99}).select("legit_p99"))
+    open_ = censored_strands(e).agg(F.count("*").alias("open"), F.max("dark").alias("worst_open"))
+    seen = spans.agg((F.count("*") > 0).alias("idle_seen")).join(sched(e, PICK).agg((F.count("*") > 0).alias("native")))
+    any_ = F.col("stalled") > 0
+    share = lambda part, of, when=any_: F.when(when, F.coalesce(100.0 * F.col(part) / F.nullif(F.col(of), F.lit(0)), F.lit(0.0)))
+    order = F.col("stalled") - F.col("preempt")
+    ratio = (F.col("others") / F.col("stalled")) / F.nullif(F.col("passed") / F.nullif(order, F.lit(0)), F.lit(0.0))
+    classes, idle = any_ & F.col("native"), any_ & F.col("idle_seen")
+    rows = a.join(q).join(open_).join(seen).withColumn("n_held", F.col("preempt") - F.col("n_dark")).withColumn("classed", F.col("higher") + F.col("same") + F.col("lower"))
+    return rows.select(
+        "stalled", share("preempt", "stalled").alias("dispatch_preempt_pct"), F.when(any_, 100.0 * order / F.col("stalled")).alias("dispatch_order_pct"),
+        share("n_dark", "preempt", idle).alias("dispatch_dark_pct"), share("n_held", "preempt", idle).alias("dispatch_held_pct"), F.when(idle, F.col("worst_dark") / 1e6).alias("dispatch_worst_dark_ms"),
+        F.when(any_, F.coalesce(F.col("passed") / F.nullif(order, F.lit(0)), F.lit(0.0))).alias("dispatch_avg_passovers"),
+        share("mirror", "passed", classes).alias("dispatch_passover_mirror_pct"), share("served_mirror", "n_served", classes).alias("dispatch_served_mirror_pct"),
+        *(share(c, "classed", classes).alias(f"dispatch_passover_{c}_class_pct") for c in ("higher", "same", "lower")),
+        F.col("p99").alias("dispatch_passover_p99"), F.when(any_, F.coalesce(ratio, F.lit(0.0))).alias("dispatch_concentration_ratio"), share("legit_p99", "p99").alias("dispatch_ceiling_remains_pct"),
+        F.nullif("open", F.lit(0)).alias("dispatch_censored_strands"), (F.col("worst_open") / 1e6).alias("dispatch_worst_censored_ms"),
+        _cls((F.col("stalled") == 0, "NO-FLOORED"), (F.col("preempt") * 2 >= F.col("stalled"), "PREEMPT-STARVED"), other="ORDER-STARVED"),
+    )
 
 
 @report("kick-latency")
