@@ -175,3 +175,26 @@ def test_one_long_key_in_many_tasks(spark):
     chunks, size = W.chunked(rows, 1000, 1000)
     most = chunks.groupBy("_chunk").count().agg(F.max("count"), F.count("*")).first()
     assert most[0] <= size + 999 and most[1] > 100
+
+
+@pytest.mark.parametrize("m, block, tile", [(8, 40, 16), (5, 1000, 7), (20, 25, 1024)])
+def test_matrix_profile_in_blocks(spark, monkeypatch, m, block, tile):
+    from weir.functions import kernels as K
+
+    monkeypatch.setattr(W, "BLOCK", block)
+    monkeypatch.setattr(W, "TILE", tile)
+    r = np.random.default_rng(7)
+    series = {"a": r.normal(size=230), None: np.sin(np.arange(120) / 3) + r.normal(size=120) / 20, "flat": np.r_[np.zeros(40), r.normal(size=30)], "short": r.normal(size=m - 1), "one": r.normal(size=m)}
+    df = spark.createDataFrame([(k, i, float(x)) for k, v in series.items() for i, x in enumerate(v)], "k string, i int, v double").repartition(4)
+    got = {}
+    for x in W.matrix_profile(df, "v", ["i"], ["k"], m, parts=3).collect():
+        got.setdefault(x.k, {})[x.start] = (x.distance, x.nearest)
+    for k in ("a", None, "flat"):
+        best, _ = K.matrix_profile(series[k], m)
+        u = W._unit(series[k], m)
+        assert len(got[k]) == len(best)
+        for s, (d, at) in got[k].items():
+            assert abs(d - best[s]) < 1e-5 and abs(s - at) > max(1, m // 4) and abs(np.sqrt(((u[s] - u[at]) ** 2).sum()) - best[s]) < 1e-5
+    assert "short" not in got and "one" not in got
+    whole = W.matrix_profile(df.where("k = 'a'"), "v", ["i"], [], m)
+    assert sorted((x.start, round(x.distance, 6)) for x in whole.collect()) == sorted((s, round(d, 6)) for s, (d, _) in got["a"].items())

@@ -131,7 +131,11 @@ def residual(spark, sf):
 
 @query("matrix_profile")
 def profile(spark, sf):
-    return _by_type(spark, sf, "discord double, at long", lambda v: (lambda b: {"discord": float(b.max()), "at": int(b.argmax())})(K.matrix_profile(v, 8)[0]) if len(v) >= 24 else {"discord": 0.0, "at": -1})
+    """Each user's window of 8 values that is farthest from its nearest other one; -1 for users of fewer than 24 values."""
+    e = events(spark, sf)
+    far = W.matrix_profile(e, "value", ["us", "event_id"], ["user_id"], 8).groupBy("user_id").agg(F.max_by(F.struct("distance", "start"), F.struct("distance", -F.col("start"))).alias("d"))
+    users = e.where("value is not null").groupBy("user_id").agg((F.count("*") >= 24).alias("enough")).join(far, "user_id", "left")
+    return users.select("user_id", F.coalesce(F.when(F.col("enough"), F.col("d.distance")), F.lit(0.0)).alias("discord"), F.coalesce(F.when(F.col("enough"), F.col("d.start")), F.lit(-1)).cast("long").alias("at"))
 
 
 @query("dfa_hurst")
