@@ -33,9 +33,10 @@ def test_whole_table(spark):
     assert got == [(d, n, m, hashlib.sha256(k.encode()).hexdigest()) for d, n, m, k in brute(rows)]
 
 
-@pytest.mark.parametrize("group", [50, 1_000_000])
-def test_shared_passages_and_deep_prefixes(spark, monkeypatch, group):
+@pytest.mark.parametrize("group, runs", [(50, 4096), (50, 3), (1_000_000, 4096)])
+def test_shared_passages_and_deep_prefixes(spark, monkeypatch, group, runs):
     monkeypatch.setattr(op, "GROUP", group)
+    monkeypatch.setattr(op, "RUNS", runs)
     r = random.Random(5)
     vocab = ["the", "the", "the", "a", "b", "c", "dé", "e"]
     passage = [r.choice(vocab) for _ in range(60)]
@@ -84,3 +85,13 @@ def test_texts_of_one_doc_id_whose_hashes_agree_in_32_bits(spark, doc_id):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert df.select(F.xxhash64("text").bitwiseAND((1 << 32) - 1)).distinct().count() == 1
     assert sorted((r[1], r[2]) for r in remove_repeats(df).collect()) == [(26, 0), (26, 25)]
+
+
+def test_heavy_prefixes_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(op, "GROUP", 20)
+    monkeypatch.setattr(op, "RUNS", 8)
+    r = random.Random(1)
+    df = spark.createDataFrame([(i, " ".join(r.choice("abc") for _ in range(100))) for i in range(60)], "doc_id long, text string")
+    blocks, total = op._blocks(df, 20)
+    assert total == 60 * 81 and len(blocks.first) <= 2 * 8 + 1  # without the bound some hundred runs of 20 suffixes
+    assert blocks.total >= total // 20  # and yet blocks are as small

@@ -33,6 +33,8 @@ from weir.session import bound_batches, settle, table
 FLUSH, GROUP = 500_000, 1_000_000
 #: Bits of a prefix for each of its words, and least and most words of a prefix.
 BITS, FIRST, DEEPEST = 8, 2, 7
+#: Heavy prefixes of a length at most.
+RUNS = 4096
 _SPAN = BITS * DEEPEST
 #: Stands for a missing doc_id.
 LAST = (1 << 63) - 1
@@ -73,10 +75,11 @@ def _count_prefixes(batches: Iterator[pa.RecordBatch], width: int, length: int,
 class Blocks:
     """Blocks of suffixes: where each run of prefixes begins, and into how many blocks its digests are cut."""
 
-    def __init__(self, leaves: list[tuple[int, int]]):
+    def __init__(self, leaves: list[tuple[int, int]], most: int = 0):
+        """Runs hold most suffixes or GROUP, whichever is more, unless one prefix has more; a block has GROUP or little more."""
         first, cuts, held = [0], [1], 0
         for code, n in sorted(leaves):
-            if held and held + n > GROUP:
+            if held and held + n > max(most, GROUP):
                 first.append(code), cuts.append(1)
                 held = 0
             held += n
@@ -91,20 +94,26 @@ class Blocks:
 
 
 def _blocks(docs: DataFrame, width: int) -> tuple[Blocks, int]:
-    """Blocks, and the number of suffixes. The driver gets a row for each prefix: 2 ** (FIRST * BITS) and 2 ** BITS for each heavy one, of which there is one for GROUP suffixes at most."""
+    """Blocks, and the number of suffixes.
+
+    The driver gets a row for each prefix: 2 ** (FIRST * BITS) of them, and at each further length 2 ** BITS for each
+    heavy one. Heavy is what has more than GROUP suffixes, and more than one in RUNS of all: there are RUNS such prefixes
+    of a length at most, however large the input is, and the runs of prefixes in between are cut by digests.
+    """
     leaves: list[tuple[int, int]] = []
-    heavy, total = np.zeros(0, np.uint64), 0
+    heavy, total, most = np.zeros(0, np.uint64), 0, 0
     for length in range(FIRST, DEEPEST + 1):
         counted = docs.mapInArrow(partial(_count_prefixes, width=width, length=length, heavy=heavy), "prefix long, n long")
         t = counted.groupBy("prefix").agg(F.sum("n").alias("n")).toArrow()
         p, n = t.column("prefix").to_numpy().astype(np.uint64), t.column("n").to_numpy()
         total = total or int(n.sum())
-        big = (n > GROUP) & (length < DEEPEST)
+        most = max(GROUP, -(-total // RUNS))
+        big = (n > most) & (length < DEEPEST)
         leaves += zip((p[~big] << np.uint64(_SPAN - BITS * length)).tolist(), n[~big].tolist())
         heavy = p[big]
         if not len(heavy):
             break
-    return Blocks(leaves), total
+    return Blocks(leaves, most), total
 
 
 def _narrow(a: np.ndarray) -> bytes:
