@@ -367,3 +367,68 @@ def test_dispatch_stall_in_detail(spark):
     assert g["censored_strands"] == 1 and g["worst_censored_ms"] == 60  # CPU 6; CPU 7 has been idle for 30
     cls, g = gauges(s(R.CPU_IDLE, 100, cpu=6, sub=1), s(R.WAKEUP, 200))
     assert cls == "NO-FLOORED" and g == {"stalled": 0, "censored_strands": 1, "worst_censored_ms": 100}
+
+
+def frame(spark, *rows):
+    """Records with the given fields, seq in their order."""
+    columns = list(T.COLUMNS)
+    return spark.createDataFrame([tuple({"file": "x", "seq": i, **r}.get(c) for c in columns) for i, r in enumerate(rows)], T.SCHEMA)
+
+
+def test_cold_wakes(spark):
+    """An exit before the wake, and a short idle time, make no cold wake; a WAKEUP record is none."""
+    idle = lambda cpu, sub, ts: {"type": T.SCHED, "op": R.CPU_IDLE, "cpu": cpu, "sub": sub, "ts": ts}
+    run = lambda cpu, ts, runtime, freq=0: {"type": T.SCHED, "op": R.WAKE2RUN, "cpu": cpu, "sub": 0, "ts": ts, "runtime": runtime, "freq": freq}
+    rows = [idle(0, 1, 0), run(0, 25 * MS, 5, 900), idle(0, 0, 26 * MS), run(0, 90 * MS, 6, 900), idle(1, 1, 0), run(1, 10 * MS, 7, 900), {"type": T.SCHED, "op": R.WAKEUP, "cpu": 1, "ts": 50 * MS}]
+    rows += [idle(2, 1, 0), *(run(2, 30 * MS + i, 10 + i // 2, f) for i, f in enumerate((0, 800, 800, 2000, 3000, 0, 2500, 1000)))]
+    e = frame(spark, *rows)
+    cold = R.cold_wakes(e)
+    assert sorted((r.cpu, r.runtime) for r in cold.collect()) == [(0, 5)] + [(2, 10 + i // 2) for i in range(8)]
+    assert sorted((r.runtime, r.freq) for r in R.slowest_quarter(cold).collect()) == [(13, 1000), (13, 2500)]
+    assert [r.freq for r in R.slowest_quarter(cold.where("cpu = 2 and runtime < 12 or cpu = 0")).collect()] == [2000]  # one of two that tie: the later
+    g = R.REPORTS["sched"](e).first().gauges
+    assert g["coldwake_count"] == 9 and g["coldwake_freq_min_mhz"] == 800 and g["coldwake_freq_slowq_mhz"] == 2500 and g["coldwake_wake2run_us_worst"] == 0.013
+    assert R.REPORTS["sched"](e.where("cpu = 1")).first().gauges["coldwake_count"] is None and R.slowest_quarter(cold.limit(0)).count() == 0
+
+
+def test_inversions(spark):
+    """As classify has them, for ascending, descending, rotated, tied and random lists of 3 to 8 values."""
+    import random
+
+    from weir.functions.disorder import classify
+
+    dice = random.Random(3)
+    lists = [[dice.randrange(k) for _ in range(n)] for n in range(3, 9) for k in (2, 4, 50) for _ in range(12)] + [list(range(n)) for n in range(3, 9)] + [list(range(n))[::-1] for n in range(3, 9)] + [[3, 4, 1, 2, 3], [1, 1, 1], [2, 3, 1]]
+    df = spark.createDataFrame([([float(x) for x in v],) for v in lists], "v array<double>")
+    from pyspark.sql import functions as F
+
+    for v, got in df.select("v", R.inversions(F.col("v"), 8)).collect():
+        assert got == classify(v)["inversion"], v
+    assert spark.createDataFrame([([1.0, 2.0],), ([],)], "v array<double>").select(R.inversions(F.col("v"), 8).alias("x")).where("x is not null").count() == 0
+
+
+def test_details(spark, events):
+    from weir.operators import details as DT
+
+    rows = {(r.report, r.gauge, r.labels): r.value for r in DT.details(events).collect()}
+    busy = 'tid="50",obj="0x000000000000000c"'
+    assert rows["waits", "waits_total", busy] == 1100 and rows["waits", "wait_gap_ms", busy + ',quantile="0.99"'] == 0.005
+    assert rows["spins", "spin_runs_total", busy + ',verdict="LIVELOCK"'] == 1 and rows["pairing", "unsignaled_flag", 'fd="12"'] == 1 and rows["pairing", "pairing_signals", 'fd="10"'] == 1
+    assert rows["kstrand", "kstrand_ms", 'comm="",cpu="1",quantile="worst"'] == 60 or any(k[1] == "kstrand_ms" and v == 60 for k, v in rows.items())
+    assert rows["sched", "wake2run_structured_pct", ""] == 0
+    assert all(r.result == 0 and r.n == 1100 for r in DT.wait_results(events).where("tid = 50").collect())
+    line = f'weir_waits_total{{{busy},report="waits"}} 1100.0'
+    assert line in [r.line for r in DT.to_prometheus(DT.details(events, ["waits"])).collect()]
+    assert DT.details(events.limit(0)).count() == 0
+
+
+def test_structured_share(spark):
+    """Half of the wakes ascend, half are scattered: the windows' classes are those of classify."""
+    from weir.functions.disorder import classify
+    from weir.operators import details as DT
+
+    lat = [i * 3 for i in range(2000)] + [(i * 7919) % 100_003 for i in range(2000)]
+    e = frame(spark, *({"type": T.SCHED, "op": R.WAKE2RUN, "cpu": i % 3, "sub": 0, "ts": i, "runtime": v} for i, v in enumerate(lat)))
+    wins = [classify(lat[a : a + 500])["cls"] for a in range(0, 4000, 500)]
+    got = DT.details(e, ["sched"]).first().value
+    assert got == 100.0 * sum(c != "RANDOM" for c in wins) / len(wins) and 0 < got < 100

@@ -33,13 +33,20 @@ def lcg(seed: int, n: int, count: int) -> list[int]:
     return out
 
 
+def sampled_pairs(n: int, pairs: int = PAIRS) -> list[tuple[int, int]]:
+    """The pairs (a <= b) of n places that inversions are sampled at."""
+    total = min(pairs, n * (n - 1) // 2)
+    at = lcg(0x5DEECE66D ^ n, n, 2 * total)
+    return [(min(a, b), max(a, b)) for a, b in zip(at[::2], at[1::2])]
+
+
 def sampled_inversions(v: np.ndarray, pairs: int = PAIRS) -> float:
     """Share of sampled pairs that are out of order; the sample depends on the length alone."""
     n = len(v)
     if n < 2:
         return 0.0
-    total = min(pairs, n * (n - 1) // 2)
-    at = np.sort(np.array(lcg(0x5DEECE66D ^ n, n, 2 * total)).reshape(-1, 2), axis=1)
+    at = np.array(sampled_pairs(n, pairs))
+    total = len(at)
     v = np.asarray(v)
     return float(F32((v[at[:, 0]] > v[at[:, 1]]).sum()) / F32(total))
 

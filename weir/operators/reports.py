@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from weir.functions.disorder import sampled_pairs
 from weir.operators import fractal
+from weir.operators.stream import ranked_by
 from weir.operators.temporal import asof
 from weir.sources.trace import ABORT, DROPS, HEAP, HEAPSTACK, IO, KEYED, KSTRAND, MMAP, NTSYNC, PROVIDER, SCHED, SIGNAL, STORM
 
@@ -65,19 +67,23 @@ def picks(e: DataFrame) -> DataFrame:
     return sched(e, PICK, SWITCH_IN).join(F.broadcast(has)).where(F.col("op") == F.when(F.col("has_pick"), PICK).otherwise(SWITCH_IN)).drop("has_pick")
 
 
-def q_at(values: DataFrame, column: str, qs: dict[str, float]) -> DataFrame:
-    """One row: quantiles by floor index, the number n and the greatest value (worst).
+def _ranked(values: DataFrame, column: str) -> DataFrame:
+    """(v, k, upto, n): how often each value occurs, how many values there are up to it and in all.
 
-    Equal values are counted together; ranks come from totals of at most a few thousand logarithmic buckets, which
-    ascend with the value, and a window inside each bucket, so no task sorts all values.
+    Ranks come from totals of at most a few thousand logarithmic buckets, which ascend with the value, and a window
+    inside each bucket.
     """
     c = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("k"))
     c = c.withColumn("b", F.floor(F.signum("v") * F.log2(F.abs("v") + 1) * 64))
     buckets = c.groupBy("b").agg(F.sum("k").alias("kb"))
     below = buckets.select("b", (F.sum("kb").over(Window.orderBy("b")) - F.col("kb")).alias("below"), F.sum("kb").over(Window.partitionBy(F.lit(1))).alias("n"))
-    ranked = c.join(F.broadcast(below), "b").withColumn("upto", F.col("below") + F.sum("k").over(Window.partitionBy("b").orderBy("v")))
+    return c.join(F.broadcast(below), "b").select("v", "k", (F.col("below") + F.sum("k").over(Window.partitionBy("b").orderBy("v"))).alias("upto"), "n")
+
+
+def q_at(values: DataFrame, column: str, qs: dict[str, float]) -> DataFrame:
+    """One row: quantiles by floor index, the number n and the greatest value (worst). Equal values are counted together."""
     at = lambda q: F.least(F.floor(F.lit(q) * F.col("n")), F.col("n") - 1)
-    return ranked.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.max("v").alias("worst"), *(F.min(F.when(F.col("upto") > at(q), F.col("v"))).alias(name) for name, q in qs.items()))
+    return _ranked(values, column).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.max("v").alias("worst"), *(F.min(F.when(F.col("upto") > at(q), F.col("v"))).alias(name) for name, q in qs.items()))
 
 
 def waits_of(e: DataFrame) -> DataFrame:
@@ -100,7 +106,7 @@ SUBTYPES = {
     NTSYNC: {0: "create_sem", 1: "sem_release", 2: "wait_any", 3: "wait_all", 4: "create_mutex", 5: "mutex_unlock", 6: "mutex_kill", 7: "create_event", 8: "event_set", 9: "event_reset", 10: "event_pulse", 11: "sem_read", 12: "mutex_read", 13: "event_read"},
     HEAP: {0: "malloc", 1: "free", 2: "realloc", 3: "calloc"},
     SIGNAL: {0: "deliver", 1: "exit_abnormal"},
-    IO: {0: "read", 1: "write", 7: "poll", 271: "ppoll"},
+    IO: {0: "read", 1: "write", 5: "fstat", 7: "poll", 8: "lseek", 16: "ioctl", 17: "pread64", 18: "pwrite64", 23: "select", 45: "recvfrom", 47: "recvmsg", 208: "io_getevents", 209: "io_submit", 232: "epoll_wait", 257: "openat", 270: "pselect6", 271: "ppoll", 281: "epoll_pwait"},
 }
 
 
@@ -323,17 +329,46 @@ def keyedevt(e):
     return k.agg(F.count("*").alias("n")).join(stuck.agg(F.count("*").alias("keyedevt_wedged_threads"))).select("keyedevt_wedged_threads", _cls((F.col("n") == 0, "NO-KEYED-EVENTS"), (F.col("keyedevt_wedged_threads") == 0, "NO-WEDGED"), other="WEDGED"))
 
 
+#: Time that a CPU must have been idle for a wake on it to be cold.
+COLD = 20_000_000
+
+
+def cold_wakes(e: DataFrame) -> DataFrame:
+    """(cpu, seq, runtime, freq) of tasks that run on a CPU which entered idle COLD or longer before and did not leave it since."""
+    w = Window.partitionBy("cpu").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    idle = F.last(F.when(F.col("op") == CPU_IDLE, F.struct("sub", F.col("ts").alias("at"))), ignorenulls=True).over(w)
+    s = sched(e, CPU_IDLE, WAKE2RUN).withColumn("idle", idle)
+    return s.where((F.col("op") == WAKE2RUN) & (F.col("idle.sub") == 1) & (F.col("ts") - F.col("idle.at") >= COLD)).select("cpu", "seq", "runtime", "freq")
+
+
+def slowest_quarter(wakes: DataFrame) -> DataFrame:
+    """The fourth (rounded down) of wakes (seq, runtime, ...) that took longest; of equally long ones the later. Ranks are counted, not sorted in one task."""
+    quarter = F.floor(F.col("n") / 4)
+    at = _ranked(wakes, "runtime").agg(F.min(F.when(F.col("upto") > F.col("n") - quarter, F.col("v"))).alias("cut"), F.max(quarter).alias("wanted"))
+    slow = wakes.join(F.broadcast(at)).where("runtime >= cut")
+    above = slow.agg(F.max("wanted").alias("wanted"), F.count_if(F.col("runtime") > F.col("cut")).alias("above"))
+    since = _ranked(slow.where("runtime = cut"), "seq").join(F.broadcast(above)).agg(F.min(F.when(F.col("upto") > F.col("n") - (F.col("wanted") - F.col("above")), F.col("v"))).alias("since"))
+    return slow.join(F.broadcast(since)).where("runtime > cut or seq >= since").drop("cut", "wanted", "since")
+
+
 @report("sched")
 def sched_report(e):
     r = sched(e, WAKE2RUN)
     share = r.agg(F.count_if(F.col("runtime") < FAST).alias("fast"), F.count_if(F.col("runtime") >= FLOOR).alias("floored"), F.count_if(F.col("sub") != 0).alias("cross"), F.count_distinct("runtime").alias("wake2run_distinct"))
     q = q_at(r, "runtime", {"p50": 0.5, "p99": 0.99, "p999": 0.999})
-    idle = sched(e, CPU_IDLE).where("sub = 1").select("cpu", "ts", F.col("ts").alias("idle_at"))
-    cold = asof(sched(e, WAKEUP).select("cpu", "ts", "seq"), idle, ["cpu"], "ts", "idle_at").agg(F.count_if(F.col("ts") - F.col("asof_idle_at") >= 20_000_000).alias("coldwake_count"))
+    wakes = cold_wakes(e)
+    least = wakes.agg(F.min(F.when(F.col("freq") > 0, F.col("freq"))).alias("least"))
+    slow = q_at(slowest_quarter(wakes).where("freq > 0"), "freq", {"slow": 0.5}).select("slow")
+    cold = q_at(wakes, "runtime", {"p50": 0.5, "p99": 0.99}).join(least).join(slow)
+    some = F.col("n") > 0
+    cold = cold.select(
+        F.when(some, F.col("n")).alias("coldwake_count"), *((F.col(c) / 1e3).alias(f"coldwake_wake2run_us_{c}") for c in ("p50", "p99", "worst")),
+        *(F.when(some, F.coalesce(c, F.lit(0))).alias(f"coldwake_freq_{name}_mhz") for c, name in (("least", "min"), ("slow", "slowq"))),
+    )
     pct = lambda c: 100.0 * F.col(c) / F.nullif(F.col("n"), F.lit(0))
     mid = 100.0 * (F.col("n") - F.col("fast") - F.col("floored")) / F.nullif(F.col("n"), F.lit(0))
     return share.join(q).join(cold).select(
-        "n", *((F.col(c) / 1e3).alias(f"wake2run_us_{c}") for c in ("p50", "p99", "p999", "worst")), pct("fast").alias("wake2run_fast_pct"), mid.alias("wake2run_mid_pct"), pct("floored").alias("wake2run_tickfloor_pct"), pct("cross").alias("wake2run_crossdomain_pct"), "wake2run_distinct", "coldwake_count",
+        "n", *((F.col(c) / 1e3).alias(f"wake2run_us_{c}") for c in ("p50", "p99", "p999", "worst")), pct("fast").alias("wake2run_fast_pct"), mid.alias("wake2run_mid_pct"), pct("floored").alias("wake2run_tickfloor_pct"), pct("cross").alias("wake2run_crossdomain_pct"), "wake2run_distinct", *cold.columns,
         _cls((F.col("n") == 0, "NO-WAKE2RUN"), (F.col("floored") * 2 >= F.col("n"), "TICK-FLOORED"), (F.col("fast") * 10 >= F.col("n") * 9, "FAST"), other="MIXED"),
     )
 
@@ -370,7 +405,7 @@ def placement_race(e):
     each = state.groupBy("id").agg(F.count_if(F.col("asof_idle") == 1).alias("free"))
     a = each.agg(F.count("*").alias("floored_wakes"), F.count_if(F.col("free") > 0).alias("missed"), F.avg(F.when(F.col("free") > 0, F.col("free"))).alias("avg_idle_at_miss"))
     miss = 100.0 * F.col("missed") / F.nullif(F.col("floored_wakes"), F.lit(0))
-    return a.join(idle.agg(F.count("*").alias("n_idle"))).select("floored_wakes", miss.alias("placement_miss_pct"), (100.0 - miss).alias("saturated_pct"), "avg_idle_at_miss", _cls((F.col("n_idle") == 0, "NO-IDLE-STREAM"), (F.col("floored_wakes") == 0, "NONE"), (miss >= 66, "PLACEMENT-MISS"), (miss <= 34, "SATURATED"), other="MIXED"))
+    return a.join(idle.agg(F.count("*").alias("n_idle"))).select("floored_wakes", miss.alias("placement_miss_pct"), miss.alias("reroutable_pct"), (100.0 - miss).alias("saturated_pct"), "avg_idle_at_miss", _cls((F.col("n_idle") == 0, "NO-IDLE-STREAM"), (F.col("floored_wakes") == 0, "NONE"), (miss >= 66, "PLACEMENT-MISS"), (miss <= 34, "SATURATED"), other="MIXED"))
 
 
 def pass_overs(e: DataFrame) -> DataFrame:
@@ -448,8 +483,10 @@ def kick_latency(e):
     stop = asof(got.drop("asof_at"), sched(e, TICK_STOP).select("cpu", "ts", F.struct(F.col("ts").alias("t"), "sub").alias("stop")), ["cpu"], "ts", "stop")
     raced = F.col("lat").isNull() & (F.col("asof_stop.sub") == 1) & (F.col("ts") - F.col("asof_stop.t") <= 5_000_000)
     a = stop.agg(F.count("*").alias("kicks_total"), F.count_if(F.col("lat").isNull()).alias("kicks_unanswered"), F.count_if(raced).alias("kicks_tickless_raced"))
-    q = q_at(stop, "lat", {"p50": 0.5})
-    return a.join(q).select("kicks_total", "kicks_unanswered", "kicks_tickless_raced", (F.col("p50") / 1e3).alias("kick_resched_us_p50"), (100.0 * F.col("kicks_unanswered") / F.nullif(F.col("kicks_total"), F.lit(0))).alias("kick_unanswered_pct"), _cls((F.col("kicks_total") == 0, "NONE"), (F.col("kicks_unanswered") == 0, "ALL-ANSWERED"), (F.col("kicks_tickless_raced") > 0, "UNANSWERED-TICKSTOP-RACE"), other="UNANSWERED"))
+    q = q_at(stop, "lat", {"p50": 0.5, "p99": 0.99})
+    some = F.col("kicks_total") > 0
+    counts = [F.when(some, F.col(c)).alias(c) for c in ("kicks_total", "kicks_unanswered", "kicks_tickless_raced")]
+    return a.join(q).select(some.cast("int").alias("kick_captured"), *counts, *((F.col(c) / 1e3).alias(f"kick_resched_us_{c}") for c in ("p50", "p99", "worst")), (100.0 * F.col("kicks_unanswered") / F.nullif(F.col("kicks_total"), F.lit(0))).alias("kick_unanswered_pct"), _cls((F.col("kicks_total") == 0, "NONE"), (F.col("kicks_unanswered") == 0, "ALL-ANSWERED"), (F.col("kicks_tickless_raced") > 0, "UNANSWERED-TICKSTOP-RACE"), other="UNANSWERED"))
 
 
 def idle_spans(e: DataFrame) -> DataFrame:
@@ -459,13 +496,17 @@ def idle_spans(e: DataFrame) -> DataFrame:
     return i.where("sub = 1 and then <> 1 and bhi > blo").select("cpu", "blo", "bhi")
 
 
-@report("kstrand")
-def kstrand(e):
+def strands(e: DataFrame) -> DataFrame:
+    """(id, cpu, tid, comm, lo, hi, runtime, dark) of each wait of a CPU's own kernel thread; dark if the CPU was idle for half of it or more."""
     from weir.operators.temporal import overlap
 
-    k = e.where(F.col("type") == KSTRAND).select(F.col("seq").alias("id"), "cpu", (F.col("ts") - F.col("runtime")).alias("lo"), F.col("ts").alias("hi"), "runtime")
-    d = overlap(k, idle_spans(e), ["cpu"], 1 << 27).withColumn("dark", F.col("overlap") * 2 >= F.col("runtime"))
-    a = d.agg(F.count("*").alias("kstrand_events_total"), F.count_if("dark").alias("kstrand_dark"), F.max(F.when(~F.col("dark"), F.col("runtime")) / 1e6).alias("kstrand_worst_held_ms"))
+    k = e.where(F.col("type") == KSTRAND).select(F.col("seq").alias("id"), "cpu", "tid", "comm", (F.col("ts") - F.col("runtime")).alias("lo"), F.col("ts").alias("hi"), "runtime")
+    return overlap(k, idle_spans(e), ["cpu"], 1 << 27).withColumn("dark", F.col("overlap") * 2 >= F.col("runtime")).drop("overlap")
+
+
+@report("kstrand")
+def kstrand(e):
+    a = strands(e).agg(F.count("*").alias("kstrand_events_total"), F.count_if("dark").alias("kstrand_dark"), F.coalesce(F.max(F.when(~F.col("dark"), F.col("runtime")) / 1e6), F.lit(0.0)).alias("kstrand_worst_held_ms"))
     held = F.col("kstrand_events_total") - F.col("kstrand_dark")
     return a.select("*", _cls((F.col("kstrand_events_total") == 0, "NO-STRAND"), (held > F.col("kstrand_dark"), "STRAND-HELD"), (F.col("kstrand_dark") > 0, "STRAND-DARK"), other="STRAND"))
 
@@ -475,10 +516,40 @@ def slices(e: DataFrame) -> DataFrame:
     return picks(e).select("cpu", "pid", "seq", "ts", (F.lead("ts").over(Window.partitionBy("cpu").orderBy("ts", "seq")) - F.col("ts")).alias("d")).where((F.col("d") > 0) & (F.col("d") < SLICE_MOST))
 
 
+#: Stretches of equal time that a trajectory is made of.
+STRETCHES = 8
+
+
+def slice_medians(e: DataFrame) -> DataFrame:
+    """(stretch, median) of slices that begin in each eighth of the time between the first and the last; the upper one of two middle values. None of fewer than 16 slices, or of no extent."""
+    d = slices(e)
+    ends = d.agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.count("*").alias("slices")).where(F.col("slices") >= 2 * STRETCHES).where("t1 > t0")
+    passed = [(F.col("ts") >= F.expr(f"t0 + ((t1 - t0) * {g}) div {STRETCHES}")).cast("int") for g in range(1, STRETCHES)]
+    each = ranked_by(d.join(F.broadcast(ends)).select(sum(passed, F.lit(0)).alias("stretch"), "d"), ["stretch"], "d")
+    return each.groupBy("stretch").agg(F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("v"))).alias("median"))
+
+
+def inversions(v: Column, most: int) -> Column:
+    """Share of pairs of an array (3 to most values) that are out of order, as disorder.classify has it; null for other sizes."""
+    n = F.size(v)
+    falls = F.filter(F.sequence(F.lit(1), n - 1), lambda i: F.get(v, i) < F.get(v, i - 1))
+    sampled = F.lit(None).cast("double")
+    for size in range(3, most + 1):
+        pairs = [(F.get(v, F.lit(a)) > F.get(v, F.lit(b))).cast("int") for a, b in sampled_pairs(size)]
+        sampled = F.when(n == size, (sum(pairs[1:], pairs[0]) / len(pairs)).cast("float").cast("double")).otherwise(sampled)
+    at = F.get(falls, F.lit(0))
+    rotated = (F.size(falls) == 1) & (at < n - 1) & (F.get(v, n - 1) <= F.get(v, F.lit(0)))
+    known = F.when(F.size(falls) == 0, 0.0).when(F.size(falls) == n - 1, 1.0).when(rotated, (2.0 * at * (n - at) / (n * (n - 1))).cast("float").cast("double")).otherwise(sampled)
+    return F.when(n.between(3, most), known)
+
+
 @report("slice")
 def slice_report(e):
-    q = q_at(slices(e), "d", {"p50": 0.5, "p99": 0.99})
-    return q.select(*((F.col(c) / 1e3).alias(f"slice_us_{c}") for c in ("p50", "p99", "worst")), _cls((F.col("n") == 0, "NO-PICK-STREAM"), (F.col("p99") >= 10 * F.col("p50"), "HEAVY-TAIL"), other="EVEN"))
+    """The trajectory's inversion: how far medians of eighths of the time are from ascending."""
+    path = F.transform(F.array_sort(F.collect_list(F.struct("stretch", "median"))), lambda x: x["median"])
+    path = slice_medians(e).agg(path.alias("path")).select(inversions(F.col("path"), STRETCHES).alias("slice_trajectory_inversion"))
+    q = q_at(slices(e), "d", {"p50": 0.5, "p99": 0.99}).join(path)
+    return q.select(*((F.col(c) / 1e3).alias(f"slice_us_{c}") for c in ("p50", "p99", "worst")), "slice_trajectory_inversion", _cls((F.col("n") == 0, "NO-PICK-STREAM"), (F.col("p99") >= 10 * F.col("p50"), "HEAVY-TAIL"), other="EVEN"))
 
 
 @report("storm")
@@ -554,10 +625,28 @@ def field_persist(e):
     return a.join(d).select("field_gate_fires", "field_distinct_signatures", F.greatest(F.col("field_gate_fires") - 1 - F.col("changes"), F.lit(0)).alias("field_rederivations"), "field_dominant_dwell_pct", _cls((F.col("field_gate_fires") == 0, "NO-FIELD-GATE"), (F.coalesce("field_dominant_dwell_pct", F.lit(0.0)) >= 50, "LATCHED"), other="LIVE"))
 
 
+def syscall(nr: Column) -> Column:
+    """The name of a system call, ? for one without."""
+    return F.coalesce(F.create_map(*(x for k, v in SUBTYPES[IO].items() for x in (F.lit(k), F.lit(v))))[nr], F.lit("?"))
+
+
+def io_latencies(e: DataFrame) -> DataFrame:
+    """(call, count, p50, p99, worst) of completions that took time, by system call; quantiles by floor index."""
+    calls = e.where((F.col("type") == IO) & (F.col("dur") > 0)).select(F.coalesce("nr", F.lit(-1)).alias("nr"), "dur")
+    at = lambda q: F.min(F.when(F.col("upto") > F.floor(F.lit(q) * F.col("n")), F.col("v")))
+    each = ranked_by(calls, ["nr"], "dur").groupBy("nr").agg(F.max("n").alias("count"), at(0.5).alias("p50"), at(0.99).alias("p99"), F.max("v").alias("worst"))
+    return each.select("nr", syscall(F.col("nr")).alias("call"), "count", "p50", "p99", "worst")
+
+
 @report("iolat")
 def iolat(e):
+    """Gauges by system call as well; calls without a name are told by their number, ?<nr>."""
     q = q_at(e.where((F.col("type") == IO) & (F.col("dur") > 0)), "dur", {"p50": 0.5, "p99": 0.99})
-    return q.select("n", *((F.col(c) / 1e6).alias(f"iolat_{c}_ms") for c in ("p50", "p99", "worst")), _cls((F.col("n") == 0, "NO-IO"), other="IO"))
+    name = F.when(F.col("call") == "?", F.concat(F.lit("?"), F.col("nr").cast("string"))).otherwise(F.col("call"))
+    gauge = lambda what, v: F.struct(F.concat(F.lit("iolat_"), name, F.lit(f"_{what}")).alias("k"), v.cast("double").alias("v"))
+    pairs = F.array(gauge("count", F.col("count")), *(gauge(f"{c}_ms", F.col(c) / 1e6) for c in ("p50", "p99", "worst")))
+    by = io_latencies(e).agg(F.coalesce(F.map_from_entries(F.flatten(F.collect_list(pairs))), F.create_map().cast("map<string,double>")).alias("labelled"))
+    return q.join(by).select("n", *((F.col(c) / 1e6).alias(f"iolat_{c}_ms") for c in ("p50", "p99", "worst")), "labelled", _cls((F.col("n") == 0, "NO-IO"), other="IO"))
 
 
 def seats(e: DataFrame) -> DataFrame:
