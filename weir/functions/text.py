@@ -143,12 +143,12 @@ def padded(line: Column, widths: list[int], delim: str = " \t", gap: str = "  ")
     return F.array_join(F.transform(f, cell), gap)
 
 
-def human_count(n: Column) -> Column:
-    """A count with one decimal and a unit: 1700000 is 1.7M; whole below a thousand and from 99.95 units on."""
-    unit, v = F.lit("T"), n / 1e12
-    for u, size in (("G", 1e9), ("M", 1e6), ("k", 1e3), ("", 1.0)):
-        small = F.abs(n) < size * 1000
-        unit, v = F.when(small, u).otherwise(unit), F.when(small, n / size).otherwise(v)
+def human_count(n: Column, units: tuple[str, ...] = ("", "k", "M", "G", "T")) -> Column:
+    """A count with one decimal and a unit: 1700000 is 1.7M; whole below a thousand and from 99.95 units on; the last unit has no upper end."""
+    unit, v = F.lit(units[-1]), n / 1e3 ** (len(units) - 1)
+    for i in reversed(range(len(units) - 1)):
+        small = F.abs(n) < 1e3 ** (i + 1)
+        unit, v = F.when(small, units[i]).otherwise(unit), F.when(small, n / 1e3**i).otherwise(v)
     return F.when((unit == "") | (F.abs(v) >= 99.95), F.concat(F.bround(v, 0).cast("long").cast("string"), unit)).otherwise(F.concat(F.format_number(F.bround(v, 1), 1), unit))
 
 
