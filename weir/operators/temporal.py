@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -51,12 +53,20 @@ def overlap(a: DataFrame, b: DataFrame, by: list[str], width: int) -> DataFrame:
     return a.join(total, "id", "left").na.fill(0, ["overlap"])
 
 
-def dominant_holder(a: DataFrame, b: DataFrame, by: list[str], width: int) -> DataFrame:
-    """(id, holder) of each span of a (id, lo, hi, by) that any of b (holder, blo, bhi) shares time with: the one that shares most in a bucket of width, ties to the smaller holder."""
-    x = a.withColumn("_b", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
-    y = b.withColumn("_b", F.explode(F.sequence(F.floor(F.col("blo") / width), F.floor((F.col("bhi") - 1) / width))))
-    o = x.join(y, [*by, "_b"]).withColumn("t", F.least("hi", "bhi") - F.greatest("lo", "blo")).where("t > 0")
-    return o.groupBy("id").agg(F.max_by("holder", F.struct("t", -F.col("holder"))).alias("holder"))
+def dominant_holder(a: DataFrame, b: DataFrame, by: list[str], width: int, score: Column | None = None) -> DataFrame:
+    """(id, holder) of each span of a (id, lo, hi, by) that any of b (holder, blo, bhi) meets, that is, starts before its end and ends after its start: the holder of the highest score (long) in t, the time shared (default: t), ties to the smaller holder.
+
+    Spans without length, or that end before they start, meet those around them too: t is then 0 or less.
+    """
+    def dealt(df: DataFrame, lo: str, hi: str) -> DataFrame:
+        return df.withColumn("_b", F.explode(F.sequence(F.floor(F.least(lo, hi) / width), F.floor(F.greatest(F.col(lo), F.col(hi) - 1) / width))))
+
+    o = dealt(a, "lo", "hi").join(dealt(b, "blo", "bhi"), [*by, "_b"]).where("bhi > lo and blo < hi").withColumn("t", F.least("hi", "bhi") - F.greatest("lo", "blo"))
+    # A pair that shares several buckets counts in the first of them only.
+    o = o.where(F.col("_b") == F.floor(F.greatest(F.least("lo", "hi"), F.least("blo", "bhi")) / width))
+    # Score, then smaller holder, as one whole number: Spark aggregates by it in a hash table, by a struct only after a sort of all pairs.
+    best = (F.col("t") if score is None else score).cast("decimal(19, 0)") * F.lit(Decimal(10**19)) - F.col("holder").cast("decimal(19, 0)")
+    return o.groupBy("id").agg(F.max_by("holder", best).alias("holder"))
 
 
 def moving_mean(by: list[str], order: list[str], value: str, back: int, ahead: int = 0) -> Column:
